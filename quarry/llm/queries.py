@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import vectors
+from quarry.llm import syntax, vectors
 from quarry.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.similar_chunks(table(spark, folder, "chunk_vectors"))
+
+
+@query
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.parse_defects(table(spark, folder, "documents")).where("defect is not null").select("doc_id").distinct()
+
+
+@query
+def p2_defects(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.parse_defects(table(spark, folder, "documents")).where("defect is not null")
+
+
+@query
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.defect_rates(table(spark, folder, "documents"))

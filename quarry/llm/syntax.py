@@ -49,7 +49,7 @@ _WORDS = {
         "a": "async static get set", "k": "break continue debugger", "K": "case default", "e": "extends", "i": "this super null true false",
     },
     "java": {
-        "m": "public private protected static final abstract synchronized native transient volatile strictfp default sealed", "c": "class interface enum record", "P": "package",
+        "m": "public private protected static final abstract synchronized native transient volatile strictfp default sealed", "c": "class interface enum", "P": "package",
         "I": "import", "r": "return throw yield", "u": "new assert", "o": "instanceof", "w": "if while for switch", "C": "catch", "Y": "finally", "t": "try", "l": "else do",
         "k": "break continue", "K": "case", "e": "extends implements throws permits", "i": "this super null true false int long double float boolean byte short char void var",
     },
@@ -191,7 +191,7 @@ def _walk(s: str, language: str) -> tuple[str, str | None]:
 
 #: What may not stand side by side, per language, over the marked class string. Each entry: defect, pattern.
 _JS = [
-    ("adjacent operands", r"[ns\])i][ins]|[Fi]Fi|F[in]|T[in]|[ns\])]T"),
+    ("adjacent operands", r"[ns\])i][ins]|[Fi]Fi|F[in]|T[in]|[ns\])]T|@[^ic]"),
     ("operator without operand", r"[=b+!.?*^]N*[)\];]|[=b+!.]N*\}|[=b+!(\[]N*b|=N*=|[=b+!.,^?]N*\Z|[(\[,=b]N*[,=]|\.N*[ns(\[{]|,N*;"),
     ("declaration", r"[dv][^iaFAO{\[N]|[dv]i[^=;,NoO)}]|di(?:[;,]|N*\Z|N+[^N=oO,;:.(\[])|f[^i(*aFA]|fi[^(]|ci[^{eN]"),
     ("statement head", r"w(?![(u])|C[^({]|t[^{N]|l[)\]},;=]|k[ns(\[]"),
@@ -200,7 +200,7 @@ _JS = [
     ("markup", r"(?:\A|[N;=(])N*<"),
 ]
 _TS = [
-    ("adjacent operands", r"[ns\])i][ns]|[n)\]s]i|(?<!m)ii|F[in]|T[in]"),
+    ("adjacent operands", r"[ns\])i][ns]|[n)\]s]i|(?<!m)ii|F[in]|T[in]|@[^ic]"),
     ("operator without operand", r"[=b+.*^]N*[);]|[=b+.]N*\}|[=(\[]N*b|=N*=|[=b+!.,^?:]N*\Z|[(\[,]N*,|\.N*[ns\[{]|,N*;"),
     ("declaration", r"[dv][^iaFAOm{\[N]|[dv]i[^=;,NoO)}:!]|di(?:[;,]|N*\Z)|f[^i(*aFAm<]|fi[^(<]|ci[^{eN<m]"),
     ("statement head", r"w(?![(u])|C[^({]|t[^{N]|l[)\]},;=]|k[ns(\[]"),
@@ -209,12 +209,12 @@ _TS = [
     ("markup", r"(?:\A|[N;])N*<"),
 ]
 _JAVA = [
-    ("adjacent operands", r"[ns\]][ins]|i[ns]|iii|(?<=[i\]>)])\([^()]*\)[ins]|s\("),
+    ("adjacent operands", r"[ns][ins]|[^\[]\]i|\][ns]|i[ns]|iii|@[^ic]|(?<=[i\]>)])\([^()]*\)[ins]|s\("),
     ("operator without operand", r"[=b+!.,?*^][)\];]|[=b+!.][}]|[=b+!(\[][b=]|==|[(\[,],|\.[ns(\[{]|,;|[=(][<>*]"),
     ("statement head", r"w[^(]|C[^(]|t[^{(]|k[ns(]|l[)\],;=]"),
 ]
 _GO = [
-    ("adjacent operands", r"[n)\]}s][ns]|(?<!I)(?<!N)i[ns]|[ns]i|T[in]"),
+    ("adjacent operands", r"[n)\]}s][ns]|(?<!I)(?<!N)i[ns]|[ns]i|T[in]|@"),
     ("operator without operand", r"[=b+!.*]N*[)\];}]|[=b!(\[]N*b|=N*=|[(\[]N*[,=]|,N*,|\.N*[ns\[{]|,;|[=b]N*\Z"),
     ("statement head", r"w[NZ)\]};]|l[^{w]|k[ns(]"),
 ]
@@ -227,9 +227,10 @@ _RULES = {
     k: [(d, re.compile(p)) for d, p in rules] for k, rules in (("javascript", _JS), ("typescript", _TS), ("java", _JAVA), ("go", _GO), ("python", _PYTHON))
 }
 _TOP = {
-    "java": re.compile(r"(?:@i(?:\.i)*(?:\(\))?)*(?:Pi(?:\.i)*;)?(?:Im?i(?:\.(?:i|\*|m))*;|;)*(?:(?:m|i[+]i|@i(?:\.i)*(?:\(\))?)*@?ci[^{}=;]*\{\};?)*\Z"),
-    "go": re.compile(r"[N;]*Pi[N;]+(?:(?:I(?:i|\.|_)?s|I\(\)|d\(\)|[fd][^N;={]*(?:=[^N]*|\{\}[^N]*)?)(?:[N;]+|\Z))*\Z"),
+    "java": re.compile(r"(?:@i(?:\.i)*(?:\(\))?)*(?:Pi(?:\.i)*;)?(?:Im?i(?:\.(?:i|\*|m))*;|;)*(?:(?:m|i[+]i|@i(?:\.i)*(?:\(\))?)*(?:@?c|i)i[^{}=;]*\{\};?)*\Z"),
+    "go": re.compile(r"[N;]*Pi[N;]+(?:(?:I(?:i|\.|_)?s|I\(\)|d\(\)|[fd][^N;={]*(?:=[^N]*(?:(?<=[-+b,=.])N+[^N]*)*|\{\}[^N]*)?)(?:[N;]+|\Z))*\Z"),
 }
+_MEMBER = re.compile(r"\.[a-zA-Z](?<![snNETDI])")
 _JS_PARAMETER = re.compile(r"[(,]N*(?:D)?i:")
 
 
@@ -346,6 +347,8 @@ def _code_defect(text: str, language: str) -> str | None:
     if language in ("javascript", "typescript") and text.startswith("\n#!"):
         text = text[text.find("\n", 1) :] if "\n" in text[1:] else ""
     s = _letters(text, language)
+    if language != "python":  # after a dot a keyword is a name
+        s = _MEMBER.sub(".i", s)
     if "E" in s:
         return "unreadable token" if not re.search(_MARK, text) else "merge conflict"
     if language == "python":
