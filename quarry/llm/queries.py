@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import syntax, vectors
+from quarry.llm import secrets, syntax, vectors
 from quarry.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,14 @@ def p2_defects(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
     return syntax.defect_rates(table(spark, folder, "documents"))
+
+
+@query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = secrets.scanned(table(spark, folder, "documents"), table(spark, folder, "chunks"))
+    return rows.select("origin", "row_id", F.explode("line_nos").alias("line_no")).distinct()
+
+
+@query
+def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scanned(table(spark, folder, "documents"), table(spark, folder, "chunks")).select("origin", "row_id", "masked")

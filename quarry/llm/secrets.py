@@ -31,7 +31,7 @@ RESIDUAL = 4
 _SECRET = {"secret", "secrets", "password", "passwd", "pwd", "passphrase", "token", "apikey", "credential", "credentials", "passcode"}
 _SECRET_PAIRS = {("api", "key"), ("signing", "key"), ("access", "key"), ("secret", "key"), ("private", "key"), ("encryption", "key"), ("auth", "key"), ("db", "pass"), ("smtp", "pass"), ("user", "pass"), ("account", "key"), ("master", "key"), ("service", "key")}
 _ABOUT = {"help", "hint", "label", "notice", "message", "name", "url", "uri", "path", "file", "field", "type", "count", "length", "len", "min", "max", "ttl", "expiry", "expires", "format", "pattern", "regex", "prefix", "suffix", "title", "text", "policy", "error", "prompt", "placeholder", "header", "env", "var", "id", "ref", "arn", "kind", "description", "provider", "size", "limit", "index", "hash", "checksum"}
-_HINTS = "passw pwd secret token apikey api_key api-key api_key credential signing private passphrase pass= pass: pass\" pass' akia eyj sk- ghp_ gho_ github_pat xox _live_ _test_ pat_ :// basic bearer login access_key accesskey dbpass db_pass db-pass db.pass ".split() + ["api key", "access key", "begin ", " pass "]
+_HINTS = "passw pwd secret token apikey api_key api-key api_key credential signing private passphrase pass= pass: pass\" pass' akia eyj sk- ghp_ gho_ github_pat xox _live_ _test_ pat_ :// basic bearer login access_key accesskey dbpass db_pass db-pass db.pass ".split() + ["api key", "access key", "begin ", " pass ", " -u ", " --user", " -p ", "\"key\"", "'key'", "key:", "key ="]
 
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _PLACEHOLDER = re.compile(
@@ -56,6 +56,7 @@ _BARE = re.compile(r"^[ \t-]*(?:export[ \t]+|set[ \t]+|-[ \t]+)?[\"']?(?P<name>[
 _COMMENT = re.compile(r"(?:^|[\s;{}])(?:#|//|/\*|\*|--|<!--)[ \t]*(?P<text>.*)$")
 _SAID = re.compile(r"(?i)\b(?P<name>(?:[a-z]+[ _-])?(?:secret|password|passwd|pwd|pass|passphrase|token|api[ _-]?key|apikey|signing[ _-]key|access[ _-]key|private[ _-]key|credentials?))\b[ \t]*(?:=|:|\bis\b|\bwas\b)[ \t]*[\"'`]?(?P<v>[^\s\"'`]+)")
 _LOGIN = re.compile(r"(?i)\b(?:log ?in|sign in|connect|user|account)\b[^/\n]{0,60} / (?P<v>\S+)")
+_USER = re.compile(r"(?:\s-u|\s--user)[ =]?[\"']?[^\s:\"']+:(?P<v>[^\s\"']+)|\s(?:--password|--token|--secret|--api-key)[ =][\"']?(?P<w>[^\s\"']+)")
 _KIND = re.compile(r"(?m)^([ \t]*)kind:[ \t]*[\"']?Secret\b.*$")
 _LONG = re.compile(r"[A-Za-z0-9]{28}")
 _CONFIG = (".yaml", ".yml", ".sh", ".env", ".ini", ".toml", ".properties", ".conf", ".cfg", ".bash")
@@ -82,6 +83,12 @@ def is_secret_name(name: str) -> bool:
     return bool(_SECRET & set(words)) or any(p in _SECRET_PAIRS for p in zip(words, words[1:])) or words[-1] in ("pass", "apikey") or "apikey" in "".join(words)
 
 
+def _is_key(name: str, value: str) -> bool:
+    """A bare `key` or `auth` may hold anything; a secret shows by digits and by more than one kind of character."""
+    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    return name.strip("\"'").lower() in ("key", "auth", "authkey") and kinds >= 3 and any(c.isdigit() for c in value) and not _HASH.fullmatch(value)
+
+
 def unexplained(literal: str, dictionary: dict[str, float]) -> int:
     """Letters and digits that the cheapest (Viterbi) segmentation into dictionary words leaves over.
 
@@ -182,7 +189,7 @@ def find(text: str, file_name: str | None, dictionary: dict[str, float]) -> list
                 value, stop = value + more[2], more.end()
             if typed := _typed(value):
                 add(*_parts(spans, *typed))
-            elif m.start(2) in pairs and is_secret_name(pairs[m.start(2)]) and _usable(value) and "://" not in value:
+            elif m.start(2) in pairs and (is_secret_name(name := pairs[m.start(2)]) or _is_key(name, value)) and _usable(value) and "://" not in value:
                 if unexplained(value, dictionary) >= RESIDUAL:
                     add(*spans)
         comment = _COMMENT.search(line)
@@ -197,6 +204,10 @@ def find(text: str, file_name: str | None, dictionary: dict[str, float]) -> list
                     value = m["v"].rstrip(".,;)")
                     if _usable(value) and "://" not in value and "(" not in value and not value.isalpha() and unexplained(value, dictionary) >= RESIDUAL:
                         add((start + m.start("v"), start + m.start("v") + len(value)))
+        for m in _USER.finditer(line):
+            group = "v" if m["v"] else "w"
+            if _usable(m[group]) and not m[group].startswith("$"):
+                add((start + m.start(group), start + m.end(group)))
         for rule in (_URL, _HEADER, _KNOWN):
             for m in rule.finditer(line):
                 if typed := _typed(m[0]):
