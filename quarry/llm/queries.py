@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import secrets, syntax, vectors
+from quarry.llm import conversations, pairs, secrets, syntax, vectors
 from quarry.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,23 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scanned(table(spark, folder, "documents"), table(spark, folder, "chunks")).select("origin", "row_id", "masked")
+
+
+@query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.pair_defects(table(spark, folder, "messages")).select("prompt_id", "response_id", "defect")
+
+
+@query
+def p4_all_defects(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.pair_defects(table(spark, folder, "messages")).select("prompt_id", "response_id", F.explode("defects").alias("defect"))
+
+
+@query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.dropped(table(spark, folder, "sessions"), table(spark, folder, "messages"))
+
+
+@query
+def p6_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.conversations(table(spark, folder, "sessions"), table(spark, folder, "messages"))
