@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import conversations, pairs, secrets, syntax, vectors
+from quarry.llm import conversations, pairs, provenance, secrets, syntax, vectors
 from quarry.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p6_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.conversations(table(spark, folder, "sessions"), table(spark, folder, "messages"))
+
+
+@query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return provenance.not_handwritten(table(spark, folder, "documents")).where("valid").select("doc_id", "kind")
+
+
+@query
+def p5_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return provenance.not_handwritten(table(spark, folder, "documents")).groupBy("project_id", "kind").agg(F.count("*").alias("files"))
