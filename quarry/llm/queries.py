@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import conversations, pairs, provenance, secrets, syntax, vectors
+from quarry.llm import conversations, packing, pairs, provenance, secrets, splitting, syntax, vectors
 from quarry.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,31 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p5_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return provenance.not_handwritten(table(spark, folder, "documents")).groupBy("project_id", "kind").agg(F.count("*").alias("files"))
+
+
+@query
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.cut_kinds(table(spark, folder, "chunks"))
+
+
+@query
+def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.split_chunks(table(spark, folder, "chunks"))
+
+
+@query
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that the packing had to cut into more than one part."""
+    parts = packing.packed(table(spark, folder, "documents")).where("part = 1")
+    return parts.select("doc_id").distinct()
+
+
+@query
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"))
+
+
+@query
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    fill = packing.packed(table(spark, folder, "documents")).groupBy("container_id").agg(F.sum("tokens").alias("tokens"))
+    return fill.agg(F.count("*").alias("containers"), F.avg(F.col("tokens") / packing.CAPACITY).alias("fill"), F.sum((F.col("tokens") == packing.CAPACITY).cast("long")).alias("full"))
