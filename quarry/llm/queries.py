@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import conversations, packing, pairs, provenance, secrets, splitting, syntax, vectors
+from quarry.llm import conversations, leakage, packing, pairs, provenance, secrets, splitting, syntax, vectors
 from quarry.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,13 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     fill = packing.packed(table(spark, folder, "documents")).groupBy("container_id").agg(F.sum("tokens").alias("tokens"))
     return fill.agg(F.count("*").alias("containers"), F.avg(F.col("tokens") / packing.CAPACITY).alias("fill"), F.sum((F.col("tokens") == packing.CAPACITY).cast("long")).alias("full"))
+
+
+@query
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("item_id", "doc_id").distinct()
+
+
+@query
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
