@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import conversations, leakage, packing, pairs, provenance, secrets, splitting, syntax, vectors
+from quarry.llm import conversations, leakage, packing, pairs, provenance, reading, secrets, splitting, syntax, vectors
 from quarry.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,20 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+@query
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    graded = reading.levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
+    return graded.where("level in ('basic', 'advanced')").select("doc_id", "level").distinct()
+
+
+@query
+def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"), prose_only=False)
+
+
+@query
+def p10_profile(spark: SparkSession, folder: str) -> DataFrame:
+    graded = reading.levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"), prose_only=False)
+    return graded.groupBy(F.round("grade").cast("int").alias("grade")).agg(F.count("*").alias("documents"))
