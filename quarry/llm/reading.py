@@ -1,7 +1,7 @@
 """Problem 10: the reading level of each document.
 
-Graded texts tell when a word is acquired: the lowest grade whose texts hold it at least half as
-often as the grade that holds it most. Words no graded text has get the grade usual for their
+Graded texts tell when a word is acquired: the grade by which a quarter of its use, as a share of
+each grade's texts, is reached. Words no graded text has get the grade usual for their
 length. A document's grade is calibrated on the graded texts from quantiles of its words' grades
 and its sentence length. Sentences are sorted as well (short and everyday, long and learned, or
 neither), for a document is basic or advanced only if nearly all its sentences are.
@@ -9,7 +9,7 @@ neither), for a document is basic or advanced only if nearly all its sentences a
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,8 +23,11 @@ LABEL_ROWS = 20_000
 #: Words with a grade, at most so many (those in most graded texts).
 GRADED_WORDS = 50_000
 GRADES = (1, 2, 3, 4, 5)
+#: The part of a word's use that makes it acquired; from which grade a word is not everyday, and from which it is learned.
+ACQUIRED = 0.25
+EVERYDAY, LEARNED = 2.2, 3.3
 #: The share of sentences that makes a document of one sort, and the sentences it needs.
-NEARLY_ALL = 0.85
+NEARLY_ALL = 0.78
 SENTENCES = 8
 BASIC_WORDS, ADVANCED_WORDS = 12, 16
 
@@ -86,11 +89,14 @@ class Model:
         q = np.quantile(grades, (0.5, 0.75, 0.9)).tolist()
         return [1.0, *q, float(np.log2(np.median([len(s) for s in found])))]
 
+    def grade(self, found: list[list[str]]) -> float:
+        return float(np.clip(np.dot(self.weights, self.features(found)), 1.0, 5.0))
+
     def sort(self, s: list[str]) -> int:
         """-1 for a short sentence of everyday words, 1 for a long one dense with learned words, else 0."""
         n = len(s)
-        hard = sum(self.of(w) >= 3.5 for w in s)
-        if n <= BASIC_WORDS and not hard and sum(self.of(w) >= 2 for w in s) <= 0.35 * n:
+        hard = sum(self.of(w) >= LEARNED for w in s)
+        if n <= BASIC_WORDS and not hard and sum(self.of(w) >= EVERYDAY for w in s) <= 0.35 * n:
             return -1
         return 1 if n >= ADVANCED_WORDS and hard >= max(3, 0.14 * n) else 0
 
@@ -99,7 +105,7 @@ class Model:
         found = sentences(text)
         if not found or not is_english(found):
             return None, None, len(found), 0.0, 0.0
-        grade = float(np.clip(np.dot(self.weights, self.features(found)), 1.0, 5.0))
+        grade = self.grade(found)
         sorts = [self.sort(s) for s in found]
         basic, advanced = sorts.count(-1) / len(sorts), sorts.count(1) / len(sorts)
         level = "other"
@@ -108,55 +114,83 @@ class Model:
         return grade, level, len(found), basic, advanced
 
 
-def _word_grades(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: Counter[tuple[str, int]] = Counter()
-    for batch in batches:
-        for text, grade in zip(batch.text, batch.grade):
-            found = sentences(text)
-            if found and is_english(found):
-                counts.update((w, int(grade)) for w in {w for s in found for w in s})
-                counts["", int(grade)] += 1  # the graded texts themselves
-    yield pd.DataFrame([(w, g, n) for (w, g), n in counts.items()], columns=["word", "grade", "n"])
+def _word_grades(grade_of: Callable[[list[list[str]], float | None], int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """How many texts of each grade hold each word, and under the empty word how many texts there are."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter[tuple[str, int]] = Counter()
+        for batch in batches:
+            for text, grade in zip(batch.text, batch.grade):
+                found = sentences(text)
+                if found and is_english(found):
+                    g = grade_of(found, grade)
+                    counts.update((w, g) for w in {w for s in found for w in s})
+                    counts["", g] += 1
+            if len(counts) > 300_000:
+                yield pd.DataFrame([(w, g, n) for (w, g), n in counts.items()], columns=["word", "grade", "n"])
+                counts.clear()
+        yield pd.DataFrame([(w, g, n) for (w, g), n in counts.items()], columns=["word", "grade", "n"])
+
+    return count
+
+
+def _collected(counts: DataFrame, least: int) -> tuple[dict[str, dict[int, int]], dict[int, int]]:
+    """The counts of the words in most texts (bounded), and the texts of each grade."""
+    summed = counts.groupBy("word").pivot("grade", list(GRADES)).agg(F.sum("n"))
+    total = sum((F.coalesce(F.col(str(g)), F.lit(0)) for g in GRADES), F.lit(0))
+    rows = summed.withColumn("total", total).where(F.col("total") >= least).orderBy(F.desc(F.col("word") == ""), F.desc("total"), "word").limit(GRADED_WORDS).collect()
+    by = {r.word: {g: r[str(g)] or 0 for g in GRADES} for r in rows}
+    return {w: c for w, c in by.items() if w}, by.get("", {})
 
 
 def acquired(counts: dict[str, dict[int, int]], texts: dict[int, int]) -> dict[str, float]:
-    """The lowest grade whose texts hold the word at least half as often as the grade that holds it most."""
+    """The grade by which a quarter of a word's use (its share of each grade's texts) is reached, interpolated.
+
+    A grade with few texts says little: five more texts that hold no word are counted with each.
+    """
     out = {}
     for w, by in counts.items():
-        share = {g: by.get(g, 0) / (texts.get(g, 0) + 1) for g in GRADES}
-        most = max(share.values())
-        out[w] = float(next(g for g in GRADES if share[g] >= 0.5 * most))
+        share = [by.get(g, 0) / (texts.get(g, 0) + 5) for g in GRADES]
+        whole, below = sum(share), 0.0
+        for g, x in zip(GRADES, share):
+            if below + x >= ACQUIRED * whole:
+                out[w] = g - 0.5 + (ACQUIRED * whole - below) / x
+                break
+            below += x
     return out
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    """The model from graded English prose; without grades it rests on word lengths alone."""
-    graded = labels.where("grade is not null and doc_id is not null").select("doc_id", F.least(F.greatest("grade", F.lit(1)), F.lit(5)).alias("grade"))
+    """The model from graded English prose; without grades it rests on word lengths alone.
+
+    A few graded texts hold few of the words, so a second round takes every prose text with the
+    grade the first model gives it and learns the words' grades anew from all of them.
+    """
+    graded = labels.where("grade is not null and doc_id is not null").select("doc_id", F.least(F.greatest("grade", F.lit(1)), F.lit(5)).cast("int").alias("grade"))
     n = graded.count()
-    every = max(1, n // LABEL_ROWS)
-    graded = graded.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    ids = [r.doc_id for r in graded.select("doc_id").distinct().limit(2 * LABEL_ROWS).collect()]
-    if not ids:
+    if not n:
         return Model({})
+    graded = graded.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // LABEL_ROWS))) == 0)
     # The graded rows are few and bounded: they go to the documents, not the documents through a shuffle.
     texts = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(graded), "doc_id")
-    totals = texts.mapInPandas(_word_grades, "word string, grade int, n long").groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("grade", "n")).alias("by"))
-    rows = totals.where("total >= 2 or word = ''").orderBy(F.desc(F.col("word") == ""), F.desc("total"), "word").limit(GRADED_WORDS).collect()
-    counts: dict[str, dict[int, int]] = {}
-    for r in rows:
-        by = counts.setdefault(r.word, {})
-        for x in r.by:
-            by[x.grade] = by.get(x.grade, 0) + x.n
-    grades = acquired({w: by for w, by in counts.items() if w}, counts.get("", {}))
-    model = Model(grades)
-
-    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [(sentences(t), g) for t, g in zip(batch.text, batch.grade)]
-            yield pd.DataFrame([(model.features(f), float(g)) for f, g in found if f and is_english(f)], columns=["x", "grade"])
-
-    described_rows = texts.mapInPandas(described, "x array<double>, grade double").collect()
-    return Model(grades, [(list(r.x), r.grade) for r in described_rows])
+    counted = "word string, grade int, n long"
+    first = Model(acquired(*_collected(texts.mapInPandas(_word_grades(lambda found, grade: int(grade)), counted), 2)))
+
+    def calibrated(model: Model) -> Model:
+        def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = [(sentences(t), g) for t, g in zip(batch.text, batch.grade)]
+                yield pd.DataFrame([(model.features(f), float(g)) for f, g in found if f and is_english(f)], columns=["x", "grade"])
+
+        rows = texts.mapInPandas(described, "x array<double>, grade double").collect()
+        return Model(model.grades, [(list(r.x), r.grade) for r in rows])
+
+    first = calibrated(first)
+    prose = documents.where("text is not null")
+    prose = prose.where("path is null") if "path" in documents.columns else prose
+    all_texts = prose.select("text", F.lit(0).alias("grade"))
+    given = all_texts.mapInPandas(_word_grades(lambda found, _: int(np.rint(first.grade(found)))), counted)
+    return calibrated(Model(acquired(*_collected(given, 3))))
 
 
 def levels(documents: DataFrame, labels: DataFrame, prose_only: bool = True) -> DataFrame:
