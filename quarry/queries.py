@@ -1,7 +1,419 @@
-"""The registered queries of the core: name -> (spark, folder) -> DataFrame."""
+"""The registered queries of the core: name -> (spark, folder) -> DataFrame. Each runs over whole tables."""
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import text
+from quarry.operators import bm25, chunking, evaluation, fusion, graph, imports, limits, prompt, sessions, vector
+from quarry.plans import retrieve
+from quarry.sources import files as sources
+from quarry.sources import index as stored
+from quarry.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+# What the queries read: chunks with their vectors; the evaluation items ask, each with the vector of the chunk after its number.
+
+
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "chunk_vectors")
+    return rows.where((F.size("embedding") == 64) & vector.usable()).select("chunk_id", "project_id", "embedding")
+
+
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), "query", "expected_files", "expected_names")
+    given = _vectors(spark, folder).select((F.col("chunk_id") - 1).alias("query_id"), "embedding").dropDuplicates(["query_id"])
+    return items.join(given, "query_id", "left")
+
+
+def _words(spark: SparkSession, folder: str) -> bm25.Bm25:
+    return bm25.fit(table(spark, folder, "chunks"))
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return sources.from_documents(table(spark, folder, "documents"))
+
+
+def _hybrid(spark: SparkSession, folder: str, final_k: int = 5) -> DataFrame:
+    return fusion.hybrid(_words(spark, folder), _vectors(spark, folder), _asked(spark, folder), final_k=final_k)
+
+
+def _history(spark: SparkSession, folder: str) -> DataFrame:
+    """Each session's last ten turns as the history of a query, under a number for the session."""
+    turns = sessions.last_turns(sessions.once(table(spark, folder, "messages")), 10)
+    return turns.select(F.xxhash64("session_id").alias("query_id"), "session_id", "pos", "role", "content")
+
+
+# Keyword search
+
+
+@query
+def tokenize_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return bm25.terms(table(spark, folder, "chunks"))
+
+
+@query
+def bm25_stats(spark: SparkSession, folder: str) -> DataFrame:
+    index = _words(spark, folder)
+    found = index.frequencies.agg(F.count("*").alias("terms"), F.max("df").alias("max_df"), F.sum("df").alias("postings"))
+    one = F.lit(1).alias("one")
+    return index.corpus.select("n", F.round("avg_dl", 6).alias("avg_dl"), one).join(found.select("*", one), "one").drop("one")
+
+
+@query
+def bm25_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return bm25.scores(_words(spark, folder), _asked(spark, folder)).withColumn("score", F.round("score", 4))
+
+
+@query
+def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
+    found = bm25.ranked(_words(spark, folder), _asked(spark, folder))
+    return found.select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"))
+
+
+# Vector search and fusion
+
+
+@query
+def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
+    found = vector.nearest(_vectors(spark, folder), _asked(spark, folder))
+    return found.select("query_id", "rank", "chunk_id", F.round("d2", 4).alias("d2"))
+
+
+@query
+def vector_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    found = vector.cut(vector.nearest(_vectors(spark, folder), _asked(spark, folder)), 1.5, 5)
+    return found.select("query_id", "rank", "chunk_id", F.round("d2", 4).alias("d2"))
+
+
+@query
+def embeddings_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every vector of the label 0 the ten nearest of all."""
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+    asked = rows.where("label = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    return vector.nearest(rows, asked, 10).select("query_id", "rank", "chunk_id", F.round("d2", 4).alias("d2"))
+
+
+@query
+def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    words = bm25.ranked(_words(spark, folder), _asked(spark, folder))
+    near = vector.nearest(_vectors(spark, folder), _asked(spark, folder))
+    fused = fusion.reciprocal_ranks([near, words])
+    return fused.select("query_id", "rank", "chunk_id", F.round("rrf_score", 6).alias("rrf_score"))
+
+
+@query
+def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
+    return _hybrid(spark, folder)
+
+
+@query
+def keyword_rerank(spark: SparkSession, folder: str) -> DataFrame:
+    hits = _hybrid(spark, folder).join(table(spark, folder, "chunks").select("chunk_id", "content"), "chunk_id").join(_asked(spark, folder).select("query_id", "query"), "query_id")
+    return fusion.rerank(hits).select("query_id", "rank", "chunk_id", "overlap")
+
+
+# Evaluation
+
+
+def _judged(spark: SparkSession, folder: str, hits: DataFrame) -> DataFrame:
+    chunks = table(spark, folder, "chunks").select("chunk_id", "file_name", "name", "content")
+    return evaluation.per_query(hits.select("query_id", "rank", "chunk_id").join(chunks, "chunk_id"), _asked(spark, folder))
+
+
+@query
+def eval_precision_mrr(spark: SparkSession, folder: str) -> DataFrame:
+    scores = _judged(spark, folder, _hybrid(spark, folder, 10))
+    return scores.select("query_id", *[F.round(c, 6).alias(c) for c in ("p_at_1", "p_at_3", "p_at_5", "reciprocal_rank")], "results")
+
+
+@query
+def eval_report(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.report(_judged(spark, folder, _hybrid(spark, folder, 10)))
+
+
+@query
+def eval_ab(spark: SparkSession, folder: str) -> DataFrame:
+    near = vector.nearest(_vectors(spark, folder), _asked(spark, folder), 10)
+    runs = {"vector_only": near, "hybrid": _hybrid(spark, folder, 10)}
+    return evaluation.compare({name: evaluation.report(_judged(spark, folder, hits)) for name, hits in runs.items()})
+
+
+# Sessions
+
+
+@query
+def session_list(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sessions.latest(table(spark, folder, "sessions"))
+    return rows.select("id", "title", "project_id", "owner_id", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated"))
+
+
+@query
+def owner_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions each owner sees in public mode, counted."""
+    rows = sessions.latest(table(spark, folder, "sessions")).where("owner_id is not null")
+    return rows.groupBy("owner_id").agg(F.count("*").alias("sessions"), F.count_distinct("project_id").alias("projects"))
+
+
+@query
+def last_n_turns(spark: SparkSession, folder: str) -> DataFrame:
+    turns = sessions.last_turns(sessions.once(table(spark, folder, "messages")), 20)
+    return turns.select("session_id", "pos", "id", "role", F.md5("content").alias("content"))
+
+
+@query
+def query_rewrite(spark: SparkSession, folder: str) -> DataFrame:
+    """Each session's latest user turn, rewritten with the turns before it."""
+    turns = _history(spark, folder)
+    last = turns.where("role = 'user'").groupBy("query_id", "session_id").agg(F.max_by("content", "pos").alias("query"), F.max("pos").alias("at"))
+    before = turns.join(last.select("query_id", "at"), "query_id").where("pos < at")
+    return prompt.rewrite(before, last).join(last.select("query_id", "session_id"), "query_id").select("session_id", "rewritten")
+
+
+@query
+def auto_title(spark: SparkSession, folder: str) -> DataFrame:
+    first = _history(spark, folder).where("role = 'user'").groupBy("session_id").agg(F.min_by("content", "pos").alias("content"))
+    return first.select("session_id", text.auto_title("content").alias("title"))
+
+
+def _stale(spark: SparkSession, folder: str) -> DataFrame:
+    return sessions.latest(table(spark, folder, "sessions")).where("owner_id is null")
+
+
+@query
+def delete_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages left, by role, once the sessions without an owner are deleted."""
+    rows, messages = sessions.latest(table(spark, folder, "sessions")), sessions.once(table(spark, folder, "messages"))
+    left = sessions.delete_sessions(rows, messages, _stale(spark, folder))[1]
+    return left.groupBy(sessions.role_of().alias("role")).agg(F.count("*").alias("messages"))
+
+
+@query
+def project_set_null(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions once the projects without a language are deleted."""
+    projects = table(spark, folder, "projects")
+    gone = projects.where("coalesce(language, '') = ''")
+    rows = sessions.delete_projects(projects, sessions.latest(table(spark, folder, "sessions")), gone)[1]
+    return rows.select("id", "project_id")
+
+
+@query
+def session_touch(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sessions.touch(sessions.latest(table(spark, folder, "sessions")), sessions.once(table(spark, folder, "messages")))
+    return rows.select("id", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated"))
+
+
+# Files, chunks and imports
+
+
+@query
+def file_listing(spark: SparkSession, folder: str) -> DataFrame:
+    return sources.listing(table(spark, folder, "chunks"))
+
+
+@query
+def file_source(spark: SparkSession, folder: str) -> DataFrame:
+    found = _files(spark, folder)
+    return sources.source(found, table(spark, folder, "chunks"), found.select("project_id", "path")).select("project_id", "path", "lines", F.md5("content").alias("content"))
+
+
+def _keyed(spark: SparkSession, folder: str) -> DataFrame:
+    return _files(spark, folder).select(F.col("file_ord").alias("doc_id"), "file_name", "content")
+
+
+@query
+def split_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of every language but Python, split by pattern."""
+    found = chunking.chunk_files(_keyed(spark, folder).where("not endswith(lower(file_name), '.py')"), ["doc_id"])
+    return found.select("doc_id", "type", "name", "start_line", "end_line", F.md5("content").alias("content"))
+
+
+@query
+def py_ast_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    found = chunking.chunk_files(_keyed(spark, folder).where("endswith(lower(file_name), '.py')"), ["doc_id"])
+    return found.select("doc_id", "type", "name", "start_line", "end_line", F.md5("content").alias("content"))
+
+
+@query
+def chunk_types(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.chunk_files(_keyed(spark, folder), ["doc_id"]).groupBy("type").agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("files"))
+
+
+@query
+def infer_name(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "chunks").select("chunk_id", chunking.infer_name("content").alias("name"))
+
+
+@query
+def import_regex_js(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _keyed(spark, folder).where("lower(file_name) rlike '\\\\.(js|ts|jsx|tsx)$'")
+    return rows.select("doc_id", F.posexplode(imports.script_imports("content")).alias("pos", "module"))
+
+
+@query
+def import_regex_go(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _keyed(spark, folder).where("endswith(lower(file_name), '.go')")
+    return rows.select("doc_id", F.posexplode(imports.go_imports("content")).alias("pos", "module"))
+
+
+@query
+def import_regex_python(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _keyed(spark, folder).where("endswith(lower(file_name), '.py')")
+    return rows.select("doc_id", F.posexplode(imports.python_line_imports("content")).alias("pos", "module"))
+
+
+@query
+def py_imports(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _keyed(spark, folder).where("endswith(lower(file_name), '.py')")
+    return imports.file_imports(rows, ["doc_id"])
+
+
+# The graph
+
+
+def _script_graph(spark: SparkSession, folder: str) -> DataFrame:
+    found = _files(spark, folder)
+    return graph.build(found)[1]
+
+
+@query
+def resolve_imports(spark: SparkSession, folder: str) -> DataFrame:
+    """Script imports and the files they name."""
+    found = _files(spark, folder)
+    scripts = found.where("lower(file_name) rlike '\\\\.(js|ts|jsx|tsx)$'")
+    asked = scripts.select("project_id", "path", F.explode(imports.script_imports("content")).alias("module"))
+    return graph.resolve(asked, found)
+
+
+@query
+def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return _script_graph(spark, folder)
+
+
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers and the parts they deliver as a graph of its own."""
+    rows = table(spark, folder, "lineitem").where("l_suppkey is not null and l_partkey is not null")
+    return rows.select(F.lit("parts").alias("project_id"), F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
+
+
+@query
+def graph_neighbors(spark: SparkSession, folder: str) -> DataFrame:
+    near = graph.neighbours(_parts(spark, folder))
+    return near.groupBy("path").agg(F.count("*").alias("degree"), F.min("related").alias("first"), F.max("related").alias("last"))
+
+
+@query
+def graph_bfs(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes within two steps of each of ten suppliers, counted by steps."""
+    starts = table(spark, folder, "supplier").where("s_suppkey is not null").orderBy("s_suppkey").limit(10)
+    starts = starts.select(F.lit("parts").alias("project_id"), F.concat(F.lit("s"), "s_suppkey").alias("path"))
+    return graph.related(_parts(spark, folder), starts, 2).groupBy("path", "steps").agg(F.count("*").alias("nodes"))
+
+
+@query
+def graph_export(spark: SparkSession, folder: str) -> DataFrame:
+    found = _files(spark, folder)
+    all_imports, edges = graph.build(found)
+    nodes = graph.export(found, all_imports, edges)
+    return nodes.select("project_id", "path", "name", *[F.array_join(c, ",").alias(c) for c in ("imports", "dependencies", "dependents")])
+
+
+@query
+def graph_totals(spark: SparkSession, folder: str) -> DataFrame:
+    found = _files(spark, folder)
+    return graph.totals(found, graph.build(found)[1])
+
+
+@query
+def graph_context(spark: SparkSession, folder: str) -> DataFrame:
+    """For every file as a hit, the chunks of files next to it."""
+    found = _files(spark, folder)
+    hits = found.select(F.col("file_ord").alias("query_id"), "project_id", "path")
+    return graph.expand(hits, table(spark, folder, "chunks"), graph.build(found)[1])
+
+
+# Context and prompts
+
+
+def _hits(spark: SparkSession, folder: str) -> DataFrame:
+    return _hybrid(spark, folder).select("query_id", "rank", "chunk_id").join(table(spark, folder, "chunks"), "chunk_id")
+
+
+@query
+def build_context(spark: SparkSession, folder: str) -> DataFrame:
+    return prompt.context(_hits(spark, folder)).select("query_id", F.length("context").alias("chars"), F.md5("context").alias("context"))
+
+
+@query
+def build_messages(spark: SparkSession, folder: str) -> DataFrame:
+    made = prompt.messages(_asked(spark, folder), prompt.context(_hits(spark, folder)))
+    return made.select("query_id", F.size("messages").alias("turns"), F.md5(F.col("messages")[0]["content"]).alias("system"), F.md5(F.element_at("messages", -1)["content"]).alias("asked"))
+
+
+@query
+def chat_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts with history: each session's latest user turn after its last turns."""
+    turns = _history(spark, folder)
+    last = turns.where("role = 'user'").groupBy("query_id").agg(F.max_by("content", "pos").alias("query"))
+    none = last.select("query_id", F.lit("").alias("context"))
+    made = prompt.messages(last, none, turns)
+    joined = made.join(turns.select("query_id", "session_id").distinct(), "query_id")
+    roles = F.array_join(F.transform("messages", lambda m: m.role), ",")
+    return joined.select("session_id", F.size("messages").alias("turns"), roles.alias("roles"), F.md5(F.col("messages")[1]["content"]).alias("first"))
+
+
+@query
+def sources_json(spark: SparkSession, folder: str) -> DataFrame:
+    return prompt.sources(_hits(spark, folder)).select("query_id", "rank", "file", "lines", "name")
+
+
+@query
+def retrieve_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole pipeline: search, rerank, graph, sources."""
+    index = retrieve.Index(table(spark, folder, "chunks"), _vectors(spark, folder), _words(spark, folder), _script_graph(spark, folder))
+    found = retrieve.retrieve(index, _asked(spark, folder).select("query_id", "query", "embedding"))
+    return found.select("query_id", "rank", "chunk_id", "is_graph")
+
+
+# Limits, caches, statistics
+
+
+@query
+def rate_limit(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten events a day and user."""
+    return limits.rate_limited(table(spark, folder, "events"), limit=2, window=86400.0).select("user_id", "event_id", "allowed")
+
+
+@query
+def lru_hits(spark: SparkSession, folder: str) -> DataFrame:
+    return limits.lru_hits(table(spark, folder, "events"), "event_type", "user_id", size=64).select("event_type", "event_id", "hit")
+
+
+@query
+def ttl_hits(spark: SparkSession, folder: str) -> DataFrame:
+    found = limits.ttl_hits(table(spark, folder, "events"), "event_type", "user_id", size=10_000_000, ttl=86400.0 * 2)
+    return found.select("event_type", "event_id", "hit")
+
+
+@query
+def cache_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return limits.cache_stats(limits.lru_hits(table(spark, folder, "events"), "event_type", "user_id", size=64), "event_type")
+
+
+@query
+def index_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return stored.stats(table(spark, folder, "chunks"), table(spark, folder, "chunk_vectors"))
+
+
+@query
+def cache_key_sha(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "sessions").where("title is not null").select("title", "project_id").distinct()
+    return rows.select("title", "project_id", text.cache_key("title", "project_id").alias("key"))
