@@ -11,13 +11,14 @@ from quarry.operators.limits import SlidingWindow
 
 
 class Limiter(StatefulProcessor):
-    """Per key the times admitted within the window; idle keys' state expires."""
+    """Per key the times admitted within the window; where `expire` is set, idle keys' state ends by itself."""
 
-    def __init__(self, limit: int, window: float):
-        self.limit, self.window = limit, window
+    def __init__(self, limit: int, window: float, expire: bool):
+        self.limit, self.window, self.expire = limit, window, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", StructType([StructField("t", DoubleType())]), ttlDurationMs=int(self.window * 10_000))
+        ttl = int(self.window * 10_000) if self.expire else None
+        self.times = handle.getListState("times", StructType([StructField("t", DoubleType())]), ttlDurationMs=ttl)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         window = SlidingWindow(self.limit, self.window)
@@ -31,8 +32,16 @@ class Limiter(StatefulProcessor):
         pass
 
 
-def rate_limited(events: DataFrame, limit: int = 10, window: float = 60.0) -> DataFrame:
-    """A stream of (`key`, `event_id`, `t` in seconds) as (`key`, `event_id`, `allowed`), in order within each micro-batch."""
+def rate_limited(events: DataFrame, limit: int = 10, window: float = 60.0, expire: bool = True) -> DataFrame:
+    """A stream of (`key`, `event_id`, `t` in seconds) as (`key`, `event_id`, `allowed`), in order within each micro-batch.
+
+    With `expire` state of idle keys ends after ten windows, which keeps an open-ended stream's
+    state small. It makes Spark run batches without data, so a run over what is available now
+    never ends by itself: leave it off there.
+    """
     return events.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Limiter(limit, window), outputStructType="key string, event_id long, allowed boolean", outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=Limiter(limit, window, expire),
+        outputStructType="key string, event_id long, allowed boolean",
+        outputMode="Append",
+        timeMode="ProcessingTime" if expire else "None",
     )
