@@ -12,6 +12,7 @@ import base64
 import binascii
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -283,7 +284,7 @@ def scanned(documents: DataFrame, chunks: DataFrame, words: dict[str, float] | N
                 found = find(content, name, known)
                 if found:
                     starts = [m.end() for m in _LINE.finditer(content)]
-                    lines = sorted({sum(1 for s in starts if s <= spans[0][0]) + 1 for spans in found})
+                    lines = sorted({bisect_right(starts, spans[0][0]) + 1 for spans in found})
                     out.append((origin, row, lines, masked(content, found)))
             yield pd.DataFrame(out, columns=["origin", "row_id", "line_nos", "masked"])
 

@@ -97,10 +97,10 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
 
     `piece` counts from 0, `overlap` characters at its start repeat the piece before, `inside`
     says that its end cuts a line. Lines are the chunk's first line plus the line ends before;
-    they stay null where the chunk's is null. Without overlaps the pieces of a chunk make its content.
+    they stay null where the chunk's is null. Chunks without an id are left out. Without overlaps the pieces of a chunk make its content.
     """
     columns = ["chunk_id", "content", "start_line", *_KEPT]
-    long = chunks.where(F.length("content") > limit).select(*[c if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    long = chunks.where(F.col("chunk_id").isNotNull() & (F.length("content") > limit)).select(*[c if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in columns])
     names = [c.split()[0] for c in _PIECES.split(", ")]
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,7 +121,7 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
 
 def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """All chunks: those within the limit unchanged as one piece, the others as their pieces. Null content stays one piece."""
-    short = chunks.where(F.coalesce(F.length("content"), F.lit(0)) <= limit)
+    short = chunks.where(F.col("chunk_id").isNotNull() & (F.coalesce(F.length("content"), F.lit(0)) <= limit))
     columns = ["chunk_id", "piece", "pieces", "content", "start_line", "end_line", "overlap", *_KEPT]
     same = short.withColumns({"piece": F.lit(0), "pieces": F.lit(1), "overlap": F.lit(0)}).select(*columns)
     return same.unionByName(split_oversized(chunks, limit, overlap).select(*columns))

@@ -7,7 +7,7 @@ marker). A pushdown stack then walks the brackets of that string: it reports a b
 closes nothing or the wrong one and what is open at the end, and it gives each bracketed stretch
 its kind (control head, call, block, literal). Patterns over the class string say which
 neighbours the grammar forbids: two operands side by side, an operator without an operand, a
-block header without its block. JSON is reduced on the stack until one value is left.
+block header without its block. JSON needs no patterns: the stack says what may come next.
 
 Python and JSON verdicts are confirmed by their parsers; other languages have none here.
 """
@@ -32,7 +32,7 @@ _NAME = r"[^\W\d][\w$]*"
 _NUMBER = r"\.?\d(?:[eEpP][+-]\d|[\w.])*"
 
 _LEX = {
-    "javascript": rf"[ \t\f\v\xa0]*((?:{_MARK})|\n|{_COMMENT}|{_STRING}|`(?:[^`\\]|\\[\s\S])*+`|[$#]?{_NAME}|[$][\w$]*|{_NUMBER}"
+    "javascript": rf"[ \t\f\v\xa0]*((?:{_MARK})|\n|{_COMMENT}|{_STRING}|`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\$\{{(?:[^`{{}}]|`[^`]*`|\{{[^{{}}]*\}})*\}})*+`|[$#]?{_NAME}|[$][\w$]*|{_NUMBER}"
     r"|(?:[=(,:!&|?;{}\[>]|(?<![\w$.])return)[ \t]*/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*|=>|\.\.\.|\?\.(?!\d)|\+\+|--|\*\*=|\*\*|>>>=|<<=|>>=|>>>|>>|<<|===|!==|==|!=|<=|>=|&&=|\|\|=|\?\?=|&&|\|\||\?\?|[-+*/%&|^]=|[\s\S])",
     "java": rf'[ \t\f]*((?:{_MARK})|\n|{_COMMENT}|"""[\s\S]*?(?<!\\)"""|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\u+[0-9a-fA-F]{{4}}|\\[0-7]{{1,3}}|\\.)\'|[$]?{_NAME}|{_NUMBER}|->|::|\.\.\.|\+\+|--|>>>=|<<=|>>=|<<|==|!=|<=|>=|&&|\|\||[-+*/%&|^]=|[\s\S])',
     "go": rf"[ \t]*((?:{_MARK})|\n|{_COMMENT}|" + r'"(?:[^"\\\n]|\\.)*+"|`[^`]*`|\'(?:[^\'\\\n]|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}|.))\'' + rf"|{_NAME}|{_NUMBER}|:=|\.\.\.|<-|\+\+|--|<<=|>>=|&\^=|&\^|<<|>>|==|!=|<=|>=|&&|\|\||[-+*/%&|^]=|[\s\S])",
@@ -75,7 +75,7 @@ class _Classes(dict):
     """Token -> class letter; names are kept up to a bound, so a long run cannot fill memory."""
 
     def __init__(self, language: str):
-        punct = {c: c for c in "()[]{};,:.?=@*<>"} | {"\n": "N", "=>": "^", "->": "^", "::": ".", "...": "D", "?.": ".", "++": "p", "--": "p", "+": "+", "-": "+", "!": "!", "~": "!", ":=": "="}
+        punct = {c: c for c in "()[]{};,:.?=@*<>"} | {"\n": "N", "=>": "^", "->": "^", "::": ".", "...": "D", "?.": "q", "++": "p", "--": "p", "+": "+", "-": "+", "!": "!", "~": "!", ":=": "="}
         punct |= {t: "b" for t in "/ % & | ^ ** >>> >> << === !== == != <= >= && || ??".split()} | {t: "=" for t in "+= -= *= /= %= &= |= ^= **= >>>= <<= >>= &&= ||= ??= &^= //= @=".split()}
         if language == "go":
             punct |= {"<-": "!", "&": "+", "^": "+", "&^": "b"}
@@ -153,11 +153,13 @@ def _walk(s: str, language: str) -> tuple[str, str | None]:
             tail = piece.rstrip("N")
             before = tail[-1:] or previous
             kind = before
-            if c == "(" and before in "wC" and before:
+            if c == "(" and before and (before in "wC" or before == "i" and _DECORATOR.search(piece)):
                 kind = "control"
             elif c == "{":
                 if before == "t":
                     kind = "try"
+                elif before == "m":
+                    kind = "either"  # a static block, or what an annotation's element defaults to
                 elif before and before in "=,([:?]r^+b&|!u" or before == "{" and stack and stack[-1][1] == "literal":
                     kind = "literal" if not (language == "java" and before == "^") else "block"
                 else:
@@ -192,30 +194,30 @@ def _walk(s: str, language: str) -> tuple[str, str | None]:
 #: What may not stand side by side, per language, over the marked class string. Each entry: defect, pattern.
 _JS = [
     ("adjacent operands", r"[ns\])i][ins]|[Fi]Fi|F[in]|T[in]|[ns\])]T|@[^ic]"),
-    ("operator without operand", r"[=b+!.?*^]N*[)\];]|[=b+!.]N*\}|[=b+!(\[]N*b|=N*=|[=b+!.,^?]N*\Z|[(\[,=b]N*[,=]|\.N*[ns(\[{]|,N*;"),
+    ("operator without operand", r"[=b+!.?*^]N*[)\];]|[=b+!.]N*\}|[=b+!(\[]N*b|=N*=|[=b+!.,^?]N*\Z|[(=b]N*[,=]|\.N*[ns(\[{]|,N*;"),
     ("declaration", r"[dv][^iaFAO{\[N]|[dv]i[^=;,NoO)}]|di(?:[;,]|N*\Z|N+[^N=oO,;:.(\[])|f[^i(*aFA]|fi[^(]|ci[^{eN]"),
-    ("statement head", r"w(?![(u])|C[^({]|t[^{N]|l[)\]},;=]|k[ns(\[]"),
+    ("statement head", r"w(?![(u:])|C[^({]|t[^{N]|l[)\]},;=]|k[ns(\[]"),
     ("module", r"(?<!\.)I[^si{*(.aFAON]|(?<![.\w])Ii[^F,]|X[^dvfcaK{*]|F(?=[N;])(?<=[}i]F)"),
     ("object as statement", r"\AN*\{N*s:"),
     ("markup", r"(?:\A|[N;=(])N*<"),
 ]
 _TS = [
     ("adjacent operands", r"[ns\])i][ns]|[n)\]s]i|(?<!m)ii|F[in]|T[in]|@[^ic]"),
-    ("operator without operand", r"[=b+.*^]N*[);]|[=b+.]N*\}|[=(\[]N*b|=N*=|[=b+!.,^?:]N*\Z|[(\[,]N*,|\.N*[ns\[{]|,N*;"),
+    ("operator without operand", r"[=b+.*^]N*[);]|[=b+.]N*\}|[=(\[]N*b|=N*=|[=b+!.,^?:]N*\Z|\(N*,|\.N*[ns\[{]|,N*;"),
     ("declaration", r"[dv][^iaFAOm{\[N]|[dv]i[^=;,NoO)}:!]|di(?:[;,]|N*\Z)|f[^i(*aFAm<]|fi[^(<]|ci[^{eN<m]"),
-    ("statement head", r"w(?![(u])|C[^({]|t[^{N]|l[)\]},;=]|k[ns(\[]"),
+    ("statement head", r"w(?![(u:])|C[^({]|t[^{N]|l[)\]},;=]|k[ns(\[]"),
     ("module", r"(?<!\.)I[^si{*(.aFAOmN]|(?<![.\w])Ii[^F,=]|X[^dvfcaK{*mi=A]|F(?=[N;])(?<=[}i]F)"),
     ("object as statement", r"\AN*\{N*s:"),
     ("markup", r"(?:\A|[N;])N*<"),
 ]
 _JAVA = [
     ("adjacent operands", r"[ns][ins]|[^\[]\]i|\][ns]|i[ns]|iii|@[^ic]|(?<=[i\]>)])\([^()]*\)[ins]|s\("),
-    ("operator without operand", r"[=b+!.,?*^][)\];]|[=b+!.][}]|[=b+!(\[][b=]|==|[(\[,],|\.[ns(\[{]|,;|[=(][<>*]"),
+    ("operator without operand", r"[=b+!.,?^][)\];]|(?<!\.)\*[)\];]|[=b+!.][}]|[=b+!(\[][b=]|==|[(\[,],|\.[ns(\[{]|,;|[=(][<>*]"),
     ("statement head", r"w[^(]|C[^(]|t[^{(]|k[ns(]|l[)\],;=]"),
 ]
 _GO = [
     ("adjacent operands", r"[n)\]}s][ns]|(?<!I)(?<!N)i[ns]|[ns]i|T[in]|@"),
-    ("operator without operand", r"[=b+!.*]N*[)\];}]|[=b!(\[]N*b|=N*=|[(\[]N*[,=]|,N*,|\.N*[ns\[{]|,;|[=b]N*\Z"),
+    ("operator without operand", r"[=b+!.*]N*[)\];}]|[=b!(\[]N*b|=N*=|[(\[]N*[,=]|,N*,|\.N*[n\[{]|,;|[=b]N*\Z"),
     ("statement head", r"w[NZ)\]};]|l[^{w]|k[ns(]"),
 ]
 _PYTHON = [
@@ -230,6 +232,8 @@ _TOP = {
     "java": re.compile(r"(?:@i(?:\.i)*(?:\(\))?)*(?:Pi(?:\.i)*;)?(?:Im?i(?:\.(?:i|\*|m))*;|;)*(?:(?:m|i[+]i|@i(?:\.i)*(?:\(\))?)*(?:@?c|i)i[^{}=;]*\{\};?)*\Z"),
     "go": re.compile(r"[N;]*Pi[N;]+(?:(?:I(?:i|\.|_)?s|I\(\)|d\(\)|[fd][^N;={]*(?:=[^N]*(?:(?<=[-+b,=.])N+[^N]*)*|\{\}[^N]*)?)(?:[N;]+|\Z))*\Z"),
 }
+_ANNOTATION = re.compile(r"@i(?:\.i)*+(?![.(i]*\()")
+_DECORATOR = re.compile(r"@i(?:\.i)*\Z")
 _MEMBER = re.compile(r"\.[a-zA-Z](?<![snNETDI])")
 _JS_PARAMETER = re.compile(r"[(,]N*(?:D)?i:")
 
@@ -290,26 +294,45 @@ def _indents(text: str) -> bool:
 
 
 def _json_defect(text: str) -> str | None:
-    tokens = _JSON.findall(text)
-    s = "".join(["v" if t in ("true", "false", "null") or t[0] in "-0123456789" and len(t) >= 1 and _JSON_NUMBER.fullmatch(t) else "s" if t[0] == '"' and len(t) > 1 else t if t in "{}[]:," else "E" for t in tokens])
-    if "E" in s:
-        return "unreadable token"
-    s = re.sub(r"s(?!:)", "v", s)
-    while True:
-        reduced = _JSON_REDUCE.sub("v", s)
-        if reduced == s:
-            break
-        s = reduced
-    if s == "v":
-        return None
-    if not s:
-        return "premature end"
-    return "premature end" if s.count("{") + s.count("[") > s.count("}") + s.count("]") else "misplaced"
+    """JSON on a pushdown stack: what is open, and what may come next."""
+    stack: list[str] = []
+    wants = "value"  # value, value or ], name, name or }, colon, or end (a comma or the closing bracket)
+    for t in _JSON.findall(text):
+        c = t[0]
+        if c == '"' and len(t) > 1:
+            if wants in ("name", "name or }"):
+                wants = "colon"
+                continue
+            if wants not in ("value", "value or ]"):
+                return "misplaced"
+            wants = "end"
+        elif t in ("true", "false", "null") or (c in "-0123456789" and _JSON_NUMBER.fullmatch(t)):
+            if wants not in ("value", "value or ]"):
+                return "misplaced"
+            wants = "end"
+        elif c in "{[":
+            if wants not in ("value", "value or ]"):
+                return "misplaced"
+            stack.append(c)
+            wants = "name or }" if c == "{" else "value or ]"
+        elif c in "}]":
+            if not stack or stack[-1] != _CLOSE[c]:
+                return "unbalanced"
+            if wants not in ("end", "name or }", "value or ]"):
+                return "misplaced"
+            stack.pop()
+            wants = "end"
+        elif c == ":" and wants == "colon":
+            wants = "value"
+        elif c == "," and wants == "end" and stack:
+            wants = "name" if stack[-1] == "{" else "value"
+        else:
+            return "misplaced" if c in ":," else "unreadable token"
+    return None if wants == "end" and not stack else "premature end"
 
 
 _JSON = re.compile(r'[ \t\n\r]*("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"|[-\d][-+.\w]*|true|false|null|[\s\S])')
 _JSON_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
-_JSON_REDUCE = re.compile(r"\{(?:s:v(?:,s:v)*)?\}|\[(?:v(?:,v)*)?\]")
 
 
 def defect(text: str, language: str) -> str | None:
@@ -349,6 +372,7 @@ def _code_defect(text: str, language: str) -> str | None:
     s = _letters(text, language)
     if language != "python":  # after a dot a keyword is a name
         s = _MEMBER.sub(".i", s)
+        s = _ANNOTATION.sub("N" if language == "javascript" else "m", s)
     if "E" in s:
         return "unreadable token" if not re.search(_MARK, text) else "merge conflict"
     if language == "python":
