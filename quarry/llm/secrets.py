@@ -90,6 +90,12 @@ def _is_key(name: str, value: str) -> bool:
     return name.strip("\"'").lower() in ("key", "auth", "authkey") and kinds >= 3 and any(c.isdigit() for c in value) and not _HASH.fullmatch(value)
 
 
+def _means_secret(pair: re.Match, value: str) -> bool:
+    """Whether the name assigned to, or the name of the variable that the value stands in for, means a secret."""
+    read = re.findall(r"\w+", pair["gap"])
+    return is_secret_name(pair["name"]) or _is_key(pair["name"], value) or bool(read) and is_secret_name(read[-1])
+
+
 def unexplained(literal: str, dictionary: dict[str, float]) -> int:
     """Letters and digits that the cheapest (Viterbi) segmentation into dictionary words leaves over.
 
@@ -182,7 +188,7 @@ def find(text: str, file_name: str | None, dictionary: dict[str, float]) -> list
         if any(a < end and start < b for a, b in blocks):
             continue
         line = text[start:end]
-        pairs = {m.start("v"): m["name"] for m in _PAIR.finditer(line)}
+        pairs = {m.start("v"): m for m in _PAIR.finditer(line)}
         for m in _LITERAL.finditer(line):
             spans, value, stop = [(start + m.start(2), start + m.end(2))], m[2], start + m.end()
             while more := _MORE.match(text, stop):
@@ -190,7 +196,7 @@ def find(text: str, file_name: str | None, dictionary: dict[str, float]) -> list
                 value, stop = value + more[2], more.end()
             if typed := _typed(value):
                 add(*_parts(spans, *typed))
-            elif m.start(2) in pairs and (is_secret_name(name := pairs[m.start(2)]) or _is_key(name, value)) and _usable(value) and "://" not in value:
+            elif m.start(2) in pairs and _means_secret(pairs[m.start(2)], value) and _usable(value) and "://" not in value:
                 if unexplained(value, dictionary) >= RESIDUAL:
                     add(*spans)
         comment = _COMMENT.search(line)
@@ -249,7 +255,8 @@ def _word_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(counts) > 200_000:
             yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
             counts.clear()
-    yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+    if counts:  # an empty frame would have no string column
+        yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
 
 def dictionary(documents: DataFrame, share: float = WORD_SHARE) -> dict[str, float]:

@@ -26,7 +26,7 @@ from pyspark.sql.types import StringType
 LANGUAGES = {".py": "python", ".js": "javascript", ".ts": "typescript", ".java": "java", ".go": "go", ".json": "json"}
 
 _STRING = r'"(?:[^"\\\n]|\\[\s\S])*+"' + r"|'(?:[^'\\\n]|\\[\s\S])*+'"
-_COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
+_COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/|/\*"
 _MARK = r"(?<=\n)<{7}(?= |\n)[^\n]*|(?<=\n)>{7}(?= |\n)[^\n]*|(?<=\n)\|{7}(?= |\n)[^\n]*|(?<=\n)={7}(?=\n)"
 _NAME = r"[^\W\d][\w$]*"
 _NUMBER = r"\.?\d(?:[eEpP][+-]\d|[\w.])*"
@@ -96,6 +96,8 @@ class _Classes(dict):
 
     def _of(self, t: str) -> str:
         h = t[0]
+        if t == "/*":
+            return "E"
         if len(t) > 1 and (h == "/" and t[1] in "/*" or h == "#" and self.language == "python"):
             return "N" if "\n" in t else " "
         if h == "#" and self.language == "python":
@@ -350,7 +352,7 @@ def defect(text: str, language: str) -> str | None:
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "\0" in text:
         return "unreadable token"
-    found = _code_defect("\n" + text, language)
+    found = _code_defect(f"\n{text}\n", language)
     if found and language == "python":
         try:
             with warnings.catch_warnings():
