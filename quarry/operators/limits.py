@@ -8,6 +8,7 @@ times of one window, or the entries of one cache): no task ever holds a key's lo
 from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,7 +75,7 @@ def _replay(log: DataFrame, scope: str, time: str, tie: str, start: Callable[[],
                 if s != at:
                     at, step = s, start()
                 out.append(step(k, t / 1e6))
-            yield batch[columns].assign(**{flag: out})
+            yield batch[columns].assign(**{flag: np.array(out, dtype=bool)})
 
     return rows.mapInPandas(run, schema)
 
