@@ -59,9 +59,12 @@ class LruTtl(Lru):
         return super().access(key, now)
 
 
-def _replay(log: DataFrame, scope: str, time: str, tie: str, start: Callable[[], Callable[[object, float], bool]], key: str | None, flag: str) -> DataFrame:
-    """`log` with `flag`, each scope's rows in the order of (time, tie). Rows without scope or time are left out."""
-    columns = list(dict.fromkeys([scope, time, tie, *([key] if key else [])]))
+def _replay(log: DataFrame, scope: str, time: str, tie: str, start: Callable[[], Callable[[object, float], bool]], key: str | None, flag: str, clear: str | None = None) -> DataFrame:
+    """`log` with `flag`, each scope's rows in the order of (time, tie). Rows without scope or time are left out.
+
+    Where the column `clear` is true, the scope starts anew and the row itself is no access.
+    """
+    columns = list(dict.fromkeys([scope, time, tie, *([key] if key else []), *([clear] if clear else [])]))
     rows = log.where(F.col(scope).isNotNull() & F.col(time).isNotNull()).select(*columns, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"))
     rows = rows.repartition(scope).sortWithinPartitions(scope, time, tie)
     schema = rows.drop("_t").schema.add(flag, "boolean")
@@ -71,10 +74,11 @@ def _replay(log: DataFrame, scope: str, time: str, tie: str, start: Callable[[],
         for batch in batches:
             out = []
             keys = batch[key] if key else batch[scope]
-            for s, k, t in zip(batch[scope], keys, batch["_t"]):
-                if s != at:
+            cleared = batch[clear] if clear else [False] * len(batch)
+            for s, k, t, c in zip(batch[scope], keys, batch["_t"], cleared):
+                if s != at or c:
                     at, step = s, start()
-                out.append(step(k, t / 1e6))
+                out.append(not c and step(k, t / 1e6))
             yield batch[columns].assign(**{flag: np.array(out, dtype=bool)})
 
     return rows.mapInPandas(run, schema)
@@ -85,14 +89,14 @@ def rate_limited(events: DataFrame, scope: str = "user_id", time: str = "ts", ti
     return _replay(events, scope, time, tie, lambda: (lambda w: lambda _, t: w.allow(t))(SlidingWindow(limit, window)), None, "allowed")
 
 
-def lru_hits(log: DataFrame, scope: str, key: str, time: str = "ts", tie: str = "event_id", size: int = 2048) -> DataFrame:
-    """Accesses with `hit` of a cache per scope."""
-    return _replay(log, scope, time, tie, lambda: Lru(size).access, key, "hit")
+def lru_hits(log: DataFrame, scope: str, key: str, time: str = "ts", tie: str = "event_id", size: int = 2048, clear: str | None = None) -> DataFrame:
+    """Accesses with `hit` of a cache per scope. Rows where `clear` is true empty their own scope's cache."""
+    return _replay(log, scope, time, tie, lambda: Lru(size).access, key, "hit", clear)
 
 
-def ttl_hits(log: DataFrame, scope: str, key: str, time: str = "ts", tie: str = "event_id", size: int = 256, ttl: float = 300.0) -> DataFrame:
-    """Accesses with `hit` of a cache per scope whose entries end after `ttl` seconds."""
-    return _replay(log, scope, time, tie, lambda: LruTtl(size, ttl).access, key, "hit")
+def ttl_hits(log: DataFrame, scope: str, key: str, time: str = "ts", tie: str = "event_id", size: int = 256, ttl: float = 300.0, clear: str | None = None) -> DataFrame:
+    """Accesses with `hit` of a cache per scope whose entries end after `ttl` seconds; `clear` as for `lru_hits`."""
+    return _replay(log, scope, time, tie, lambda: LruTtl(size, ttl).access, key, "hit", clear)
 
 
 def cache_stats(hits: DataFrame, scope: str) -> DataFrame:

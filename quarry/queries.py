@@ -10,6 +10,7 @@ from quarry.operators import bm25, chunking, evaluation, fusion, graph, imports,
 from quarry.plans import retrieve
 from quarry.sources import files as sources
 from quarry.sources import index as stored
+from quarry.sources import store
 from quarry.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -417,3 +418,25 @@ def index_stats(spark: SparkSession, folder: str) -> DataFrame:
 def cache_key_sha(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "sessions").where("title is not null").select("title", "project_id").distinct()
     return rows.select("title", "project_id", text.cache_key("title", "project_id").alias("key"))
+
+
+@query
+def embed_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Stand-in embeddings of all chunks; each distinct text is embedded once."""
+    rows = stored.embedded(table(spark, folder, "chunks").select("chunk_id", "content"))
+    return rows.select("chunk_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
+
+
+@query
+def eval_json(spark: SparkSession, folder: str) -> DataFrame:
+    near = vector.nearest(_vectors(spark, folder), _asked(spark, folder), 10)
+    report = evaluation.report(_judged(spark, folder, near)).withColumn("run", F.lit("vector_only"))
+    return store.report_json(report)
+
+
+@query
+def cache_invalidation(spark: SparkSession, folder: str) -> DataFrame:
+    """Sign-ups empty the cache of their user; hits of the other events by type."""
+    log = table(spark, folder, "events").withColumn("fresh", F.col("event_type") == "signup")
+    hits = limits.lru_hits(log, "user_id", "event_type", clear="fresh")
+    return hits.where("not fresh").groupBy("event_type").agg(F.count_if("hit").alias("hits"), F.count("*").alias("accesses"))
