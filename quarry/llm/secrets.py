@@ -84,10 +84,19 @@ def is_secret_name(name: str) -> bool:
     return bool(_SECRET & set(words)) or any(p in _SECRET_PAIRS for p in zip(words, words[1:])) or words[-1] in ("pass", "apikey") or "apikey" in "".join(words)
 
 
+def _kinds(value: str) -> int:
+    """How many of lower case, upper case, digits and other characters a value has."""
+    return sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+
+
 def _is_key(name: str, value: str) -> bool:
     """A bare `key` or `auth` may hold anything; a secret shows by digits and by more than one kind of character."""
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return name.strip("\"'").lower() in ("key", "auth", "authkey") and kinds >= 3 and any(c.isdigit() for c in value) and not _HASH.fullmatch(value)
+    return name.strip("\"'").lower() in ("key", "auth", "authkey") and _kinds(value) >= 3 and any(c.isdigit() for c in value) and not _HASH.fullmatch(value)
+
+
+def _unexplained(value: str, dictionary: dict[str, float]) -> bool:
+    """Whether the dictionary leaves enough of a value over; made of three kinds of characters, two are enough."""
+    return unexplained(value, dictionary) >= (2 if _kinds(value) >= 3 else RESIDUAL)
 
 
 def _means_secret(pair: re.Match, value: str) -> bool:
@@ -197,19 +206,19 @@ def find(text: str, file_name: str | None, dictionary: dict[str, float]) -> list
             if typed := _typed(value):
                 add(*_parts(spans, *typed))
             elif m.start(2) in pairs and _means_secret(pairs[m.start(2)], value) and _usable(value) and "://" not in value:
-                if unexplained(value, dictionary) >= RESIDUAL:
+                if _unexplained(value, dictionary):
                     add(*spans)
         comment = _COMMENT.search(line)
         if (config or not comment) and (m := _BARE.match(line)) and config:
             if typed := _typed(m["v"]):
                 add((start + m.start("v") + typed[0], start + m.start("v") + typed[1]))
-            elif is_secret_name(m["name"]) and _usable(m["v"]) and "://" not in m["v"] and "$" not in m["v"][:2] and unexplained(m["v"], dictionary) >= RESIDUAL:
+            elif is_secret_name(m["name"]) and _usable(m["v"]) and "://" not in m["v"] and "$" not in m["v"][:2] and _unexplained(m["v"], dictionary):
                 add((start + m.start("v"), start + m.end("v")))
         if comment:
             for rule in (_SAID, _LOGIN):
                 for m in rule.finditer(line, comment.start("text")):
                     value = m["v"].rstrip(".,;)")
-                    if _usable(value) and "://" not in value and "(" not in value and not value.isalpha() and unexplained(value, dictionary) >= RESIDUAL:
+                    if _usable(value) and "://" not in value and "(" not in value and not value.isalpha() and _unexplained(value, dictionary):
                         add((start + m.start("v"), start + m.start("v") + len(value)))
         for m in _USER.finditer(line):
             group = "v" if m["v"] else "w"
