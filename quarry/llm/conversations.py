@@ -30,13 +30,17 @@ def says_something(column: str = "content") -> Column:
     return F.coalesce(F.col(column), F.lit("")).rlike(r"[\p{L}\p{Nd}]")
 
 
-def prepared(messages: DataFrame) -> DataFrame:
-    """One row per `id` (the last loaded; rows without an id are left out) with a session, `role` normalised; system rows included."""
-    columns = [c for c in ("id", "session_id", "role", "content", "created_at", "reply_to") if c in messages.columns]
-    # The whole row ranks, so that two deliveries with equal load times still give one answer.
-    row = F.struct(F.col("loaded_at").isNotNull(), "loaded_at", *[c for c in columns if c != "id"])
+def prepared(messages: DataFrame, texts: bool = True) -> DataFrame:
+    """One row per `id` (the last loaded; rows without an id are left out) with a session, `role` normalised; system rows included.
+
+    Without `texts` the content shrinks, before the shuffle, to whether it says something.
+    """
+    columns = [c for c in ("session_id", "role", "created_at", "reply_to") if c in messages.columns]
+    content = F.col("content") if texts else F.when(says_something(), F.lit("x")).otherwise(F.lit(""))
+    # The whole row ranks, so that two deliveries with equal load times still give one answer, with texts or without.
+    row = F.struct(F.col("loaded_at").isNotNull(), "loaded_at", *columns, F.xxhash64("content"), content.alias("content"))
     last = messages.where("id is not null").groupBy("id").agg(F.max(row).alias("r"))
-    out = last.select("id", *[F.col(f"r.{c}").alias(c) for c in columns if c != "id"])
+    out = last.select("id", *[F.col(f"r.{c}").alias(c) for c in (*columns, "content")])
     return out.where("session_id is not null").withColumn("role", norm_role())
 
 
@@ -67,13 +71,13 @@ def _kahn(rows: list[tuple], has_parent: bool) -> tuple[list[tuple], list[tuple]
 _TURNS = "session_id string, pid int, pos long, id long, role string, content string, created_at timestamp, leftover boolean, prev_id long, prev_role string, prev_content string"
 
 
-def ordered_turns(messages: DataFrame) -> DataFrame:
+def ordered_turns(messages: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Turns of the sessions in which every row has a time, without system rows, each with the turn before it.
 
     Columns: `session_id`, `pid`, `pos` (order: pid, pos), `id`, `role`, `content`, `created_at`,
     `leftover` (on a cycle of replies), `prev_id`, `prev_role`, `prev_content`.
     """
-    rows = prepared(messages)
+    rows = prepared(messages) if rows is None else rows
     undated = rows.where("created_at is null").select("session_id").distinct()
     rows = rows.join(undated, "session_id", "left_anti").where("role <> 'system'")
     has_parent = "reply_to" in rows.columns
@@ -117,9 +121,10 @@ def ordered_turns(messages: DataFrame) -> DataFrame:
     )
 
 
-def _flags(sessions: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per session id what speaks against it, and the ordered turns."""
-    turns = ordered_turns(messages)
+def _flags(sessions: DataFrame, messages: DataFrame, texts: bool) -> tuple[DataFrame, DataFrame]:
+    """Per session id what speaks against it, and the ordered turns (without `texts` they tell only whether they say something)."""
+    all_rows = written(prepared(messages, texts), "prepared")
+    turns = ordered_turns(messages, all_rows)
     has_text = says_something()
     # A turn tells about itself and about the turn before it; the last turn of a session is told by the maximum.
     told = turns.withColumn("text", has_text).select(
@@ -129,7 +134,6 @@ def _flags(sessions: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFra
         F.struct("pid", "pos", "role").alias("at"),
     )
     order = told.groupBy("session_id").agg(F.max("disorder").alias("disorder"), F.max("unanswered").alias("unanswered"), (F.max("at")["role"] == "user").alias("open"))
-    all_rows = prepared(messages)
     spoken = F.col("role") != "system"
     rows = all_rows.groupBy("session_id").agg(
         F.max(spoken & says_something()).alias("text"),
@@ -154,7 +158,7 @@ def dropped(sessions: DataFrame, messages: DataFrame) -> DataFrame:
 
     Ids come from both tables; a session without rows is empty. Null ids are no sessions. Empty tables give no row.
     """
-    return _flags(sessions, messages)[0].where("reason is not null")
+    return _flags(sessions, messages, texts=False)[0].where("reason is not null")
 
 
 def conversations(sessions: DataFrame, messages: DataFrame) -> DataFrame:
@@ -162,7 +166,7 @@ def conversations(sessions: DataFrame, messages: DataFrame) -> DataFrame:
 
     One row per turn, not one array per session: a session of millions of turns stays spread out.
     """
-    reasons, turns = _flags(sessions, messages)
+    reasons, turns = _flags(sessions, messages, texts=True)
     kept = turns.join(reasons.where("reason is null"), "session_id", "left_semi")
     sizes = kept.groupBy("session_id", "pid").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("session_id").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
