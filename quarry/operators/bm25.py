@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from quarry.functions.text import tokens
 
 K1, B = 1.5, 0.75
+#: Query terms up to which they are broadcast to the postings; more are joined by shuffle.
+BROADCAST_TERMS = 200_000
 
 
 @dataclass(frozen=True)
 class Bm25:
-    """`postings(chunk_id, term, tf)`, `lengths(chunk_id, dl)`, `frequencies(term, df)`, `corpus(n, avg_dl)` (one row)."""
+    """`postings(chunk_id, term, tf, dl)`, `lengths(chunk_id, dl)`, `frequencies(term, df)`, `corpus(n, avg_dl)` (one row)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -29,10 +31,18 @@ def terms(chunks: DataFrame, text: str = "content", key: str = "chunk_id") -> Da
     return chunks.select(key, F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def fit(chunks: DataFrame, text: str = "content") -> Bm25:
-    """The tables of a corpus. Texts without a token count in `n` and in the mean length (which is 1 for no texts)."""
-    postings = terms(chunks, text)
-    lengths = chunks.select("chunk_id", F.size(tokens(text)).cast("long").alias("dl"))
+def fit(chunks: DataFrame, text: str = "content", only: DataFrame | None = None) -> Bm25:
+    """The tables of a corpus. Texts without a token count in `n` and in the mean length (which is 1 for no texts).
+
+    With `only(term)` postings and frequencies are kept for these terms alone, before anything is
+    shuffled: enough, and exact, for queries that ask for no others.
+    """
+    split = chunks.select("chunk_id", tokens(text).alias("ts"))
+    found = split.select("chunk_id", F.size("ts").cast("long").alias("dl"), F.explode("ts").alias("term"))
+    if only is not None:
+        found = found.join(only.select("term").distinct(), "term", "left_semi")
+    postings = found.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    lengths = split.select("chunk_id", F.size("ts").cast("long").alias("dl"))
     frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
     corpus = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avg_dl"))
     return Bm25(postings, lengths, frequencies, corpus)
@@ -47,32 +57,34 @@ def scores(index: Bm25, queries: DataFrame, text: str = "query") -> DataFrame:
     """`query_id`, `chunk_id`, `score` of the chunks that share a term with the query; all others score 0.
 
     The postings are joined on the term, so rare terms cost little; sums are combined per map
-    task before the shuffle. The one corpus row rides along as a broadcast.
+    task before the shuffle. Counted to be few, the query terms go to the postings, so a term that
+    every text has stays spread over all tasks; the one corpus row rides along.
     """
-    asked = query_terms(queries, text).join(index.frequencies, "term")
+    asked = query_terms(queries, text)
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    asked = asked.join(index.frequencies, "term")
     corpus = F.broadcast(index.corpus.withColumn("one", F.lit(1)))
     weighted = asked.withColumn("one", F.lit(1)).join(corpus, "one").select(
         "query_id", "term", "avg_dl", (F.col("qtf") * F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("weight")
     )
     tf, norm = F.col("tf"), 1 - B + B * F.col("dl") / F.when(F.col("avg_dl") == 0, 1.0).otherwise(F.col("avg_dl"))
-    hits = index.postings.join(weighted, "term").join(index.lengths, "chunk_id")
+    hits = index.postings.join(F.broadcast(weighted) if few else weighted, "term")
     part = F.col("weight") * (tf * (K1 + 1)) / (tf + K1 * norm)
     # To 9 digits, so that the order of summation decides no tie between equal texts.
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
-def ranked(index: Bm25, queries: DataFrame, k: int = 20, text: str = "query") -> DataFrame:
+def ranked(index: Bm25, queries: DataFrame, k: int = 20, text: str = "query", found: DataFrame | None = None) -> DataFrame:
     """The best k chunks of each query: `query_id`, `chunk_id`, `score`, `rank` (from 0), ties to the smaller id.
 
     Chunks that score 0 stay in the list, so where fewer than k match, those with the smallest
-    ids fill it up. Only the 2k smallest ids can be needed for that; they travel as one array.
+    ids fill it up; then all that match are among the best, so 2k smallest ids always suffice.
+    They travel as one array. `found` may hold the queries' scores already.
     """
-    found = scores(index, queries, text)
+    found = scores(index, queries, text) if found is None else found
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
-    # k matches at most are kept, so k ids beyond them always suffice.
     first = [r.chunk_id for r in index.lengths.select("chunk_id").distinct().orderBy("chunk_id").limit(2 * k).collect()]
-    padding = queries.select("query_id", F.explode(F.lit(first).cast("array<bigint>")).alias("chunk_id")).distinct()
-    zeros = padding.join(best.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    pool = best.unionByName(zeros.withColumn("score", F.lit(0.0)))
+    padding = queries.select("query_id", F.explode(F.lit(first).cast("array<bigint>")).alias("chunk_id"), F.lit(0.0).alias("score"))
+    pool = best.unionByName(padding).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return pool.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)

@@ -31,10 +31,11 @@ def hybrid(index: bm25.Bm25, vectors: DataFrame, queries: DataFrame, k: int = 20
 
     `queries(query_id, query, embedding)`. Chunk texts take no part; join them to the few rows that come out.
     """
-    words = bm25.ranked(index, queries, k)
+    found = bm25.scores(index, queries)
+    words = bm25.ranked(index, queries, k, found=found)
     near = vector.cut(vector.nearest(vectors, queries, k), below)
     fused = reciprocal_ranks([near, words]).where(F.col("rank") < final_k)
-    scored = fused.join(bm25.scores(index, queries).select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"], "left")
+    scored = fused.join(found, ["query_id", "chunk_id"], "left")
     return scored.select(
         "query_id", "rank", "chunk_id", F.round("rrf_score", 4).alias("rrf_score"), F.round(F.coalesce("score", F.lit(0.0)), 4).alias("bm25_score")
     )

