@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import conversations, leakage, packing, pairs, provenance, reading, secrets, splitting, syntax, vectors
-from quarry.sources.tables import table
+from quarry.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -16,6 +16,10 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"))
+
+
 @query
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.similar_pairs(table(spark, folder, "chunk_vectors"), 0.9).select("chunk_id_a", "chunk_id_b")
@@ -28,28 +32,28 @@ def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return syntax.parse_defects(table(spark, folder, "documents")).where("defect is not null").select("doc_id").distinct()
+    return syntax.parse_defects(_documents(spark, folder)).where("defect is not null").select("doc_id").distinct()
 
 
 @query
 def p2_defects(spark: SparkSession, folder: str) -> DataFrame:
-    return syntax.parse_defects(table(spark, folder, "documents")).where("defect is not null")
+    return syntax.parse_defects(_documents(spark, folder)).where("defect is not null")
 
 
 @query
 def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
-    return syntax.defect_rates(table(spark, folder, "documents"))
+    return syntax.defect_rates(_documents(spark, folder))
 
 
 @query
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = secrets.scanned(table(spark, folder, "documents"), table(spark, folder, "chunks"))
+    rows = secrets.scanned(_documents(spark, folder), spread(table(spark, folder, "chunks")))
     return rows.select("origin", "row_id", F.explode("line_nos").alias("line_no")).distinct()
 
 
 @query
 def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.scanned(table(spark, folder, "documents"), table(spark, folder, "chunks")).select("origin", "row_id", "masked")
+    return secrets.scanned(_documents(spark, folder), spread(table(spark, folder, "chunks"))).select("origin", "row_id", "masked")
 
 
 @query
@@ -74,12 +78,12 @@ def p6_conversations(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return provenance.not_handwritten(table(spark, folder, "documents")).where("valid").select("doc_id", "kind")
+    return provenance.not_handwritten(_documents(spark, folder)).where("valid").select("doc_id", "kind")
 
 
 @query
 def p5_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    return provenance.not_handwritten(table(spark, folder, "documents")).groupBy("project_id", "kind").agg(F.count("*").alias("files"))
+    return provenance.not_handwritten(_documents(spark, folder)).groupBy("project_id", "kind").agg(F.count("*").alias("files"))
 
 
 @query
@@ -112,26 +116,26 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("item_id", "doc_id").distinct()
+    return leakage.leaks(_documents(spark, folder), table(spark, folder, "eval_items")).select("item_id", "doc_id").distinct()
 
 
 @query
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leakage.leaks(_documents(spark, folder), table(spark, folder, "eval_items"))
 
 
 @query
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    graded = reading.levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
+    graded = reading.levels(_documents(spark, folder), table(spark, folder, "reading_labels"))
     return graded.where("level in ('basic', 'advanced')").select("doc_id", "level").distinct()
 
 
 @query
 def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
-    return reading.levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"), prose_only=False)
+    return reading.levels(_documents(spark, folder), table(spark, folder, "reading_labels"), prose_only=False)
 
 
 @query
 def p10_profile(spark: SparkSession, folder: str) -> DataFrame:
-    graded = reading.levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"), prose_only=False)
+    graded = reading.levels(_documents(spark, folder), table(spark, folder, "reading_labels"), prose_only=False)
     return graded.groupBy(F.round("grade").cast("int").alias("grade")).agg(F.count("*").alias("documents"))
