@@ -38,7 +38,7 @@ def test_neighbours_recall_and_copies(table):
     x = _data()
     cos = _cosines(x)
     np.fill_diagonal(cos, -2)
-    got = vectors.similar_chunks(_frame(table, x), 10, share=0.4).collect()
+    got = vectors.similar_chunks(_frame(table, x), 10).collect()
     by = {}
     for r in got:
         by.setdefault(r.chunk_id, []).append((r["rank"], r.neighbour_id, r.cosine))
