@@ -1,11 +1,12 @@
 """Problem 1: the most similar vectors of every vector, by an inverted multi-index.
 
 Each vector is cut into two halves and each half quantised by its own codebook of `K` centroids,
-so a vector belongs to one of K*K cells. A query walks the cells in the order of its summed
-distance to the two centroids (a heap over the two sorted lists) until the cells visited hold at
-least `candidates` vectors. All entries that share a first-half centroid form one block of the
-index; the query is sent to the blocks its cells lie in, and there it is compared with every
-entry of the block, a superset of the cells it visited.
+so a vector belongs to one of K*K cells. For ten neighbours a query walks the cells in the order
+of its summed distance to the two centroids (a heap over the two sorted lists) until the cells
+visited hold at least `candidates` vectors. All entries that share a first-half centroid form one
+block of the index; the query is sent to the blocks its cells lie in, and there it is compared
+with every entry of the block, a superset of the cells it visited. For pairs above a threshold
+distance alone decides: a query goes to every block whose border is within `reach` of it.
 
 Scale: codebooks are fitted on a bounded sample, every vector is indexed. Blocks over
 `BLOCK_ROWS` entries are split by salt, and queries stream past the entries of a block, so no
@@ -15,7 +16,7 @@ back through the membership table.
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,10 @@ HALF = DIM // 2
 SAMPLE_ROWS = 20_000
 #: Entries of a block that one task holds at a time.
 BLOCK_ROWS = 16_384
-#: Candidates at which the walk over cells ends: for pairs above a high threshold, and for ten neighbours of any similarity (measured: see README).
-RANGE_CANDIDATES = 600
+#: Times the standard deviation, along one direction, of the step between two vectors at the threshold: how far beyond a block's border a query looks.
+REACH = 1.8
+#: Candidates at which the walk over cells ends, at least.
+LEAST_CANDIDATES = 600
 #: For ten neighbours of any similarity, times the square root of the entries: random directions have no close neighbours, so the walk is wide.
 NEIGHBOUR_WALK = 18
 
@@ -48,6 +51,11 @@ def keyed(vectors: DataFrame) -> DataFrame:
     return rows.select("chunk_id", F.xxhash64("embedding").alias("vkey"), "embedding")
 
 
+def distinct_keys(rows: DataFrame) -> DataFrame:
+    """One row for each `vkey`, as `vkey` and `embedding`, written: copies neither crowd a cell nor are searched for again."""
+    return written(rows.groupBy("vkey").agg(F.first("embedding").alias("embedding")), "vectors")
+
+
 def _unit(embedding: pd.Series) -> np.ndarray:
     x = np.stack(embedding.to_numpy()).astype(np.float64)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
@@ -84,6 +92,18 @@ class MultiIndex:
     def salts(self) -> np.ndarray:
         return np.maximum(1, -(-self.sizes.sum(1) // BLOCK_ROWS))
 
+    def blocks_near(self, d1: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each query row the blocks whose border with its own block is within `reach`, as (row, block) pairs.
+
+        Each of a pair looks for the other: it is missed only if both lie further than `reach` from
+        the border between their blocks, so that the step between them crosses it by over twice that.
+        """
+        home = d1.argmin(1)
+        apart = np.sqrt(((self.first[:, None] - self.first[None]) ** 2).sum(-1))
+        beyond = d1 - d1[np.arange(len(d1)), home][:, None]
+        near = (beyond <= 2 * reach * apart[home]) & (self.sizes.sum(1) > 0)[None, :]
+        return np.nonzero(near)
+
     def blocks_of(self, d1: np.ndarray, d2: np.ndarray, candidates: int) -> tuple[np.ndarray, np.ndarray]:
         """For each query row the blocks to visit, as (row, block) pairs."""
         rows, blocks = [], []
@@ -108,13 +128,13 @@ class MultiIndex:
 
 
 def fit(rows: DataFrame) -> MultiIndex | None:
-    """Codebooks from a bounded sample and the cell sizes of all rows; None when there is no usable row."""
+    """Codebooks from a bounded sample and the cell sizes of all rows (one for each vector); None when there is no row."""
     n = rows.count()
     if n == 0:
         return None
     k = int(min(256, max(4, 2 ** round(math.log2(max(1.0, math.sqrt(n / 50)))))))
     every = max(1, n // SAMPLE_ROWS)
-    sample = rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(every)) == 0).select("embedding").limit(2 * SAMPLE_ROWS).toPandas()
+    sample = rows.where(F.pmod(F.xxhash64("vkey"), F.lit(every)) == 0).select("embedding").limit(2 * SAMPLE_ROWS).toPandas()
     if len(sample) < 4:
         sample = rows.select("embedding").limit(1000).toPandas()
     x = _unit(sample.embedding)
@@ -134,13 +154,12 @@ def fit(rows: DataFrame) -> MultiIndex | None:
     return index
 
 
-def _routed(rows: DataFrame, index: MultiIndex, candidates: int) -> DataFrame:
-    """Entries (kind 0, in their own block) and queries (kind 1, once per block visited, in half precision)."""
+def _routed(rows: DataFrame, index: MultiIndex, visited: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Entries (kind 0, in their own block) and queries (kind 1, once per block `visited`, in half precision)."""
     salts = index.salts
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch.drop_duplicates("vkey")
             if not len(batch):
                 continue
             x, keys = _unit(batch.embedding), batch.vkey.to_numpy()
@@ -148,7 +167,7 @@ def _routed(rows: DataFrame, index: MultiIndex, candidates: int) -> DataFrame:
             home = d1.argmin(1)
             salt = np.abs(keys) % salts[home]
             yield pd.DataFrame({"block": home, "salt": salt, "kind": 0, "vkey": keys, "v": [v.tobytes() for v in x]})
-            row, block = index.blocks_of(d1, d2, candidates)
+            row, block = visited(d1, d2)
             times = salts[block]
             row, block = np.repeat(row, times), np.repeat(block, times)
             salt = np.concatenate([np.arange(t) for t in times]) if len(times) else times
@@ -184,8 +203,9 @@ def _by_block(routed: DataFrame) -> DataFrame:
     return routed.repartition("block", "salt").sortWithinPartitions("block", "salt", "kind")
 
 
-def similar_keys(rows: DataFrame, index: MultiIndex, threshold: float, candidates: int = RANGE_CANDIDATES) -> DataFrame:
+def similar_keys(rows: DataFrame, index: MultiIndex, threshold: float) -> DataFrame:
     """Range mode: distinct pairs `ka` < `kb` of different vectors with cosine >= threshold, and the cosine."""
+    reach = REACH * math.sqrt(max(0.0, 2 - 2 * threshold) / DIM)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, entries, keys, q in _visits(batches):
@@ -195,7 +215,7 @@ def similar_keys(rows: DataFrame, index: MultiIndex, threshold: float, candidate
             keep = a != b
             yield pd.DataFrame({"ka": np.minimum(a, b)[keep], "kb": np.maximum(a, b)[keep], "cos": cos[r, c][keep].astype(np.float64)})
 
-    found = _by_block(_routed(rows, index, candidates)).mapInPandas(search, "ka long, kb long, cos double")
+    found = _by_block(_routed(rows, index, lambda d1, d2: index.blocks_near(d1, reach))).mapInPandas(search, "ka long, kb long, cos double")
     return found.groupBy("ka", "kb").agg(F.max("cos").alias("cos"))
 
 
@@ -211,7 +231,7 @@ def nearest_keys(rows: DataFrame, index: MultiIndex, k: int, candidates: int) ->
             keep = a != b
             yield pd.DataFrame({"ka": a[keep], "kb": b[keep], "cos": np.take_along_axis(cos, top, 1).ravel()[keep].astype(np.float64)})
 
-    found = _by_block(_routed(rows, index, candidates)).mapInPandas(search, "ka long, kb long, cos double")
+    found = _by_block(_routed(rows, index, lambda d1, d2: index.blocks_of(d1, d2, candidates))).mapInPandas(search, "ka long, kb long, cos double")
     best = F.slice(F.sort_array(F.collect_set(F.struct("cos", "kb")), asc=False), 1, k)
     # A visit yields at most k + 1 rows and a vector visits at most K * salts blocks, so the sets are bounded.
     return found.groupBy("ka").agg(best.alias("best")).select("ka", F.inline("best")).select("ka", "kb", "cos")
@@ -226,11 +246,12 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     spark = vectors.sparkSession
     schema = "chunk_id_a long, chunk_id_b long, cosine double"
     rows = keyed(vectors)
-    index = fit(rows)
+    vectors_once = distinct_keys(rows)
+    index = fit(vectors_once)
     if index is None:
         return spark.createDataFrame([], schema)
     members = rows.select("chunk_id", "vkey").distinct()
-    keys = similar_keys(rows, index, threshold)
+    keys = similar_keys(vectors_once, index, threshold)
     a = members.select(F.col("chunk_id").alias("a"), F.col("vkey").alias("ka"))
     b = members.select(F.col("chunk_id").alias("b"), F.col("vkey").alias("kb"))
     across = keys.join(a, "ka").join(b, "kb").select("a", "b", "cos")
@@ -249,14 +270,15 @@ def similar_chunks(vectors: DataFrame, k: int = 10, walk: float = NEIGHBOUR_WALK
     """
     spark = vectors.sparkSession
     rows = keyed(vectors)
-    index = fit(rows)
+    vectors_once = distinct_keys(rows)
+    index = fit(vectors_once)
     if index is None:
         return spark.createDataFrame([], "chunk_id long, rank int, neighbour_id long, cosine double")
     members = rows.select("chunk_id", "vkey").distinct()
     salted = members.groupBy("vkey", F.pmod(F.xxhash64("chunk_id"), F.lit(64))).agg(F.slice(F.sort_array(F.collect_set("chunk_id")), 1, k + 1).alias("ids"))
     first = salted.groupBy("vkey").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
     first = written(first, "members")
-    keys = nearest_keys(rows, index, k, max(RANGE_CANDIDATES, int(walk * math.sqrt(index.sizes.sum()))))
+    keys = nearest_keys(vectors_once, index, k, max(LEAST_CANDIDATES, int(walk * math.sqrt(index.sizes.sum()))))
     own = first.select(F.col("vkey").alias("ka"), F.explode("ids").alias("id"), F.lit(1.0).alias("cos"))
     others = keys.join(first.select(F.col("vkey").alias("kb"), "ids"), "kb").select("ka", F.explode("ids").alias("id"), "cos")
     ranked = F.sort_array(F.collect_set(F.struct((-F.col("cos")).alias("far"), "id")))

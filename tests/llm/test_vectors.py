@@ -67,3 +67,20 @@ def test_split_blocks_lose_nothing(table, monkeypatch):
     expected = {(a, b) for a, b in zip(*np.nonzero(_cosines(x) >= 0.9)) if a < b}
     got = {(r.chunk_id_a, r.chunk_id_b) for r in vectors.similar_pairs(_frame(table, x), 0.9).collect()}
     assert got == expected
+
+
+def test_a_crowd_hides_no_pair(table):
+    # Over 600 different vectors and 1,500 copies of one in a corner, in the blocks beside it pairs of cosine just over the threshold.
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=64)
+    crowd = centre + 0.9 * rng.normal(size=(1200, 64))
+    step = rng.normal(size=(1200, 64))
+    step -= (step * crowd).sum(1, keepdims=True) / (crowd * crowd).sum(1, keepdims=True) * crowd
+    step *= np.linalg.norm(crowd, axis=1, keepdims=True) / np.linalg.norm(step, axis=1, keepdims=True)
+    x = np.concatenate([crowd, 0.91 * crowd + np.sqrt(1 - 0.91**2) * step, np.repeat(centre[None], 1500, 0)]).astype("f4")
+    cos = _cosines(x[:2400])
+    expected = {(a, b) for a, b in zip(*np.nonzero(cos >= 0.902)) if a < b}
+    rows = vectors.distinct_keys(vectors.keyed(_frame(table, x)))
+    assert vectors.fit(rows).sizes.sum() == rows.count() == 2401
+    got = {(r.chunk_id_a, r.chunk_id_b) for r in vectors.similar_pairs(_frame(table, x), 0.9).where("chunk_id_b < 2400").collect()}
+    assert len(expected) >= 1200 and expected <= got
