@@ -35,8 +35,8 @@ BLOCK_ROWS = 16_384
 REACH = 1.8
 #: Candidates at which the walk over cells ends, at least.
 LEAST_CANDIDATES = 600
-#: For ten neighbours of any similarity, times the square root of the entries: random directions have no close neighbours, so the walk is wide.
-NEIGHBOUR_WALK = 18
+#: As a share of all entries: random directions have no close neighbours, so ten of any similarity need a wide walk, and a share keeps recall from falling with size.
+NEIGHBOUR_SHARE = 0.12
 
 
 def usable(column: str = "embedding"):
@@ -262,7 +262,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     return pairs.groupBy(F.least("a", "b").alias("chunk_id_a"), F.greatest("a", "b").alias("chunk_id_b")).agg(F.max("cos").alias("cosine"))
 
 
-def similar_chunks(vectors: DataFrame, k: int = 10, walk: float = NEIGHBOUR_WALK) -> DataFrame:
+def similar_chunks(vectors: DataFrame, k: int = 10, share: float = NEIGHBOUR_SHARE) -> DataFrame:
     """For every chunk its k most similar other chunks: `chunk_id`, `rank`, `neighbour_id`, `cosine`.
 
     Ties go to the smaller id. Copies of a chunk come first; of each group of copies only the k + 1
@@ -278,7 +278,7 @@ def similar_chunks(vectors: DataFrame, k: int = 10, walk: float = NEIGHBOUR_WALK
     salted = members.groupBy("vkey", F.pmod(F.xxhash64("chunk_id"), F.lit(64))).agg(F.slice(F.sort_array(F.collect_set("chunk_id")), 1, k + 1).alias("ids"))
     first = salted.groupBy("vkey").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
     first = written(first, "members")
-    keys = nearest_keys(vectors_once, index, k, max(LEAST_CANDIDATES, int(walk * math.sqrt(index.sizes.sum()))))
+    keys = nearest_keys(vectors_once, index, k, max(LEAST_CANDIDATES, int(share * index.sizes.sum())))
     own = first.select(F.col("vkey").alias("ka"), F.explode("ids").alias("id"), F.lit(1.0).alias("cos"))
     others = keys.join(first.select(F.col("vkey").alias("kb"), "ids"), "kb").select("ka", F.explode("ids").alias("id"), "cos")
     ranked = F.sort_array(F.collect_set(F.struct((-F.col("cos")).alias("far"), "id")))

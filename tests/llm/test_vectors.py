@@ -84,3 +84,13 @@ def test_a_crowd_hides_no_pair(table):
     assert vectors.fit(rows).sizes.sum() == rows.count() == 2401
     got = {(r.chunk_id_a, r.chunk_id_b) for r in vectors.similar_pairs(_frame(table, x), 0.9).where("chunk_id_b < 2400").collect()}
     assert len(expected) >= 1200 and expected <= got
+
+
+def test_the_walk_keeps_its_share(table, monkeypatch):
+    asked = []
+    monkeypatch.setattr(vectors, "LEAST_CANDIDATES", 1)
+    monkeypatch.setattr(vectors, "nearest_keys", lambda rows, index, k, candidates: asked.append((candidates, index.sizes.sum())) or rows.selectExpr("vkey ka", "vkey kb", "1D cos"))
+    rng = np.random.default_rng(6)
+    for n in (400, 6400):
+        vectors.similar_chunks(_frame(table, rng.normal(size=(n, 64)).astype("f4")))
+    assert [round(c / n, 2) for c, n in asked] == [0.12, 0.12]
