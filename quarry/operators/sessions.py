@@ -65,6 +65,12 @@ def last_turns(messages: DataFrame, n: int = 20) -> DataFrame:
     return kept.select("session_id", (F.row_number().over(oldest) - 1).alias("pos"), "id", "role", "content")
 
 
+def first_questions(messages: DataFrame) -> DataFrame:
+    """The first user turn of each session: `session_id`, `content`. Rows count and are ordered as in `last_turns`."""
+    asked = messages.where("session_id is not null and created_at is not null").where(role_of() == "user")
+    return asked.groupBy("session_id").agg(F.min_by("content", F.struct("created_at", "id")).alias("content"))
+
+
 def update_stats(projects: DataFrame, stats: DataFrame) -> DataFrame:
     """New `files_count` and `chunks_count` by `id`, with their `updated_at`; other projects stay."""
     new = stats.select("id", F.col("files_count").alias("_f"), F.col("chunks_count").alias("_c"), F.col("updated_at").alias("_u"), F.lit(True).alias("_new"))

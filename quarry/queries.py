@@ -182,7 +182,8 @@ def query_rewrite(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def auto_title(spark: SparkSession, folder: str) -> DataFrame:
-    first = _history(spark, folder).where("role = 'user'").groupBy("session_id").agg(F.min_by("content", "pos").alias("content"))
+    """Each session's title: its first user turn of all."""
+    first = sessions.first_questions(sessions.once(table(spark, folder, "messages")))
     return first.select("session_id", text.auto_title("content").alias("title"))
 
 

@@ -5,6 +5,7 @@ import pytest
 from quarry.operators import prompt, sessions
 from quarry.plans import retrieve
 from quarry.operators import bm25
+from quarry.queries import QUERIES
 
 
 def _t(n):
@@ -82,6 +83,14 @@ def test_last_turns(spark):
     assert [(r.pos, r.id, r.content) for r in got] == [(0, 7, "m7"), (1, 8, "m8"), (2, 9, "m9 again")]
 
 
+def test_title_is_the_first_question_of_long_sessions(spark, tmp_path):
+    rows = [(n, "s", "user" if n % 2 == 0 else "assistant", f"m{n}", _t(n), _t(0)) for n in range(30)]
+    rows += [(100 + n, "t", "User " if n == 1 else "assistant", f"t{n}", _t(n), _t(0)) for n in range(15)] + [(200, "u", "assistant", "no", _t(0), _t(0)), (201, "s", "user", "no time", None, _t(0))]
+    messages = spark.createDataFrame(rows, "id long, session_id string, role string, content string, created_at timestamp, loaded_at timestamp")
+    messages.write.parquet(str(tmp_path / "messages.parquet"))
+    assert {r.session_id: r.title for r in QUERIES["auto_title"](spark, str(tmp_path)).collect()} == {"s": "m0", "t": "t1"}
+
+
 def test_retrieve(spark):
     chunks = spark.createDataFrame(
         [(0, "p", "auth.py", "auth.py", "FunctionDef", "login", 1, 4, "def login(user, password)"), (1, "p", "users.py", "users.py", "ClassDef", "UserService", 1, 5, "class UserService"), (2, "p", "utils.py", "utils.py", "FunctionDef", "process_data", 1, 2, "def process_data")],
