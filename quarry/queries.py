@@ -98,9 +98,9 @@ def vector_threshold(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def embeddings_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """Of every vector of the label 0 the ten nearest of all."""
-    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
-    asked = rows.where("label = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    """Of every vector the ten nearest of all."""
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = rows.select(F.col("chunk_id").alias("query_id"), "embedding")
     return vector.nearest(rows, asked, 10).select("query_id", "rank", "chunk_id", F.round("d2", 4).alias("d2"))
 
 
@@ -315,8 +315,8 @@ def graph_neighbors(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def graph_bfs(spark: SparkSession, folder: str) -> DataFrame:
-    """Nodes within two steps of each of ten suppliers, counted by steps."""
-    starts = table(spark, folder, "supplier").where("s_suppkey is not null").orderBy("s_suppkey").limit(10)
+    """Nodes within two steps of each supplier, counted by steps."""
+    starts = table(spark, folder, "supplier").where("s_suppkey is not null")
     starts = starts.select(F.lit("parts").alias("project_id"), F.concat(F.lit("s"), "s_suppkey").alias("path"))
     return graph.related(_parts(spark, folder), starts, 2).groupBy("path", "steps").agg(F.count("*").alias("nodes"))
 

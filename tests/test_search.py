@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quarry.operators import bm25, evaluation, fusion, vector
+from quarry.queries import QUERIES as REGISTERED
 
 
 def plain_scores(texts, query):
@@ -132,3 +133,14 @@ def test_built_in_set(spark):
     assert len(rows) == 8 and sum(not r.expected_files and not r.expected_names for r in rows) == 1
     both = evaluation.compare({"a": evaluation.report(spark.createDataFrame([(0, 0.0, 0.0, 0.0, 0.5, 1)], "query_id long, p_at_1 double, p_at_3 double, p_at_5 double, reciprocal_rank double, results long")), "b": evaluation.report(spark.createDataFrame([(0, 0.0, 0.0, 0.0, 1.0, 1)], "query_id long, p_at_1 double, p_at_3 double, p_at_5 double, reciprocal_rank double, results long"))}).collect()
     assert [(r.run, r.mrr_delta) for r in both] == [("a", 0.0), ("b", 0.5)]
+
+
+def test_search_and_graph_start_from_whole_tables(spark, tmp_path):
+    vectors = spark.createDataFrame([(n, [float(n), 1.0], n % 3) for n in range(30)], "vec_id long, embedding array<float>, label int")
+    vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = REGISTERED["embeddings_topk"](spark, str(tmp_path)).collect()
+    assert len(found) == 300 and {r.query_id for r in found} == set(range(30))
+    spark.createDataFrame([(n,) for n in range(15)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(n, n // 3) for n in range(15)], "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = {(r.path, r.steps): r.nodes for r in REGISTERED["graph_bfs"](spark, str(tmp_path)).collect()}
+    assert found == {(f"s{n}", steps): steps for n in range(15) for steps in (1, 2)}
