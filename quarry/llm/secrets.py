@@ -32,7 +32,8 @@ RESIDUAL = 4
 _SECRET = {"secret", "secrets", "password", "passwd", "pwd", "passphrase", "token", "apikey", "credential", "credentials", "passcode"}
 _SECRET_PAIRS = {("api", "key"), ("signing", "key"), ("access", "key"), ("secret", "key"), ("private", "key"), ("encryption", "key"), ("auth", "key"), ("db", "pass"), ("smtp", "pass"), ("user", "pass"), ("account", "key"), ("master", "key"), ("service", "key")}
 _ABOUT = {"help", "hint", "label", "notice", "message", "name", "url", "uri", "path", "file", "field", "type", "count", "length", "len", "min", "max", "ttl", "expiry", "expires", "format", "pattern", "regex", "prefix", "suffix", "title", "text", "policy", "error", "prompt", "placeholder", "header", "env", "var", "id", "ref", "arn", "kind", "description", "provider", "size", "limit", "index", "hash", "checksum"}
-_HINTS = "passw pwd secret token apikey api_key api-key api_key credential signing private passphrase pass= pass: pass\" pass' akia eyj sk- ghp_ gho_ github_pat xox _live_ _test_ pat_ :// basic bearer login access_key accesskey dbpass db_pass db-pass db.pass ".split() + ["api key", "access key", "begin ", " pass ", " -u ", " --user", " -p ", "\"key\"", "'key'", "key:", "key ="]
+# A line without any of these is not read. Every rule needs one of them: names come from the words above, the rest are formats.
+_HINTS = {*_SECRET, *(last for _, last in _SECRET_PAIRS), "pass", "key", "auth", "akia", "asia", "eyj", "sk-", "github_pat", "xox", "://", "basic", "bearer", " / ", "-u"}
 
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _PLACEHOLDER = re.compile(
@@ -70,7 +71,7 @@ def _hints() -> ahocorasick.Automaton:
     global _automaton
     if _automaton is None:
         _automaton = ahocorasick.Automaton()
-        for word in {w.lower() for w in _HINTS}:
+        for word in _HINTS:
             _automaton.add_word(word, len(word))
         _automaton.make_automaton()
     return _automaton
