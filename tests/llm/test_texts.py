@@ -101,6 +101,21 @@ def test_leaks(table):
     assert leakage.leaks(df, table([], "item_id long, text string")).count() == 0
 
 
+def test_leaks_of_copied_items(table, monkeypatch):
+    # A passage without numbers under a third of the ids, and one nearly copied under others: all ids leak, in any blocks.
+    first = "The pale harbour keeps silent watch while sleepy herons cross beneath broken towers and gather slowly near forgotten wells."
+    near = "Every gardener who plants tulips before winter must cover tender bulbs with straw because frost destroys shallow roots {} quickly."
+    items = [(n, first) for n in range(20)] + [(100 + n, near.format("so" if n % 2 else "too") + " " + w) for n, w in enumerate("very rather truly often never seldom".split())]
+    items += [(200 + n, f"Some unrelated passage {n} about w{chr(97 + n)}x and v{chr(98 + n)}z items over there.") for n in range(20)]
+    noise = "the table of the session is read by the loader when the server starts and the page is shown " * 3
+    docs = table([(1, noise + first + noise), (2, noise + near.format("so") + noise), (3, noise)], "doc_id long, text string")
+    expected = {(n, 1) for n in range(20)} | {(100 + n, 2) for n in range(6)}
+    for most in (20_000, 5):
+        monkeypatch.setattr(leakage, "ITEMS_AT_ONCE", most)
+        got = {(r.item_id, r.doc_id) for r in leakage.leaks(docs, table(items, "item_id long, text string")).collect()}
+        assert got == expected
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abcde"), min_size=3, max_size=20), st.lists(st.sampled_from("abcdef"), max_size=30))
 def test_common_subsequence(a, b):
