@@ -42,15 +42,14 @@ _COMMENT_LINE = re.compile(r"(?:#|//|/?\*|\"\"\"|'''|--)")
 
 
 def _header(text: str) -> str:
-    """The comment block at the top (at most 12 lines)."""
-    out = []
-    for line in text.lstrip("﻿").split("\n", 12)[:12]:
+    """The comments and blank lines at the top, up to the first line of code."""
+    out, inside = [], False
+    for line in text.lstrip("\ufeff").split("\n"):
         s = line.strip()
-        if out and not s and len(out) > 2:
-            break
-        if s and not _COMMENT_LINE.match(s) and not (out and ("/*" in out[0] and "*/" not in "".join(out))):
+        if s and not inside and not _COMMENT_LINE.match(s):
             break
         out.append(line)
+        inside = "*/" not in s if inside else s.startswith("/*") and "*/" not in s[2:]
     return "\n".join(out)
 
 

@@ -148,6 +148,16 @@ def test_kinds(table):
     assert provenance.not_handwritten(table([], schema)).count() == 0
 
 
+def test_marks_below_a_notice():
+    notice = "".join(f"// line {n} of the terms under which this may be used\n" for n in range(20))
+    code = "package rows\n\nfunc Sum(xs []int) int {\n\ttotal := 0\n\tfor _, x := range xs {\n\t\ttotal += x\n\t}\n\treturn total\n}\n"
+    mark = "// Code generated by rowgen. DO NOT EDIT.\n"
+    for top in (notice, "\n".join(notice.split("\n")[:4]) + "\n\n", "/*\n" + notice.replace("// ", "") + "*/\n\n"):
+        assert provenance.layout(top + mark + code, "rows.go") == "generated" and provenance.layout(top + code, "rows.go") is None
+    assert provenance.layout(notice + "\n// fastlib v3.1.4\n// released under the Some licence\n" + code, "rows.go") == "banner"
+    assert provenance.layout(notice + code.replace("\ttotal := 0\n", "\ttotal := 0\n\t" + mark + "\ttotal += 0\n"), "rows.go") is None
+
+
 def test_merkle_hashes_ignore_names_and_order(table):
     leaves = table([("p", "a/x/1.py", 11, 1, False), ("p", "a/x/2.py", 12, 1, False), ("q", "b/c/y/k.py", 12, 1, True), ("q", "b/c/y/z.py", 11, 1, False), ("q", "b/other.py", 5, 1, False)], "project_id string, path string, hash long, files long, vendor boolean", extra=False)
     got = {(r.project_id, r.path): (r.hash, r.files, r.vendor) for r in provenance.subtrees(leaves).collect()}
