@@ -97,7 +97,7 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ending = "." + name.lower().rpartition(".")[2]
             broken = defect(content, LANGUAGES[ending]) if ending in LANGUAGES else None
             out.append((layout(text, name), broken is None))
-        yield pd.concat([batch[["doc_id", "project_id", "path", "chars", "leaf"]], pd.DataFrame(out, columns=["layout", "valid"], index=batch.index)], axis=1)
+        yield pd.concat([batch[["doc_id", "project_id", "path", "chars", "leaf", "node"]], pd.DataFrame(out, columns=["layout", "valid"], index=batch.index)], axis=1)
 
 
 def _mixed(children: DataFrame) -> DataFrame:
@@ -134,24 +134,27 @@ def not_handwritten(documents: DataFrame) -> DataFrame:
         F.lower("file_name").rlike(r"\.(?:" + "|".join(e[1:] for e in ENDINGS) + ")$")
     )
     text = F.trim(F.regexp_replace(F.regexp_replace("content", "\r\n?", "\n"), r"^\x{feff}|[ \t]+(?=\n)", ""))
-    leaf = F.when(F.length("content") >= SHARED_CHARS, F.xxhash64(F.regexp_replace(text, r"\s+$", ""))).otherwise(F.xxhash64("doc_id"))
-    rows = files.select("doc_id", F.coalesce("project_id", F.lit("")).alias("project_id"), "path", "file_name", "content", F.length("content").alias("chars"), leaf.alias("leaf"))
-    judged = written(rows.mapInPandas(_judged, "doc_id long, project_id string, path string, chars int, leaf long, layout string, valid boolean"), "judged")
+    # A short file is nobody's copy by itself, but counts by its text inside a folder.
+    node = F.xxhash64(F.regexp_replace(text, r"\s+$", ""))
+    leaf = F.when(F.length("content") >= SHARED_CHARS, node).otherwise(F.xxhash64("doc_id"))
+    rows = files.select("doc_id", F.coalesce("project_id", F.lit("")).alias("project_id"), "path", "file_name", "content", F.length("content").alias("chars"), leaf.alias("leaf"), node.alias("node"))
+    judged = written(rows.mapInPandas(_judged, "doc_id long, project_id string, path string, chars int, leaf long, node long, layout string, valid boolean"), "judged")
     located = F.col("path").rlike(_VENDORED_PATH) | F.col("path").rlike(_VERSIONED_NAME)
     evidence = located | (F.col("layout") == "banner")
-    leaves = judged.select("project_id", "path", F.col("leaf").alias("hash"), F.lit(1).cast("long").alias("files"), F.coalesce(evidence, F.lit(False)).alias("vendor"))
+    leaves = judged.select("project_id", "path", F.col("node").alias("hash"), F.lit(1).cast("long").alias("files"), F.coalesce(evidence, F.lit(False)).alias("vendor"))
     dirs = subtrees(leaves)
-    nodes = leaves.unionByName(dirs.where(F.col("path") != ""))
+    nodes = dirs.where((F.col("path") != "") & (F.col("files") > 1))
     # Partial aggregation by (hash, project) first: a text that fills a third of all files stays spread.
     per_project = nodes.groupBy("hash", "project_id").agg(F.max("vendor").alias("vendor"))
     shared = per_project.groupBy("hash").agg(F.count("*").alias("projects"), F.max("vendor").alias("vendor")).where("projects > 1 and vendor").select("hash")
     # A file is judged like its copies, in its own repository too; else it inherits from a folder above it
     # that is such a shared subtree and, there or elsewhere, wholly under a vendor folder.
-    evident = leaves.where("vendor").select(F.col("hash").alias("leaf")).distinct().withColumn("by_leaf", F.lit(True))
+    evident = judged.where(F.coalesce(evidence, F.lit(False))).select("leaf").distinct().withColumn("by_leaf", F.lit(True))
     by_leaf = judged.join(evident, "leaf", "left")
-    folders = dirs.where(F.col("path").rlike(rf"(?:^|/)(?:{'|'.join(VENDOR_FOLDERS)})/[^/]+$")).select("hash").distinct().join(shared, "hash", "left_semi")
+    above = judged.select("doc_id", "project_id", "chars", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), _depth("path") - 1)), lambda k: F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"))).alias("folder"))
+    told = above.where(F.col("chars") >= SHARED_CHARS).select("project_id", F.col("folder").alias("path")).distinct()  # short files alone are alike by chance
+    folders = dirs.where(F.col("path").rlike(rf"(?:^|/)(?:{'|'.join(VENDOR_FOLDERS)})/[^/]+$")).join(told, ["project_id", "path"], "left_semi").select("hash").distinct().join(shared, "hash", "left_semi")
     copied = dirs.join(folders, "hash", "left_semi").select("project_id", F.col("path").alias("folder"))
-    above = judged.select("doc_id", "project_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), _depth("path") - 1)), lambda k: F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"))).alias("folder"))
     by_folder = above.join(copied, ["project_id", "folder"], "left_semi").select("doc_id").distinct().withColumn("by_folder", F.lit(True))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     kind = F.when(F.col("layout") != "banner", F.col("layout")).when(flag("by_leaf") | flag("by_folder") | F.coalesce(evidence, F.lit(False)), F.lit("vendored"))

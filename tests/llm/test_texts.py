@@ -158,6 +158,14 @@ def test_marks_below_a_notice():
     assert provenance.layout(notice + code.replace("\ttotal := 0\n", "\ttotal := 0\n\t" + mark + "\ttotal += 0\n"), "rows.go") is None
 
 
+def test_short_files_of_a_vendored_folder(table):
+    big, short = HAND.replace("Reader", "Speedy"), "from .x import Speedy\n"
+    files = [("p", "vendor/speedy/x.py", big), ("p", "vendor/speedy/init.py", short), ("q", "lib/fast/y.py", big), ("q", "lib/fast/start.py", short), ("q", "src/init.py", short), ("q", "src/own.py", HAND)]
+    rows = [(n, project, path, path.rpartition("/")[2], text) for n, (project, path, text) in enumerate(files)]
+    got = {r.doc_id: r.kind for r in provenance.not_handwritten(table(rows, "doc_id long, project_id string, path string, file_name string, content string")).collect()}
+    assert got == dict.fromkeys(range(4), "vendored")
+
+
 def test_merkle_hashes_ignore_names_and_order(table):
     leaves = table([("p", "a/x/1.py", 11, 1, False), ("p", "a/x/2.py", 12, 1, False), ("q", "b/c/y/k.py", 12, 1, True), ("q", "b/c/y/z.py", 11, 1, False), ("q", "b/other.py", 5, 1, False)], "project_id string, path string, hash long, files long, vendor boolean", extra=False)
     got = {(r.project_id, r.path): (r.hash, r.files, r.vendor) for r in provenance.subtrees(leaves).collect()}
