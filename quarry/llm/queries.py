@@ -116,7 +116,8 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.leaks(_documents(spark, folder), table(spark, folder, "eval_items")).select("item_id", "doc_id").distinct()
+    found = leakage.leaks(_documents(spark, folder), table(spark, folder, "eval_items"))
+    return found.where("kind = 'verbatim'").select("item_id", "doc_id").distinct()
 
 
 @query

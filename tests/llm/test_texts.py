@@ -95,36 +95,68 @@ def test_leaks(table):
         (8, None), (9, ""), (None, text), (10, noise + " ".join("changed" if k % 9 == 4 else w for k, w in enumerate(words)) + noise), (11, "<p>" + "</p> <p>".join(f"<b>{w}</b>" for w in words) + "</p>"),
     ] + [(100 + n, noise) for n in range(60)]
     df = table(docs, "doc_id long, text string")
-    got = {(r.item_id, r.doc_id) for r in leakage.leaks(df, table(ITEMS, "item_id long, text string")).collect()}
-    assert got == {(1, d) for d in (1, 2, 3, 4, 10, 11)}
+    found = leakage.leaks(df, table(ITEMS, "item_id long, text string")).collect()
+    assert {(r.item_id, r.doc_id) for r in found if r.kind == "verbatim"} == {(1, d) for d in (1, 2, 3, 4, 10, 11)}
+    assert {(r.item_id, r.doc_id) for r in found if r.kind != "verbatim"} == {(1, 7)}
     assert leakage.leaks(df.limit(0), table(ITEMS, "item_id long, text string")).count() == 0
     assert leakage.leaks(df, table([], "item_id long, text string")).count() == 0
 
 
-def test_leaks_of_copied_items(table, monkeypatch):
-    # A passage without numbers under a third of the ids, and one nearly copied under others: all ids leak, in any blocks.
+def _question(n, names, numbers):
+    a, b, c = names
+    return f"{a} owns {numbers[0]} wooden boats near the harbour of {b}. Every spring the owner sells {numbers[1]} boats to a merchant from {c}, who pays in silver coins. How many boats does {a} keep when the merchant from {c} has left {b}? Question of the {('first', 'second', 'third')[n % 3]} kind."
+
+
+def test_reparameterised_questions(table):
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(3))
+    given = [[name() for _ in range(3)] for _ in range(40)]
+    items = [(n, _question(n, given[n], [rng.randrange(10, 99) for _ in range(2)])) for n in range(40)]
+    noise = "the table of the session is read by the loader when the server starts and the page is shown " * 3
+    docs = [(n, noise + _question(n, [name() for _ in range(3)], [rng.randrange(10, 99) for _ in range(2)]) + noise) for n in range(160)]
+    mixed = [(500, noise + " ".join(name() if w.strip(",.?") in given[0] or w[0].isdigit() else w for w in items[0][1].split()) + noise)]  # one value, many others: no mapping
+    got = leakage.leaks(table(docs + mixed + [(600, items[3][1])], "doc_id long, text string"), table(items, "item_id long, text string")).collect()
+    other = {r.doc_id for r in got if r.kind == "reparameterised"}
+    assert other == set(range(160))  # neither the copy nor the text whose values keep to no mapping
+    assert {(r.item_id, r.doc_id) for r in got if r.kind == "verbatim"} == {(3, 600)}
+    assert {r.item_id for r in got if r.kind == "reparameterised"} <= {0, 1, 2}  # one item stands for its template
+
+
+def test_templates_decide(table, monkeypatch):
+    # Without slots in its windows every text of an item's template would be taken for a copy.
+    item = [(n, f"Before the session with {w}x ends the loader writes the table of {w}y to the page and the server of {w}z reads the table again.") for n, w in enumerate("ab cd ef gh ij kl mn op qr st uv wx yz ba dc fe hg ji lk nm po".split())]
+    doc = table([(1, item[0][1].replace("abx", "zzq").replace("aby", "zzr").replace("abz", "zzs")), (2, item[1][1])], "doc_id long, text string")
+    verbatim = lambda: {(r.item_id, r.doc_id) for r in leakage.leaks(doc, table(item, "item_id long, text string")).where("kind = 'verbatim'").collect()}
+    assert verbatim() == {(1, 2)}
+    monkeypatch.setattr(leakage, "common_words", lambda once, share=0.0: frozenset(r.w for r in once.selectExpr("explode(split(said, ' ')) as w").distinct().collect()))
+    assert {(0, 1), (1, 1), (0, 2)} <= verbatim()
+
+
+def test_words_of_any_script():
+    assert leakage.words("Größe_2x, Привет мир!") == ["größe", "2", "x", "привет", "мир"]
+    assert leakage.words("日本語 text") == ["日", "本", "語", "text"]
+
+
+def test_leaks_of_copied_items(table):
+    # A passage without numbers under a third of the ids, and one nearly copied under others: all ids leak.
     first = "The pale harbour keeps silent watch while sleepy herons cross beneath broken towers and gather slowly near forgotten wells."
     near = "Every gardener who plants tulips before winter must cover tender bulbs with straw because frost destroys shallow roots {} quickly."
     items = [(n, first) for n in range(20)] + [(100 + n, near.format("so" if n % 2 else "too") + " " + w) for n, w in enumerate("very rather truly often never seldom".split())]
     items += [(200 + n, f"Some unrelated passage {n} about w{chr(97 + n)}x and v{chr(98 + n)}z items over there.") for n in range(20)]
     noise = "the table of the session is read by the loader when the server starts and the page is shown " * 3
     docs = table([(1, noise + first + noise), (2, noise + near.format("so") + noise), (3, noise)], "doc_id long, text string")
-    expected = {(n, 1) for n in range(20)} | {(100 + n, 2) for n in range(6)}
-    for most in (20_000, 5):
-        monkeypatch.setattr(leakage, "ITEMS_AT_ONCE", most)
-        got = {(r.item_id, r.doc_id) for r in leakage.leaks(docs, table(items, "item_id long, text string")).collect()}
-        assert got == expected
+    got = {(r.item_id, r.doc_id) for r in leakage.leaks(docs, table(items, "item_id long, text string")).where("kind = 'verbatim'").collect()}
+    assert got == {(n, 1) for n in range(20)} | {(100 + n, 2) for n in range(6)}
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abcde"), min_size=3, max_size=20), st.lists(st.sampled_from("abcdef"), max_size=30))
 def test_common_subsequence(a, b):
-    items = leakage.Items([(1, " ".join(a))])
     table_ = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
         for j in range(len(b)):
             table_[i + 1][j + 1] = table_[i][j] + 1 if a[i] == b[j] else max(table_[i][j + 1], table_[i + 1][j])
-    assert items._common(1, b) == table_[-1][-1]
+    assert leakage.common_subsequence(a, b) == table_[-1][-1]
 
 
 HAND = "import os\n\n\ndef read(path):\n    if not path:\n        return None\n    with open(path) as f:\n        return f.read()\n\n\nclass Reader:\n    def __init__(self, root):\n        self.root = root\n\n    def get(self, name):\n        return read(os.path.join(self.root, name))\n"
