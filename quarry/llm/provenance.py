@@ -2,9 +2,11 @@
 
 Merkle hashes are computed bottom-up over each repository's directory tree: a file hashes its
 text, a directory the multiset of its children's hashes (names left out, for copies are renamed;
-a directory with one child hashes as that child). A subtree that several repositories share is
-vendored when one of its copies lies under a vendor folder or carries a library's banner; a copy
-of hand-written source is judged like its original. Header and layout rules find the rest.
+a directory with one child hashes as that child). Two kinds of nodes are vendored, and with them
+every file below each of their copies: a node of which some copy lies under a vendor folder, has a
+versioned name or carries a library's banner; and a directory of several texts that unrelated
+repositories share. Header and layout rules find the rest. A copied single file without such
+evidence is judged like its original.
 """
 
 import re
@@ -21,6 +23,8 @@ from quarry.plans.scratch import written
 ENDINGS = (".py", ".js", ".ts", ".java", ".go", ".css")
 #: Texts shorter than this are alike by chance and prove no common origin.
 SHARED_CHARS = 64
+#: Minimum hashes of a repository's texts; of two related ones (forks, mirrors: most texts in common) at least so many agree.
+SKETCH, RELATED = 16, 9
 
 # Folders under which each subfolder is a library, and the wordings of generators and banners.
 VENDOR_FOLDERS = ("vendor", "_vendor", "third_party", "third-party", "thirdparty", "3rdparty", "node_modules", "bower_components", "external", "extern", "deps", "site-packages", "Godeps")
@@ -31,7 +35,6 @@ _MARK = re.compile(
     r"(?:this (?:file|code) (?:was|is|has been) )?(?:automatically|auto|machine)[- ]?(?:generated|produced|made|created|written)\b|do not (?:modify|edit)(?: by hand)?[ :;,.!-]+.*(?:output|generat|produced|built)|"
     r"generated (?:by|from|with|using)\b|(?:this (?:file|code) (?:was|is) )?generated\b.*(?:do not|changes)|.*changes (?:will|may) be (?:lost|overwritten)|.*\bregenerate (?:using|with|by)\b)"
 )
-_BANNER = re.compile(r"(?is)\A﻿?\s*(?:/\*!?|#|//|\"\"\"|'''|<!--).{0,400}?\d+\.\d+")
 _RIGHTS = re.compile(r"(?i)licen[cs]e|copyright|\(c\)|redistribut|upstream|imported from|vendored from|contributors|all rights reserved|copied from")
 _VERSION = re.compile(r"(?i)\b[a-z][\w.-]*(?:\s+-\s+version|\s+version|,)?\s+v?\d+\.\d+(?:\.\d+)+|@version\s+\d")
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|-?\b(?:0x[\da-fA-F]+|\d[\w.]*)")
@@ -97,17 +100,18 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ending = "." + name.lower().rpartition(".")[2]
             broken = defect(content, LANGUAGES[ending]) if ending in LANGUAGES else None
             out.append((layout(text, name), broken is None))
-        yield pd.concat([batch[["doc_id", "project_id", "path", "chars", "leaf", "node"]], pd.DataFrame(out, columns=["layout", "valid"], index=batch.index)], axis=1)
+        yield pd.concat([batch[["doc_id", "project_id", "path", "chars", "node"]], pd.DataFrame(out, columns=["layout", "valid"], index=batch.index)], axis=1)
 
 
 def _mixed(children: DataFrame) -> DataFrame:
     """Parents of (project_id, path, hash) rows with the hash of their children's multiset."""
     h = F.xxhash64("hash", F.lit("child"))
     sums = children.groupBy("project_id", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("parent")).agg(
-        F.count("*").alias("n"), F.min("hash").alias("only"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high"), F.sum("files").alias("files"), F.max("vendor").alias("vendor")
-    )
+        F.count("*").alias("n"), F.min("hash").alias("only"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high"),
+        F.sum("files").alias("files"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("long").alias("long"),
+    )
     own = F.when(F.col("n") == 1, F.col("only")).otherwise(F.xxhash64("n", "low", "high"))
-    return sums.select("project_id", F.col("parent").alias("path"), own.alias("hash"), "files", "vendor")
+    return sums.select("project_id", F.col("parent").alias("path"), own.alias("hash"), "files", "least", "most", "long")
 
 
 def _depth(path: str | Column) -> Column:
@@ -115,7 +119,7 @@ def _depth(path: str | Column) -> Column:
 
 
 def subtrees(leaves: DataFrame) -> DataFrame:
-    """Merkle nodes of every directory, bottom-up: `project_id`, `path`, `hash`, `files`, `vendor` (evidence below it)."""
+    """Merkle nodes of every directory, bottom-up: `project_id`, `path`, `hash`, `files`, `least` and `most` (its texts' hashes), `long` (whether a text is)."""
     deepest = leaves.agg(F.max(_depth("path")).alias("d")).first().d or 0
     level, out = leaves.where(F.lit(False)), None
     for d in range(deepest, 1, -1):
@@ -124,6 +128,33 @@ def subtrees(leaves: DataFrame) -> DataFrame:
     return leaves.where(F.lit(False)) if out is None else out
 
 
+def _shared(dirs: DataFrame, leaves: DataFrame) -> DataFrame:
+    """`hash` of the directories of several texts, one of them not short, that unrelated repositories share."""
+    held = dirs.where((F.col("path") != "") & (F.col("least") < F.col("most")) & F.col("long")).select("hash", "project_id").distinct()
+    several = held.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    sketch = leaves.groupBy("project_id").agg(F.array(*[F.min(F.xxhash64("hash", F.lit(i))) for i in range(SKETCH)]).alias("sketch"))
+    # One holder of each hash is compared with all others: no pairs of repositories are formed.
+    held = held.join(several, "hash", "left_semi").join(sketch, "project_id")
+    first = held.groupBy("hash").agg(F.min(F.struct("project_id", "sketch"))["sketch"].alias("first"))
+    alike = F.aggregate(F.zip_with("sketch", "first", lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
+    return held.join(first, "hash").where(alike < RELATED).select("hash").distinct()
+
+
+def vendored(leaves: DataFrame) -> DataFrame:
+    """`doc_id` of the files below a vendored node. `leaves(doc_id, project_id, path, hash, long, evidence)`."""
+    own = leaves.select("project_id", "path", "hash", F.lit(1).cast("long").alias("files"), F.col("hash").alias("least"), F.col("hash").alias("most"), "long")
+    dirs = subtrees(own)
+    # A short file is alike by chance: alone it is nobody's copy, but it counts by its text inside a directory.
+    evident = leaves.where("evidence and long").select("hash").union(dirs.where(F.col("long") & F.col("path").rlike(rf"(?:^|/)(?:{'|'.join(VENDOR_FOLDERS)})/[^/]+$")).select("hash"))
+    marked = evident.union(_shared(dirs, own)).distinct()
+    by_text = leaves.where("long").join(marked, "hash", "left_semi").select("doc_id")
+    copied = dirs.where("long").join(marked, "hash", "left_semi").select("project_id", F.col("path").alias("folder"))
+    parts = F.split("path", "/")
+    above = leaves.select("doc_id", "project_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("folder"))
+    by_folder = above.join(copied, ["project_id", "folder"], "left_semi").select("doc_id")
+    return by_text.union(by_folder).union(leaves.where("evidence").select("doc_id")).distinct()
+
+
 def not_handwritten(documents: DataFrame) -> DataFrame:
     """Files that nobody wrote by hand: `doc_id`, `project_id`, `path`, `kind`, `valid` (its syntax).
 
@@ -133,30 +164,12 @@ def not_handwritten(documents: DataFrame) -> DataFrame:
     files = documents.where("doc_id is not null and path is not null and file_name is not null and content is not null").where(
         F.lower("file_name").rlike(r"\.(?:" + "|".join(e[1:] for e in ENDINGS) + ")$")
     )
-    text = F.trim(F.regexp_replace(F.regexp_replace("content", "\r\n?", "\n"), r"^\x{feff}|[ \t]+(?=\n)", ""))
-    # A short file is nobody's copy by itself, but counts by its text inside a folder.
-    node = F.xxhash64(F.regexp_replace(text, r"\s+$", ""))
-    leaf = F.when(F.length("content") >= SHARED_CHARS, node).otherwise(F.xxhash64("doc_id"))
-    rows = files.select("doc_id", F.coalesce("project_id", F.lit("")).alias("project_id"), "path", "file_name", "content", F.length("content").alias("chars"), leaf.alias("leaf"), node.alias("node"))
-    judged = written(rows.mapInPandas(_judged, "doc_id long, project_id string, path string, chars int, leaf long, node long, layout string, valid boolean"), "judged")
+    text = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace("content", "\r\n?", "\n"), r"^\x{feff}|[ \t]+(?=\n)", "")), r"\s+$", "")
+    rows = files.select("doc_id", F.coalesce("project_id", F.lit("")).alias("project_id"), "path", "file_name", "content", F.length("content").alias("chars"), F.xxhash64(text).alias("node"))
+    judged = written(rows.mapInPandas(_judged, "doc_id long, project_id string, path string, chars int, node long, layout string, valid boolean"), "judged")
     located = F.col("path").rlike(_VENDORED_PATH) | F.col("path").rlike(_VERSIONED_NAME)
-    evidence = located | (F.col("layout") == "banner")
-    leaves = judged.select("project_id", "path", F.col("node").alias("hash"), F.lit(1).cast("long").alias("files"), F.coalesce(evidence, F.lit(False)).alias("vendor"))
-    dirs = subtrees(leaves)
-    nodes = dirs.where((F.col("path") != "") & (F.col("files") > 1))
-    # Partial aggregation by (hash, project) first: a text that fills a third of all files stays spread.
-    per_project = nodes.groupBy("hash", "project_id").agg(F.max("vendor").alias("vendor"))
-    shared = per_project.groupBy("hash").agg(F.count("*").alias("projects"), F.max("vendor").alias("vendor")).where("projects > 1 and vendor").select("hash")
-    # A file is judged like its copies, in its own repository too; else it inherits from a folder above it
-    # that is such a shared subtree and, there or elsewhere, wholly under a vendor folder.
-    evident = judged.where(F.coalesce(evidence, F.lit(False))).select("leaf").distinct().withColumn("by_leaf", F.lit(True))
-    by_leaf = judged.join(evident, "leaf", "left")
-    above = judged.select("doc_id", "project_id", "chars", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), _depth("path") - 1)), lambda k: F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"))).alias("folder"))
-    told = above.where(F.col("chars") >= SHARED_CHARS).select("project_id", F.col("folder").alias("path")).distinct()  # short files alone are alike by chance
-    folders = dirs.where(F.col("path").rlike(rf"(?:^|/)(?:{'|'.join(VENDOR_FOLDERS)})/[^/]+$")).join(told, ["project_id", "path"], "left_semi").select("hash").distinct().join(shared, "hash", "left_semi")
-    copied = dirs.join(folders, "hash", "left_semi").select("project_id", F.col("path").alias("folder"))
-    by_folder = above.join(copied, ["project_id", "folder"], "left_semi").select("doc_id").distinct().withColumn("by_folder", F.lit(True))
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    kind = F.when(F.col("layout") != "banner", F.col("layout")).when(flag("by_leaf") | flag("by_folder") | F.coalesce(evidence, F.lit(False)), F.lit("vendored"))
-    out = by_leaf.join(by_folder, "doc_id", "left").select("doc_id", "project_id", "path", kind.alias("kind"), "valid")
+    evidence = F.coalesce(located | (F.col("layout") == "banner"), F.lit(False))
+    copies = vendored(judged.select("doc_id", "project_id", "path", F.col("node").alias("hash"), (F.col("chars") >= SHARED_CHARS).alias("long"), evidence.alias("evidence")))
+    kind = F.when(F.col("layout") != "banner", F.col("layout")).when(F.col("copied"), F.lit("vendored"))
+    out = judged.join(copies.withColumn("copied", F.lit(True)), "doc_id", "left").select("doc_id", "project_id", "path", kind.alias("kind"), "valid")
     return out.where("kind is not null")

@@ -198,11 +198,52 @@ def test_short_files_of_a_vendored_folder(table):
     assert got == dict.fromkeys(range(4), "vendored")
 
 
+def _own(project, n):
+    return [(project, f"src/own{k}.py", HAND.replace("Reader", f"Own{project}{k}")) for k in range(n)]
+
+
+def _kinds(table, files):
+    rows = [(n, project, path, path.rpartition("/")[2], text) for n, (project, path, text) in enumerate(files)]
+    found = {r.doc_id: r.kind for r in provenance.not_handwritten(table(rows, "doc_id long, project_id string, path string, file_name string, content string")).collect()}
+    return {(p, path): found.get(n) for n, (p, path, _) in enumerate(files)}
+
+
+LIBRARY = [("core/io.py", HAND.replace("Reader", "Speedy")), ("core/net.py", HAND.replace("Reader", "Swift")), ("top.py", HAND.replace("Reader", "Top")), ("mark.py", "x = 1\n")]
+
+
+def test_shared_subtrees_are_vendored(table):
+    # No vendor folder, version or banner anywhere: unrelated repositories share the tree, and that decides.
+    files = _own("p", 9) + _own("q", 9) + [("p", "lib/fast/" + f, t) for f, t in LIBRARY] + [("q", "assets/" + f.upper(), t) for f, t in LIBRARY]
+    files = [(p, f.replace(".PY", ".py"), t) for p, f, t in files]
+    got = _kinds(table, files)
+    assert {k for k, v in got.items() if v == "vendored"} == {(p, f) for p, f, _ in files if "own" not in f}
+    # The same tree in a fork says nothing: most of the two repositories is the same.
+    fork = _own("p", 9) + [(p.replace("p", "r"), f, t) for p, f, t in _own("p", 9)] + [(p, "lib/" + f, t) for p in "pr" for f, t in LIBRARY] + [("r", "src/more.py", HAND.replace("Reader", "More"))]
+    assert set(_kinds(table, fork).values()) == {None}
+    # Nor does a tree whose copies lie in one repository.
+    assert set(_kinds(table, _own("p", 9) + [("p", d + f, t) for d in ("a/", "b/") for f, t in LIBRARY]).values()) == {None}
+
+
+def test_merkle_nodes_decide(table, monkeypatch):
+    files = _own("p", 9) + _own("q", 9) + [("p", "vendor/fast/" + f, t) for f, t in LIBRARY] + [("q", "assets/" + f, t) for f, t in LIBRARY]
+    with_nodes = {k for k, v in _kinds(table, files).items() if v}
+    monkeypatch.setattr(provenance, "subtrees", lambda leaves: leaves.limit(0))
+    assert with_nodes - {k for k, v in _kinds(table, files).items() if v} == {("q", "assets/mark.py")}
+
+
+def test_short_files_do_not_part_copies(table):
+    # An empty or short file among a tree's files counts by its text, so the trees above stay equal.
+    short = [*LIBRARY, ("core/__init__.py", ""), ("__init__.py", "")]
+    files = _own("p", 9) + _own("q", 9) + [("p", "lib/fast/" + f, t) for f, t in short] + [("q", "tools/" + f, t) for f, t in short]
+    assert {k for k, v in _kinds(table, files).items() if v} == {(p, f) for p, f, _ in files if "own" not in f}
+
+
 def test_merkle_hashes_ignore_names_and_order(table):
-    leaves = table([("p", "a/x/1.py", 11, 1, False), ("p", "a/x/2.py", 12, 1, False), ("q", "b/c/y/k.py", 12, 1, True), ("q", "b/c/y/z.py", 11, 1, False), ("q", "b/other.py", 5, 1, False)], "project_id string, path string, hash long, files long, vendor boolean", extra=False)
-    got = {(r.project_id, r.path): (r.hash, r.files, r.vendor) for r in provenance.subtrees(leaves).collect()}
+    rows = [("p", "a/x/1.py", 11), ("p", "a/x/2.py", 12), ("q", "b/c/y/k.py", 12), ("q", "b/c/y/z.py", 11), ("q", "b/other.py", 5)]
+    leaves = table([(p, path, h, 1, h, h, True) for p, path, h in rows], "project_id string, path string, hash long, files long, least long, most long, long boolean", extra=False)
+    got = {(r.project_id, r.path): (r.hash, r.files, r.least, r.most) for r in provenance.subtrees(leaves).collect()}
     assert got["p", "a/x"][0] == got["p", "a"][0] == got["q", "b/c/y"][0] == got["q", "b/c"][0] != got["q", "b"][0]
-    assert got["q", "b"][1:] == (3, True) and got["p", "a"][1:] == (2, False)
+    assert got["q", "b"][1:] == (3, 5, 12) and got["p", "a"][1:] == (2, 11, 12)
 
 
 EASY = ["Open the file and read it.", "We fix the list by hand.", "The page is new.", "You can add a small note.", "Is the link old? Then save it.", "Now send the short form.", "Do not move the box yet.", "The run is slow today.", "Check the desk again.", "Keep the old word."]
