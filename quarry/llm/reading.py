@@ -1,12 +1,13 @@
 """Problem 10: the reading level of each document.
 
 Graded texts tell when a word is acquired: the grade by which a quarter of its use, as a share of
-each grade's texts, is reached. Words no graded text has get the grade usual for their
-length. A document's grade is calibrated on the graded texts from quantiles of its words' grades
-and its sentence length. Sentences are sorted as well (short and everyday, long and learned, or
-neither), for a document is basic or advanced only if nearly all its sentences are.
+each grade's texts, is reached. Words that too few texts have are unknown and take no part. A
+sentence's grade is calibrated on the graded texts from quantiles of its known words' grades and
+its length; a document's grade is the mean of its sentences'. A document is basic or advanced if
+nearly all its sentences are graded so: the calibrated quantile of its sentence grades decides.
 """
 
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -17,19 +18,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.pairs import _COMMON
+from quarry.plans.scratch import written
 
 #: Graded rows the model is fitted on, at most about so many (chosen by a hash of doc_id).
 LABEL_ROWS = 20_000
-#: Words with a grade, at most so many (those in most graded texts).
-GRADED_WORDS = 50_000
+#: A word is known if at least this share of the texts has it, so known words are at most a text's mean number of different words / KNOWN_SHARE.
+KNOWN_SHARE = 1e-4
 GRADES = (1, 2, 3, 4, 5)
-#: The part of a word's use that makes it acquired; from which grade a word is not everyday, and from which it is learned.
+#: The part of a word's use that makes it acquired.
 ACQUIRED = 0.25
-EVERYDAY, LEARNED = 2.2, 3.3
+#: Grades below which a sentence is basic, and from which it is advanced.
+BASIC, ADVANCED = 2.25, 4.25
 #: The share of sentences that makes a document of one sort, and the sentences it needs.
 NEARLY_ALL = 0.78
 SENTENCES = 8
-BASIC_WORDS, ADVANCED_WORDS = 12, 16
+QUANTILES = (0.5, 0.75, 0.9)
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)|<pre\b.*?</pre>|<code\b.*?</code>", re.S | re.I)
 _MARKUP = re.compile(r"<[^<>\n]{1,200}>|`[^`\n]*`|https?://\S+|&[a-z]+;")
@@ -63,58 +66,58 @@ def is_english(found: list[list[str]]) -> bool:
     return hits["en"] > 0 and hits["en"] >= max(v for k, v in hits.items() if k != "en")
 
 
+def _quantile(ordered: list[float], q: float) -> float:
+    x = q * (len(ordered) - 1)
+    i = int(x)
+    return ordered[i] if i + 1 == len(ordered) else ordered[i] + (ordered[i + 1] - ordered[i]) * (x - i)
+
+
 class Model:
-    """Grades of words, of word lengths, and the calibration: all of bounded size."""
+    """Grades of the known words, and the calibration."""
 
     def __init__(self, grades: dict[str, float], rows: list[tuple[list[float], float]] | None = None):
         self.grades = grades
-        # The grade usual for a length: a plain slope where no graded text speaks, worth three words.
-        lengths: dict[int, list[float]] = {}
-        for w, g in grades.items():
-            lengths.setdefault(min(len(w), 16), []).append(g)
-        self.usual = {n: (sum(lengths.get(n, [])) + 3 * min(5.0, max(1.0, 0.4 * n - 0.2))) / (len(lengths.get(n, [])) + 3) for n in range(1, 17)}
-        x = np.array([r[0] for r in rows or []], dtype=float).reshape(-1, 5)
+        x = np.array([r[0] for r in rows or []], dtype=float).reshape(-1, 2 + len(QUANTILES))
         y = np.array([r[1] for r in rows or []], dtype=float)
         # Ridge towards the mean of the quantiles, so that a handful of graded texts cannot bend it.
-        prior = np.array([0.0, 0.3, 0.3, 0.3, 0.1])
-        ridge = np.diag([1e-3, 5.0, 5.0, 5.0, 5.0])
-        self.weights = prior + np.linalg.solve(x.T @ x + ridge, x.T @ (y - x @ prior))
-
-    def of(self, word: str) -> float:
-        g = self.grades.get(word)
-        return self.usual[min(len(word), 16)] if g is None else g
-
-    def features(self, found: list[list[str]]) -> list[float]:
-        grades = np.array([self.of(w) for s in found for w in s])
-        q = np.quantile(grades, (0.5, 0.75, 0.9)).tolist()
-        return [1.0, *q, float(np.log2(np.median([len(s) for s in found])))]
-
-    def grade(self, found: list[list[str]]) -> float:
-        return float(np.clip(np.dot(self.weights, self.features(found)), 1.0, 5.0))
-
-    def sort(self, s: list[str]) -> int:
-        """-1 for a short sentence of everyday words, 1 for a long one dense with learned words, else 0."""
-        n = len(s)
-        hard = sum(self.of(w) >= LEARNED for w in s)
-        if n <= BASIC_WORDS and not hard and sum(self.of(w) >= EVERYDAY for w in s) <= 0.35 * n:
-            return -1
-        return 1 if n >= ADVANCED_WORDS and hard >= max(3, 0.14 * n) else 0
+        prior = np.array([0.0, *[0.9 / len(QUANTILES)] * len(QUANTILES), 0.1])
+        ridge = np.diag([1e-3, *[5.0] * (1 + len(QUANTILES))])
+        self.weights = (prior + np.linalg.solve(x.T @ x + ridge, x.T @ (y - x @ prior))).tolist()
+
+    def features(self, s: list[str]) -> list[float] | None:
+        """A sentence's, or None where fewer than two of its words are known."""
+        known = self.grades
+        grades = sorted([known[w] for w in s if w in known])
+        return [1.0, *[_quantile(grades, q) for q in QUANTILES], math.log2(len(s))] if len(grades) >= 2 else None
+
+    def described(self, found: list[list[str]]) -> list[float] | None:
+        """A document's features: the mean of its sentences', for the calibration is linear."""
+        rows = [x for x in map(self.features, found) if x]
+        return np.mean(rows, axis=0).tolist() if rows else None
+
+    def sentence_grades(self, found: list[list[str]]) -> list[float]:
+        w = self.weights
+        return [sum(a * b for a, b in zip(w, x)) for x in map(self.features, found) if x]
+
+    def grade(self, found: list[list[str]]) -> float | None:
+        grades = self.sentence_grades(found)
+        return min(5.0, max(1.0, sum(grades) / len(grades))) if grades else None
 
     def level(self, text: str | None) -> tuple[float | None, str | None, int, float, float]:
         """(grade 1..5, level, sentences, share of basic ones, share of advanced ones)."""
         found = sentences(text)
-        if not found or not is_english(found):
+        grades = self.sentence_grades(found) if found and is_english(found) else []
+        if not grades:
             return None, None, len(found), 0.0, 0.0
-        grade = self.grade(found)
-        sorts = [self.sort(s) for s in found]
-        basic, advanced = sorts.count(-1) / len(sorts), sorts.count(1) / len(sorts)
+        n, grade = len(found), min(5.0, max(1.0, sum(grades) / len(grades)))
+        basic, advanced = sum(g < BASIC for g in grades) / n, sum(g >= ADVANCED for g in grades) / n
         level = "other"
-        if len(found) >= SENTENCES:
+        if n >= SENTENCES:
             level = "basic" if basic >= NEARLY_ALL else "advanced" if advanced >= NEARLY_ALL else "other"
-        return grade, level, len(found), basic, advanced
+        return grade, level, n, basic, advanced
 
 
-def _word_grades(grade_of: Callable[[list[list[str]], float | None], int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _word_grades(grade_of: Callable[[list[list[str]], float | None], int | None]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """How many texts of each grade hold each word, and under the empty word how many texts there are."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,8 +125,8 @@ def _word_grades(grade_of: Callable[[list[list[str]], float | None], int]) -> Ca
         for batch in batches:
             for text, grade in zip(batch.text, batch.grade):
                 found = sentences(text)
-                if found and is_english(found):
-                    g = grade_of(found, grade)
+                g = grade_of(found, grade) if found and is_english(found) else None
+                if g is not None:
                     counts.update((w, g) for w in {w for s in found for w in s})
                     counts["", g] += 1
             if len(counts) > 300_000:
@@ -135,12 +138,15 @@ def _word_grades(grade_of: Callable[[list[list[str]], float | None], int]) -> Ca
 
 
 def _collected(counts: DataFrame, least: int) -> tuple[dict[str, dict[int, int]], dict[int, int]]:
-    """The counts of the words in most texts (bounded), and the texts of each grade."""
-    summed = counts.groupBy("word").pivot("grade", list(GRADES)).agg(F.sum("n"))
+    """The counts of the known words, and the texts of each grade."""
+    summed = written(counts.groupBy("word").pivot("grade", list(GRADES)).agg(F.sum("n")), "words")
     total = sum((F.coalesce(F.col(str(g)), F.lit(0)) for g in GRADES), F.lit(0))
-    rows = summed.withColumn("total", total).where(F.col("total") >= least).orderBy(F.desc(F.col("word") == ""), F.desc("total"), "word").limit(GRADED_WORDS).collect()
-    by = {r.word: {g: r[str(g)] or 0 for g in GRADES} for r in rows}
-    return {w: c for w, c in by.items() if w}, by.get("", {})
+    texts = summed.where("word = ''").first()
+    if texts is None:
+        return {}, {}
+    texts = {g: texts[str(g)] or 0 for g in GRADES}
+    rows = summed.where((F.col("word") != "") & (total >= max(least, KNOWN_SHARE * sum(texts.values())))).collect()
+    return {r.word: {g: r[str(g)] or 0 for g in GRADES} for r in rows}, texts
 
 
 def acquired(counts: dict[str, dict[int, int]], texts: dict[int, int]) -> dict[str, float]:
@@ -161,7 +167,7 @@ def acquired(counts: dict[str, dict[int, int]], texts: dict[int, int]) -> dict[s
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    """The model from graded English prose; without grades it rests on word lengths alone.
+    """The model from graded English prose; without grades it knows no word.
 
     A few graded texts hold few of the words, so a second round takes every prose text with the
     grade the first model gives it and learns the words' grades anew from all of them.
@@ -172,7 +178,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
         return Model({})
     graded = graded.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // LABEL_ROWS))) == 0)
     # The graded rows are few and bounded: they go to the documents, not the documents through a shuffle.
-    texts = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(graded), "doc_id")
+    texts = written(documents.where("text is not null").select("doc_id", "text").join(F.broadcast(graded), "doc_id"), "graded")
     counted = "word string, grade int, n long"
     first = Model(acquired(*_collected(texts.mapInPandas(_word_grades(lambda found, grade: int(grade)), counted), 2)))
 
@@ -180,7 +186,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
         def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 found = [(sentences(t), g) for t, g in zip(batch.text, batch.grade)]
-                yield pd.DataFrame([(model.features(f), float(g)) for f, g in found if f and is_english(f)], columns=["x", "grade"])
+                rows = [(model.described(f), float(g)) for f, g in found if f and is_english(f)]
+                yield pd.DataFrame([r for r in rows if r[0]], columns=["x", "grade"])
 
         rows = texts.mapInPandas(described, "x array<double>, grade double").collect()
         return Model(model.grades, [(list(r.x), r.grade) for r in rows])
@@ -188,15 +195,19 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     first = calibrated(first)
     prose = documents.where("text is not null")
     prose = prose.where("path is null") if "path" in documents.columns else prose
+
+    def given(found: list[list[str]], _: object) -> int | None:
+        grade = first.grade(found)
+        return None if grade is None else round(grade)
+
     all_texts = prose.select("text", F.lit(0).alias("grade"))
-    given = all_texts.mapInPandas(_word_grades(lambda found, _: int(np.rint(first.grade(found)))), counted)
-    return calibrated(Model(acquired(*_collected(given, 3))))
+    return calibrated(Model(acquired(*_collected(all_texts.mapInPandas(_word_grades(given), counted), 3))))
 
 
 def levels(documents: DataFrame, labels: DataFrame, prose_only: bool = True) -> DataFrame:
     """`doc_id`, `grade` (1..5, comparable over documents), `level`, `sentences`, `basic`, `advanced` (shares of sentences).
 
-    Grade and level are null for texts without an English sentence. Rows without an id are left
+    Grade and level are null for texts without an English sentence of known words. Rows without an id are left
     out; with `prose_only` files (rows with a path) are, too. No documents, no rows.
     """
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))

@@ -276,8 +276,19 @@ def test_levels(graded):
     assert 1000 in {r.doc_id for r in reading.levels(docs, labels, prose_only=False).collect()}
 
 
-def test_levels_without_grades(graded):
+def test_levels_rest_on_graded_words(graded):
+    # Without graded texts no word has a grade, and no document a level: nothing else decides.
     docs, labels = graded
-    rows = {r.doc_id: r for r in reading.levels(docs, labels.limit(0)).collect()}
-    assert rows[2].level == "advanced" and rows[1].level == "other"
+    rows = reading.levels(docs, labels.limit(0)).collect()
+    assert rows and all(r.level is None and r.grade is None for r in rows)
     assert reading.levels(docs.limit(0), labels).count() == 0
+    # Turned grades turn the levels.
+    turned = {r.doc_id: r for r in reading.levels(docs, labels.selectExpr("doc_id", "6 - grade as grade", "rater")).collect()}
+    assert np.mean([turned[n].grade for n in range(0, 240, 3)]) > np.mean([turned[n].grade for n in range(2, 240, 3)])
+
+
+def test_quantile():
+    rng = random.Random(3)
+    for n in (1, 2, 7, 30):
+        x = sorted(rng.random() for _ in range(n))
+        assert all(abs(reading._quantile(x, q) - np.quantile(x, q)) < 1e-12 for q in (0.0, 0.3, 0.5, 0.9, 1.0))
