@@ -1,10 +1,11 @@
 """Problem 6: message rows put back together as ordered conversations.
 
-Rows are range-partitioned and sorted by (session, time, id), so that a session of any size is
-spread over as many partitions as it needs. In each partition Kahn's algorithm orders the reply
-graph of each session's stretch, ties going to the earlier time and then the smaller id: a row's
-parent is the one named by `reply_to` where the table has such a column, else the row before it.
-Rows that Kahn's algorithm leaves over lie on a cycle. The stretches are joined at the partition
+Kahn's algorithm orders the reply graph of each session, ties going to the earlier time and then the
+smaller id: a row's parent is the one named by `reply_to` where the table has such a column, else
+the row before it. Rows that Kahn's algorithm leaves over lie on or behind a cycle. A session of up
+to `SESSION_ROWS` rows is ordered in one task; a larger one by pointer jumping over the whole table,
+which gives the same order. Rows are then range-partitioned by that order, so that a session of any
+size is spread over as many partitions as it needs, and the stretches are joined at the partition
 borders, of which there are no more than partitions.
 """
 
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from quarry.plans.scratch import written
 
+#: Rows of a session up to which one task holds its reply graph; larger ones take the distributed way.
+SESSION_ROWS = 100_000
+
 _SPACE = r"(?U)^[\s\x{feff}]+|[\s\x{feff}]+$"
 
 
@@ -44,28 +48,90 @@ def prepared(messages: DataFrame, texts: bool = True) -> DataFrame:
     return out.where("session_id is not null").withColumn("role", norm_role())
 
 
-def _kahn(rows: list[tuple], has_parent: bool) -> tuple[list[tuple], list[tuple]]:
-    """Rows in topological order of their reply graph, and the rows on or behind a cycle."""
+def _kahn(rows: list[tuple]) -> tuple[list[int], list[int]]:
+    """Rows (time, id, parent) of one reply graph: their places in topological order, and those on or behind a cycle."""
     at = {r[1]: k for k, r in enumerate(rows)}
     children: list[list[int]] = [[] for _ in rows]
     waits = [0] * len(rows)
     for k, r in enumerate(rows):
-        parent = at.get(r[5]) if has_parent and r[5] is not None else k - 1 if not has_parent and k else None
+        parent = at.get(r[2])
         if parent is not None:
             children[parent].append(k)
             waits[k] += 1
-    ready = [(rows[k][4], rows[k][1], k) for k, w in enumerate(waits) if not w]
+    ready = [(rows[k][0], rows[k][1], k) for k, w in enumerate(waits) if not w]
     heapq.heapify(ready)
-    out, seen = [], set()
+    out = []
     while ready:
         _, _, k = heapq.heappop(ready)
-        out.append(rows[k])
-        seen.add(k)
+        out.append(k)
         for c in children[k]:
             waits[c] -= 1
             if not waits[c]:
-                heapq.heappush(ready, (rows[c][4], rows[c][1], c))
-    return out, [r for k, r in enumerate(rows) if k not in seen]
+                heapq.heappush(ready, (rows[c][0], rows[c][1], c))
+    placed = set(out)
+    return out, [k for k in range(len(rows)) if k not in placed]
+
+
+_PLACED = "session_id string, id long, place array<struct<t:timestamp,id:long>>, leftover boolean"
+
+
+def _placed_by_session(rows: DataFrame) -> DataFrame:
+    """Places in Kahn's order, each session in one task: `session_id`, `id`, `place`, `leftover`."""
+
+    def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+
+        def flush() -> list[tuple]:
+            out, left = _kahn(held)
+            return [(at, held[k][1], [(None, n)], n >= len(out)) for n, k in enumerate(out + left)]
+
+        columns = ["session_id", "id", "place", "leftover"]
+        for batch in batches:
+            done = []
+            for session, row, time, parent in zip(batch.session_id, batch.id, batch.created_at, batch.reply_to):
+                if session != at:
+                    done += flush() if held else []
+                    at, held = session, []
+                held.append((time, row, None if parent is None else int(parent)))
+            yield pd.DataFrame(done, columns=columns)
+        yield pd.DataFrame(flush() if held else [], columns=columns)
+
+    sorted_rows = rows.select("session_id", "id", "created_at", F.col("reply_to").cast("string").alias("reply_to")).repartition("session_id").sortWithinPartitions("session_id", "created_at", "id")
+    return sorted_rows.mapInPandas(order, _PLACED)
+
+
+def _placed_by_jumps(rows: DataFrame, most: int) -> DataFrame:
+    """The same for sessions of up to `most` rows, spread over all tasks.
+
+    A row waits for the rows above it, so in Kahn's order it comes behind the latest of them, among
+    what waited for the same row behind the latest below that, and so on: by the later ones on its
+    path, from the top. Each round doubles the stretch of path a row knows; after as many rounds as
+    double past the session's size, a row that still has a row above it never ends: a cycle.
+    """
+    own = rows.select("session_id", "id", "reply_to", F.array(F.struct(F.col("created_at").alias("t"), F.col("id").alias("id"))).alias("place"))
+    above = rows.select("session_id", F.col("id").alias("reply_to"), F.col("id").alias("up"))  # a parent that is not there counts as none
+    nodes = own.join(above, ["session_id", "reply_to"], "left").select("session_id", "id", "up", "place")
+    nodes, steps = written(nodes, "jumps"), 1
+    while steps <= 2 * most and not nodes.where("up is not null").isEmpty():
+        higher = nodes.select("session_id", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("place").alias("place2"))
+        later = F.when(F.col("place2").isNull(), F.col("place")).otherwise(F.concat(F.filter("place2", lambda x: x > F.col("place")[0]), "place"))
+        nodes, steps = written(nodes.join(higher, ["session_id", "up"], "left").select("session_id", "id", F.col("up2").alias("up"), later.alias("place")), "jumps"), 2 * steps
+    left = F.col("up").isNotNull()
+    return nodes.select("session_id", "id", F.when(left, F.slice("place", -1, 1)).otherwise(F.col("place")).alias("place"), left.alias("leftover"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """`rows` with `place` (its order within the session) and `leftover` (on or behind a cycle, then last)."""
+    if "reply_to" not in rows.columns:
+        # Each row answers the one before, by time and id: the chain's only topological order.
+        return rows.withColumn("place", F.array(F.struct(F.col("created_at").alias("t"), F.col("id").alias("id")))).withColumn("leftover", F.lit(False))
+    sizes = written(rows.groupBy("session_id").agg(F.count("*").alias("size")), "sizes")
+    large = sizes.where(F.col("size") > SESSION_ROWS)
+    most = large.agg(F.max("size").alias("m")).first().m
+    found = _placed_by_session(rows.join(large, "session_id", "left_anti"))
+    if most is not None:
+        found = found.unionByName(_placed_by_jumps(rows.join(large, "session_id", "left_semi"), most))
+    return rows.join(found, ["session_id", "id"])
 
 
 _TURNS = "session_id string, pid int, pos long, id long, role string, content string, created_at timestamp, leftover boolean, prev_id long, prev_role string, prev_content string"
@@ -80,33 +146,20 @@ def ordered_turns(messages: DataFrame, rows: DataFrame | None = None) -> DataFra
     rows = prepared(messages) if rows is None else rows
     undated = rows.where("created_at is null").select("session_id").distinct()
     rows = rows.join(undated, "session_id", "left_anti").where("role <> 'system'")
-    has_parent = "reply_to" in rows.columns
-    rows = rows.select("session_id", "id", "role", "content", "created_at", *(["reply_to"] if has_parent else []))
-    ranged = rows.repartitionByRange("session_id", "created_at", "id").sortWithinPartitions("session_id", "created_at", "id")
-    names = ["session_id", "id", "role", "content", "created_at"] + (["reply_to"] if has_parent else [])
+    rows = placed(rows.select("session_id", "id", "role", "content", "created_at", *(["reply_to"] if "reply_to" in rows.columns else [])))
+    by = ["session_id", "leftover", "place"]
+    ranged = rows.drop("reply_to").repartitionByRange(*by).sortWithinPartitions(*by)
 
     def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-
-        def flush() -> list[tuple]:
-            out, left = _kahn(held, has_parent)
-            turns, before = [], (None, None, None)
-            for pos, (r, over) in enumerate([(r, False) for r in out] + [(r, True) for r in left]):
-                turns.append((r[0], pid, pos, r[1], r[2], r[3], r[4], over, *before))
-                before = (r[1], r[2], r[3])
-            return turns
-
-        pid, columns = 0, [c.split()[0] for c in _TURNS.split(", ")]
+        at, pos, before, columns = None, 0, (None, None, None), [c.split()[0] for c in _TURNS.split(", ")]
         for batch in batches:
-            pid = int(batch.pid.iloc[0]) if len(batch) else pid
             done = []
-            for r in batch[names].itertuples(index=False, name=None):
-                if held and held[0][0] != r[0]:
-                    done += flush()
-                    held = []
-                held.append(r)
+            for session, pid, row, role, content, time, over in zip(batch.session_id, batch.pid, batch.id, batch.role, batch.content, batch.created_at, batch.leftover):
+                if session != at:
+                    at, pos, before = session, 0, (None, None, None)
+                done.append((session, pid, pos, row, role, content, time, over, *before))
+                pos, before = pos + 1, (row, role, content)
             yield pd.DataFrame(done, columns=columns)
-        yield pd.DataFrame(flush() if held else [], columns=columns)
 
     turns = written(ranged.withColumn("pid", F.spark_partition_id()).mapInPandas(order, _TURNS), "turns")
     ends = turns.groupBy("session_id", "pid").agg(F.max_by(F.struct("id", "role", "content"), "pos").alias("last"))
