@@ -3,15 +3,16 @@
 Each vector is cut into two halves and each half quantised by its own codebook of `K` centroids,
 so a vector belongs to one of K*K cells. For ten neighbours a query walks the cells in the order
 of its summed distance to the two centroids (a heap over the two sorted lists) until the cells
-visited hold at least `candidates` vectors. All entries that share a first-half centroid form one
-block of the index; the query is sent to the blocks its cells lie in, and there it is compared
-with every entry of the block, a superset of the cells it visited. For pairs above a threshold
-distance alone decides: a query goes to every block whose border is within `reach` of it.
-
-Scale: codebooks are fitted on a bounded sample, every vector is indexed. Blocks over
-`BLOCK_ROWS` entries are split by salt, and queries stream past the entries of a block, so no
-task holds more than `BLOCK_ROWS` vectors. Exact copies are collapsed before the search and come
-back through the membership table.
+visited hold at least `candidates` vectors; the sum reached is its radius. For pairs above a
+threshold it visits the cells of which both halves lie within `reach`. Only the entries of visited
+cells are compared with it.
+
+Scale: codebooks are fitted on a bounded sample, every vector is indexed, and K grows with the
+square root of the rows. Neighbouring rows of cells form a block of at most about `BLOCK_ROWS`
+entries; a query is sent once to each block with a cell to visit and finds the cells there by its
+radius. A row of cells over that bound is split by salt. A task holds one block's entries; queries
+stream past them. Exact copies are collapsed before the search and come back through the membership
+table, in slices where a group of them is large.
 """
 
 import heapq
@@ -20,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.plans.scratch import written
@@ -29,14 +30,26 @@ DIM = 64
 HALF = DIM // 2
 #: Vectors on which the codebooks are fitted, at most about so many.
 SAMPLE_ROWS = 20_000
-#: Entries of a block that one task holds at a time.
-BLOCK_ROWS = 16_384
-#: Times the standard deviation, along one direction, of the step between two vectors at the threshold: how far beyond a block's border a query looks.
+#: Centroids of a codebook: the square root of the vectors times this, rounded up to a power of two; the sample bounds them.
+CENTROIDS, MOST_CENTROIDS = 0.25, 4096
+#: Entries of a block, about, that one task holds.
+BLOCK_ROWS = 262_144
+#: Blocks there are at least, where there are rows enough, so that small tables use several tasks.
+LEAST_BLOCKS = 4
+#: Queries compared at a time.
+QUERY_ROWS = 16_384
+#: Times the standard deviation, along one direction, of the step between two vectors at the threshold: how far beyond a cell's border a query looks.
 REACH = 1.8
 #: Candidates at which the walk over cells ends, at least.
-LEAST_CANDIDATES = 600
-#: As a share of all entries: random directions have no close neighbours, so ten of any similarity need a wide walk, and a share keeps recall from falling with size.
-NEIGHBOUR_SHARE = 0.12
+LEAST_CANDIDATES = 50
+#: The part of a sample's true neighbours that the walk must reach; the share of the entries it needs for that ends the walk, at every size.
+WANTED, WANTED_QUERIES = 0.93, 256
+#: Runs into which the walk cuts a row of cells; a step takes one.
+RUNS = 16
+#: What half precision may change in a summed distance.
+SLACK = 2e-3
+#: Members of a group of copies that meet those of another in one task.
+SLICE_ROWS = 1000
 
 
 def usable(column: str = "embedding"):
@@ -46,14 +59,18 @@ def usable(column: str = "embedding"):
 
 
 def keyed(vectors: DataFrame) -> DataFrame:
-    """Usable rows as `chunk_id`, `vkey` (equal for equal vectors) and `embedding`."""
+    """Usable rows as `chunk_id`, `k1`, `k2` (equal for equal vectors: 96 bits, below 1e-10 for any collision among a billion) and `embedding`."""
     rows = vectors.select("chunk_id", "embedding").where(F.col("chunk_id").isNotNull() & usable())
-    return rows.select("chunk_id", F.xxhash64("embedding").alias("vkey"), "embedding")
+    return rows.select("chunk_id", F.xxhash64("embedding").alias("k1"), F.hash("embedding").alias("k2"), "embedding")
 
 
-def distinct_keys(rows: DataFrame) -> DataFrame:
-    """One row for each `vkey`, as `vkey` and `embedding`, written: copies neither crowd a cell nor are searched for again."""
-    return written(rows.groupBy("vkey").agg(F.first("embedding").alias("embedding")), "vectors")
+def collapsed(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each different vector once (`vid`, `embedding`); `chunk_id`, `vid`, `slice` of all rows; `vid`, `size`, `slices` of vectors with copies."""
+    once = written(rows.groupBy("k1", "k2").agg(F.first("embedding").alias("embedding"), F.count("*").alias("rows")).withColumn("vid", F.monotonically_increasing_id()), "vectors")
+    members = rows.select("chunk_id", "k1", "k2").distinct().join(once.select("k1", "k2", "vid", "rows"), ["k1", "k2"])
+    slices = F.ceil(F.col("rows") / SLICE_ROWS).cast("int")
+    members = members.select("chunk_id", "vid", F.when(F.col("rows") <= SLICE_ROWS, 0).otherwise(F.pmod(F.xxhash64("chunk_id"), slices).cast("int")).alias("slice"))
+    return once.select("vid", "embedding"), members, once.where("rows > 1").select("vid", slices.alias("slices"))
 
 
 def _unit(embedding: pd.Series) -> np.ndarray:
@@ -79,62 +96,92 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 class MultiIndex:
-    """Codebooks, cell sizes and block layout: all of bounded size (K <= 256)."""
+    """Codebooks, cell sizes and block layout: all of bounded size (K <= MOST_CENTROIDS)."""
 
     def __init__(self, first: np.ndarray, second: np.ndarray):
-        self.first, self.second, self.k = first, second, len(first)
-        self.sizes = np.zeros((self.k, self.k), dtype=np.int64)
+        # Rows of cells side by side in a block are near each other: along the direction in which their centroids differ most.
+        self.first = first[np.argsort((first - first.mean(0)) @ np.linalg.svd(first - first.mean(0), full_matrices=False)[2][0])]
+        self.second, self.k = second, len(first)
+        self.sizes, self.share = np.zeros((self.k, self.k), dtype=np.int32), 1.0
+        self.lay_out()
+
+    def lay_out(self) -> None:
+        """Blocks of rows of cells: `block` of each row, `salts` of each block."""
+        rows = self.sizes.sum(1, dtype=np.int64)
+        most = min(BLOCK_ROWS, max(1, -(-int(rows.sum()) // LEAST_BLOCKS)))
+        self.block, at, held = np.zeros(self.k, dtype=np.int64), 0, 0
+        for i, n in enumerate(rows.tolist()):
+            if held and held + n > 1.1 * most:
+                at, held = at + 1, 0
+            self.block[i] = at
+            held += n
+        self.blocks = at + 1
+        self.salts = np.maximum(1, -(-np.bincount(self.block, weights=rows, minlength=self.blocks).astype(np.int64) // BLOCK_ROWS))
+        self.begins = np.searchsorted(self.block, np.arange(self.blocks + 1))
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _distances(x[:, :HALF], self.first), _distances(x[:, HALF:], self.second)
 
-    @property
-    def salts(self) -> np.ndarray:
-        return np.maximum(1, -(-self.sizes.sum(1) // BLOCK_ROWS))
-
-    def blocks_near(self, d1: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each query row the blocks whose border with its own block is within `reach`, as (row, block) pairs.
+    def near(self, d: np.ndarray, centroids: np.ndarray, reach: float) -> np.ndarray:
+        """For each query and centroid whether the border with the query's own centroid is within `reach`.
 
         Each of a pair looks for the other: it is missed only if both lie further than `reach` from
-        the border between their blocks, so that the step between them crosses it by over twice that.
+        a border between their cells, so that the step between them crosses it by over twice that.
         """
-        home = d1.argmin(1)
-        apart = np.sqrt(((self.first[:, None] - self.first[None]) ** 2).sum(-1))
-        beyond = d1 - d1[np.arange(len(d1)), home][:, None]
-        near = (beyond <= 2 * reach * apart[home]) & (self.sizes.sum(1) > 0)[None, :]
-        return np.nonzero(near)
-
-    def blocks_of(self, d1: np.ndarray, d2: np.ndarray, candidates: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each query row the blocks to visit, as (row, block) pairs."""
-        rows, blocks = [], []
-        order1, order2, k, sizes = d1.argsort(1), d2.argsort(1), self.k, self.sizes
+        home = d.argmin(1)
+        apart = np.sqrt(((centroids[:, None] - centroids[None]) ** 2).sum(-1))
+        return d - d[np.arange(len(d)), home][:, None] <= 2 * reach * apart[home]
+
+    def radius(self, d1: np.ndarray, d2: np.ndarray, candidates: int) -> np.ndarray:
+        """For each query the summed distance of the last cell the walk visits before it holds `candidates` entries."""
+        order1, order2, k = d1.argsort(1), d2.argsort(1), self.k
+        run = max(1, k // RUNS)
         sorted1, sorted2 = np.take_along_axis(d1, order1, 1).tolist(), np.take_along_axis(d2, order2, 1).tolist()
-        order1, order2, sizes = order1.tolist(), order2.tolist(), self.sizes.tolist()
-        for r in range(len(sorted1)):
-            a, b, o1, o2 = sorted1[r], sorted2[r], order1[r], order2[r]
-            heap, found, visited = [(a[0] + b[0], 0, 0)], 0, set()
+        out = np.empty(len(d1), dtype=np.float32)
+        for r, (a, b, o1) in enumerate(zip(sorted1, sorted2, order1.tolist())):
+            held = self.sizes[:, order2[r]].reshape(k, -1, run).sum(2).tolist()  # entries of runs of cells in a row, by the query's own order
+            heap, found, s = [(a[0] + b[0], 0, 0)], 0, 0.0
             while heap and found < candidates:
-                _, i, j = heapq.heappop(heap)
-                block = o1[i]
-                found += sizes[block][o2[j]]
-                visited.add(block)
-                if j + 1 < k:
-                    heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
+                s, i, j = heapq.heappop(heap)
+                found += held[o1[i]][j]
+                if (j + 1) * run < k:
+                    heapq.heappush(heap, (a[i] + b[(j + 1) * run], i, j + 1))
                 if j == 0 and i + 1 < k:
                     heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
-            rows += [r] * len(visited)
-            blocks += visited
-        return np.asarray(rows, dtype=np.int64), np.asarray(blocks, dtype=np.int64)
+            out[r] = s if heap else np.inf
+        return out
+
 
+def needed_share(index: MultiIndex, x: np.ndarray, k: int) -> float:
+    """The share of all entries that the walks of some of the sampled vectors `x` must see to reach WANTED of their k nearest among `x`.
 
-def fit(rows: DataFrame) -> MultiIndex | None:
-    """Codebooks from a bounded sample and the cell sizes of all rows (one for each vector); None when there is no row."""
+    A sample is thinner than all rows and its neighbours lie further off, so the share errs to the safe side.
+    """
+    total, needs = index.sizes.sum(dtype=np.int64), []
+    d1, d2 = index.halves(x)
+    cell = d1.argmin(1), d2.argmin(1)
+    for q in np.linspace(0, len(x) - 1, min(len(x), WANTED_QUERIES if index.k <= 512 else WANTED_QUERIES // 8)).astype(int):
+        cos = x @ x[q]
+        cos[q] = -2
+        sums = d1[q][:, None] + d2[q][None, :]
+        order = sums.ravel().argsort()
+        upto = np.cumsum(index.sizes.ravel()[order], dtype=np.int64)
+        at = np.searchsorted(sums.ravel()[order], [sums[cell[0][m], cell[1][m]] for m in np.argsort(-cos)[:k]], side="right") - 1
+        needs += (upto[at] / total).tolist()
+    return float(np.quantile(needs, WANTED)) if needs else 1.0
+
+
+def fit(rows: DataFrame, neighbours: int | None = None) -> MultiIndex | None:
+    """Codebooks from a bounded sample and the cell sizes of all rows (one for each vector); None when there is no row.
+
+    With `neighbours` the index knows the `share` of the entries that a walk for so many must see.
+    """
     n = rows.count()
     if n == 0:
         return None
-    k = int(min(256, max(4, 2 ** round(math.log2(max(1.0, math.sqrt(n / 50)))))))
+    k = int(min(MOST_CENTROIDS, max(4, 2 ** math.ceil(math.log2(CENTROIDS * math.sqrt(n))))))
     every = max(1, n // SAMPLE_ROWS)
-    sample = rows.where(F.pmod(F.xxhash64("vkey"), F.lit(every)) == 0).select("embedding").limit(2 * SAMPLE_ROWS).toPandas()
+    sample = rows.where(F.pmod(F.xxhash64("vid"), F.lit(every)) == 0).select("embedding").limit(2 * SAMPLE_ROWS).toPandas()
     if len(sample) < 4:
         sample = rows.select("embedding").limit(1000).toPandas()
     x = _unit(sample.embedding)
@@ -151,92 +198,176 @@ def fit(rows: DataFrame) -> MultiIndex | None:
 
     counts = rows.select("embedding").mapInPandas(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     index.sizes.reshape(-1)[counts.cell.to_numpy()] = counts.n.to_numpy()
+    index.lay_out()
+    if neighbours:
+        index.share = needed_share(index, x, neighbours)
     return index
 
 
-def _routed(rows: DataFrame, index: MultiIndex, visited: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Entries (kind 0, in their own block) and queries (kind 1, once per block `visited`, in half precision)."""
-    salts = index.salts
+Visits = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def _routed(rows: DataFrame, index: MultiIndex, reaches: Visits) -> DataFrame:
+    """Entries (kind 0, in their own block) and queries (kind 1, once per block with a cell to visit), both in half precision.
+
+    `reaches` gives for queries the least summed distance in each row of cells that is visited
+    (rows x K, infinite where none is) and their radius.
+    """
+    cores = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    parts = -(-cores // index.blocks)  # a block's queries are dealt to so many tasks, each with all its entries
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            x, keys = _unit(batch.embedding), batch.vkey.to_numpy()
-            d1, d2 = index.halves(x)
-            home = d1.argmin(1)
-            salt = np.abs(keys) % salts[home]
-            yield pd.DataFrame({"block": home, "salt": salt, "kind": 0, "vkey": keys, "v": [v.tobytes() for v in x]})
-            row, block = visited(d1, d2)
-            times = salts[block]
-            row, block = np.repeat(row, times), np.repeat(block, times)
-            salt = np.concatenate([np.arange(t) for t in times]) if len(times) else times
-            half = [v.tobytes() for v in x.astype(np.float16)]
-            yield pd.DataFrame({"block": block, "salt": salt, "kind": 1, "vkey": keys[row], "v": [half[r] for r in row]})
-
-    return rows.select("vkey", "embedding").mapInPandas(route, "block int, salt int, kind int, vkey long, v binary")
-
-
-def _visits(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Sorted rows as (entry keys, entry matrix, query keys, query matrix), query batch by query batch."""
-    at, keys, parts, entries = None, [], [], None
-    for batch in batches:
-        for (block, salt, kind), group in batch.groupby(["block", "salt", "kind"], sort=True):
-            if at != (block, salt):
-                at, keys, parts, entries = (block, salt), [], [], None
-            if kind == 0:
-                keys.append(group.vkey.to_numpy())
-                parts.append(np.frombuffer(b"".join(group.v), dtype=np.float32).reshape(-1, DIM))
-                continue
-            if entries is None:
-                if not keys:
-                    continue
-                all_keys = np.concatenate(keys)
-                ids, first = np.unique(all_keys, return_index=True)
-                entries = ids, np.concatenate(parts)[first]
-            q = np.frombuffer(b"".join(group.v), dtype=np.float16).reshape(-1, DIM).astype(np.float32)
-            for s in range(0, len(q), 1024):
-                yield entries[0], entries[1], group.vkey.to_numpy()[s : s + 1024], q[s : s + 1024]
+        for whole in batches:
+            for s in range(0, len(whole), 4096):
+                batch = whole.iloc[s : s + 4096]
+                x, ids = _unit(batch.embedding), batch.vid.to_numpy()
+                d1, d2 = index.halves(x)
+                home = d1.argmin(1)
+                cell, block = (home * index.k + d2.argmin(1)).astype(np.int32), index.block[home]
+                half = np.array([v.tobytes() for v in x.astype(np.float16)], dtype=object)
+                every = np.arange(parts)
+                yield pd.DataFrame({"block": np.repeat(block, parts), "salt": np.repeat(ids % index.salts[block], parts), "part": np.tile(every, len(ids)), "kind": 0, "cell": np.repeat(cell, parts), "vid": np.repeat(ids, parts), "radius": np.float32(0), "v": np.repeat(half, parts)})
+                least, radius = reaches(d1, d2)
+                row, to = np.nonzero(np.minimum.reduceat(least, index.begins[:-1], axis=1) < np.inf)
+                times = index.salts[to]
+                row, to = np.repeat(row, times), np.repeat(to, times)
+                salt = np.concatenate([np.arange(t) for t in times]) if len(times) else times
+                yield pd.DataFrame({"block": to, "salt": salt, "part": ids[row] % parts, "kind": 1, "cell": cell[row], "vid": ids[row], "radius": radius[row], "v": half[row]})
+
+    return rows.select("vid", "embedding").mapInPandas(route, "block int, salt int, part int, kind int, cell int, vid long, radius float, v binary")
 
 
 def _by_block(routed: DataFrame) -> DataFrame:
-    return routed.repartition("block", "salt").sortWithinPartitions("block", "salt", "kind")
+    return routed.repartition("block", "salt", "part").sortWithinPartitions("block", "salt", "part", "kind", "cell")
+
+
+def _matrix(v: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(v), dtype=np.float16).reshape(-1, DIM).astype(np.float32)
+
+
+def _visits(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, tuple, np.ndarray, np.ndarray, np.ndarray]]:
+    """Sorted rows as (block, its entries (cell, id, vector) by cell, query ids, radii, query matrix), up to QUERY_ROWS queries at a time."""
+    at, held, entries, queries, waiting = None, [], None, [], 0
+
+    def asked() -> Iterator[tuple]:
+        if queries and entries is not None:
+            q = pd.concat(queries)
+            for s in range(0, len(q), QUERY_ROWS):
+                part = q.iloc[s : s + QUERY_ROWS]
+                yield at[0], entries, part.vid.to_numpy(), part.radius.to_numpy(), _matrix(part.v)
+
+    for batch in batches:
+        for key, group in batch.groupby(["block", "salt", "part", "kind"], sort=True):
+            if at != key[:3]:
+                yield from asked()
+                at, held, entries, queries, waiting = key[:3], [], None, [], 0
+            if key[3] == 0:
+                held.append((group.cell.to_numpy(), group.vid.to_numpy(), _matrix(group.v)))
+                continue
+            if entries is None and held:
+                entries, held = tuple(np.concatenate(x) for x in zip(*held)), []
+            queries.append(group)
+            waiting += len(group)
+            if waiting >= QUERY_ROWS:
+                yield from asked()
+                queries, waiting = [], 0
+    yield from asked()
+
+
+def _compared(index: MultiIndex, visits: Iterator[tuple], may: Callable[[np.ndarray, np.ndarray, np.ndarray], Callable[[int], np.ndarray]], least: float, k: int | None) -> Iterator[tuple]:
+    """(query ids, entry ids, cosines) of the entries of visited cells, above `least`; with `k` only each query's best k in the block."""
+    for block, (cells, ids, x), asked, radius, q in visits:
+        d1, d2 = index.halves(q)
+        inside = may(d1, d2, radius)
+        starts = np.searchsorted(cells, np.arange(index.begins[block] * index.k, index.begins[block + 1] * index.k + 1))
+        floor = np.full(len(q), least, dtype=np.float32)
+        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def kept(hits: list, floor: np.ndarray = floor) -> list:
+            r, c, s = (np.concatenate(h) for h in zip(*hits))
+            order = np.lexsort((-s, r))
+            r, c, s = r[order], c[order], s[order]
+            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            rank = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
+            full = rank == k - 1
+            floor[r[full]] = s[full]
+            return [(r[rank < k], c[rank < k], s[rank < k])]
+
+        waiting = 0
+        # The nearest rows of cells first: they raise the floor for the others.
+        for i in d1[:, index.begins[block] : index.begins[block + 1]].mean(0).argsort().tolist():
+            at = starts[i * index.k : (i + 1) * index.k + 1]
+            if at[0] == at[-1]:
+                continue
+            visit = inside(int(index.begins[block]) + i)  # K x queries
+            for j in np.flatnonzero(at[1:] > at[:-1]).tolist():
+                rows = np.flatnonzero(visit[j])
+                if not len(rows):
+                    continue
+                cos = q[rows] @ x[at[j] : at[j + 1]].T
+                r, c = np.nonzero(cos > floor[rows][:, None])
+                if len(r):
+                    hits.append((rows[r], c + at[j], cos[r, c]))
+                    waiting += len(r)
+            if k and waiting > 40 * len(q):
+                hits, waiting = kept(hits), 0
+        if hits:
+            for r, c, s in kept(hits) if k else hits:
+                yield asked[r], ids[c], s
 
 
 def similar_keys(rows: DataFrame, index: MultiIndex, threshold: float) -> DataFrame:
     """Range mode: distinct pairs `ka` < `kb` of different vectors with cosine >= threshold, and the cosine."""
     reach = REACH * math.sqrt(max(0.0, 2 - 2 * threshold) / DIM)
 
+    def reaches(d1: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.where(index.near(d1, index.first, reach), 0.0, np.inf), np.zeros(len(d1), dtype=np.float32)
+
+    def may(d1: np.ndarray, d2: np.ndarray, radius: np.ndarray) -> Callable[[int], np.ndarray]:
+        near1, near2 = index.near(d1, index.first, reach), np.ascontiguousarray(index.near(d2, index.second, reach).T)
+        return lambda i: near2 & near1[:, i][None, :]
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, entries, keys, q in _visits(batches):
-            cos = q @ entries.T
-            r, c = np.nonzero(cos >= threshold - 5e-4)
-            a, b = keys[r], ids[c]
+        for a, b, cos in _compared(index, _visits(batches), may, threshold - 5e-4, None):
             keep = a != b
-            yield pd.DataFrame({"ka": np.minimum(a, b)[keep], "kb": np.maximum(a, b)[keep], "cos": cos[r, c][keep].astype(np.float64)})
+            yield pd.DataFrame({"ka": np.minimum(a, b)[keep], "kb": np.maximum(a, b)[keep], "cos": cos[keep].astype(np.float64)})
 
-    found = _by_block(_routed(rows, index, lambda d1, d2: index.blocks_near(d1, reach))).mapInPandas(search, "ka long, kb long, cos double")
+    found = _by_block(_routed(rows, index, reaches)).mapInPandas(search, "ka long, kb long, cos double")
     return found.groupBy("ka", "kb").agg(F.max("cos").alias("cos"))
 
 
 def nearest_keys(rows: DataFrame, index: MultiIndex, k: int, candidates: int) -> DataFrame:
     """Top-k mode: for each vector `ka` its k most similar other vectors `kb` with the cosine."""
 
+    def reaches(d1: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        radius = index.radius(d1, d2, candidates)
+        least = d1 + d2.min(1)[:, None]
+        return np.where(least <= radius[:, None] + SLACK, least, np.inf), radius
+
+    def may(d1: np.ndarray, d2: np.ndarray, radius: np.ndarray) -> Callable[[int], np.ndarray]:
+        by_second = np.ascontiguousarray(d2.T)
+        return lambda i: by_second <= (radius + SLACK - d1[:, i])[None, :]
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, entries, keys, q in _visits(batches):
-            cos = q @ entries.T
-            m = min(k + 1, cos.shape[1])
-            top = np.argpartition(cos, cos.shape[1] - m, axis=1)[:, -m:]
-            a, b = np.repeat(keys, m), ids[top.ravel()]
+        for a, b, cos in _compared(index, _visits(batches), may, -2.0, k + 1):
             keep = a != b
-            yield pd.DataFrame({"ka": a[keep], "kb": b[keep], "cos": np.take_along_axis(cos, top, 1).ravel()[keep].astype(np.float64)})
+            yield pd.DataFrame({"ka": a[keep], "kb": b[keep], "cos": cos[keep].astype(np.float64)})
 
-    found = _by_block(_routed(rows, index, lambda d1, d2: index.blocks_of(d1, d2, candidates))).mapInPandas(search, "ka long, kb long, cos double")
+    found = _by_block(_routed(rows, index, reaches)).mapInPandas(search, "ka long, kb long, cos double")
     best = F.slice(F.sort_array(F.collect_set(F.struct("cos", "kb")), asc=False), 1, k)
-    # A visit yields at most k + 1 rows and a vector visits at most K * salts blocks, so the sets are bounded.
+    # A task yields at most k + 1 rows for a query, so the sets are bounded by the blocks.
     return found.groupBy("ka").agg(best.alias("best")).select("ka", F.inline("best")).select("ka", "kb", "cos")
 
 
+def _slices(vid: str, large: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`pairs` with `large.slices` of the vector `vid`, 1 where it is not large."""
+    return pairs.join(large.select(F.col("vid").alias(vid), F.col("slices").alias(f"{vid}_slices")), vid, "left").withColumn(f"{vid}_slices", F.coalesce(f"{vid}_slices", F.lit(1)))
+
+
+def _each_slice(slices: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(slices) - 1))
+
+
 def similar_pairs(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Pairs of different chunks with cosine >= threshold: `chunk_id_a` < `chunk_id_b`, `cosine`.
 
@@ -245,46 +376,42 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """
     spark = vectors.sparkSession
     schema = "chunk_id_a long, chunk_id_b long, cosine double"
-    rows = keyed(vectors)
-    vectors_once = distinct_keys(rows)
-    index = fit(vectors_once)
+    once, members, copies = collapsed(keyed(vectors))
+    index = fit(once)
     if index is None:
         return spark.createDataFrame([], schema)
-    members = rows.select("chunk_id", "vkey").distinct()
-    keys = similar_keys(vectors_once, index, threshold)
-    a = members.select(F.col("chunk_id").alias("a"), F.col("vkey").alias("ka"))
-    b = members.select(F.col("chunk_id").alias("b"), F.col("vkey").alias("kb"))
-    across = keys.join(a, "ka").join(b, "kb").select("a", "b", "cos")
-    copies = members.groupBy("vkey").agg(F.count("*").alias("n")).where("n > 1").select("vkey")
-    twins = members.join(copies, "vkey", "left_semi")
-    same = twins.select(F.col("chunk_id").alias("a"), "vkey").join(twins.select(F.col("chunk_id").alias("b"), "vkey"), "vkey")
-    pairs = across.unionByName(same.where("a < b").select("a", "b", F.lit(1.0).alias("cos"))).where("a <> b")
+    members, large = written(members, "members"), copies.where("slices > 1")
+    keys = similar_keys(once, index, threshold).unionByName(copies.select(F.col("vid").alias("ka"), F.col("vid").alias("kb"), F.lit(1.0).alias("cos")))
+    # A group of copies meets another slice by slice, so that no task holds a large group.
+    cut = _slices("kb", large, _slices("ka", large, keys)).select("ka", "kb", "cos", _each_slice("ka_slices").alias("sa"), "kb_slices")
+    cut = cut.select("ka", "kb", "cos", "sa", _each_slice("kb_slices").alias("sb"))
+    a = members.select(F.col("chunk_id").alias("a"), F.col("vid").alias("ka"), F.col("slice").alias("sa"))
+    b = members.select(F.col("chunk_id").alias("b"), F.col("vid").alias("kb"), F.col("slice").alias("sb"))
+    pairs = cut.join(a, ["ka", "sa"]).join(b, ["kb", "sb"]).where("a <> b and (ka <> kb or a < b)").select("a", "b", "cos")
     return pairs.groupBy(F.least("a", "b").alias("chunk_id_a"), F.greatest("a", "b").alias("chunk_id_b")).agg(F.max("cos").alias("cosine"))
 
 
-def similar_chunks(vectors: DataFrame, k: int = 10, share: float = NEIGHBOUR_SHARE) -> DataFrame:
-    """For every chunk its k most similar other chunks: `chunk_id`, `rank`, `neighbour_id`, `cosine`.
+def similar_chunks(vectors: DataFrame, k: int = 10) -> DataFrame:
+    """For every chunk its k most similar other chunks: `chunk_id`, `rank`, `neighbour_id`, `cosine` (to about 0.0005).
 
     Ties go to the smaller id. Copies of a chunk come first; of each group of copies only the k + 1
     smallest ids can be among anyone's best k, so no more are expanded.
     """
     spark = vectors.sparkSession
-    rows = keyed(vectors)
-    vectors_once = distinct_keys(rows)
-    index = fit(vectors_once)
+    once, members, copies = collapsed(keyed(vectors))
+    index = fit(once, k)
     if index is None:
         return spark.createDataFrame([], "chunk_id long, rank int, neighbour_id long, cosine double")
-    members = rows.select("chunk_id", "vkey").distinct()
-    salted = members.groupBy("vkey", F.pmod(F.xxhash64("chunk_id"), F.lit(64))).agg(F.slice(F.sort_array(F.collect_set("chunk_id")), 1, k + 1).alias("ids"))
-    first = salted.groupBy("vkey").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
-    first = written(first, "members")
-    keys = nearest_keys(vectors_once, index, k, max(LEAST_CANDIDATES, int(share * index.sizes.sum())))
-    own = first.select(F.col("vkey").alias("ka"), F.explode("ids").alias("id"), F.lit(1.0).alias("cos"))
-    others = keys.join(first.select(F.col("vkey").alias("kb"), "ids"), "kb").select("ka", F.explode("ids").alias("id"), "cos")
+    members = written(members, "members")
+    sliced = members.groupBy("vid", "slice").agg(F.slice(F.sort_array(F.collect_set("chunk_id")), 1, k + 1).alias("ids"))
+    first = sliced.groupBy("vid").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
+    first = written(first, "first")
+    keys = nearest_keys(once, index, k, max(LEAST_CANDIDATES, math.ceil(index.share * index.sizes.sum(dtype=np.int64))))
+    own = first.select(F.col("vid").alias("ka"), F.explode("ids").alias("id"), F.lit(1.0).alias("cos"))
+    others = keys.join(first.select(F.col("vid").alias("kb"), "ids"), "kb").select("ka", F.explode("ids").alias("id"), "cos")
     ranked = F.sort_array(F.collect_set(F.struct((-F.col("cos")).alias("far"), "id")))
     pool = own.unionByName(others).groupBy("ka").agg(F.slice(ranked, 1, 3 * k).alias("pool"))
-    listed = members.join(pool, members.vkey == pool.ka).select(
-        "chunk_id", F.slice(F.filter("pool", lambda p: p.id != F.col("chunk_id")), 1, k).alias("best")
-    )
+    pool = _slices("vid", copies.where("slices > 1"), pool.withColumnRenamed("ka", "vid")).select("vid", "pool", _each_slice("vid_slices").alias("slice"))
+    listed = members.join(pool, ["vid", "slice"]).select("chunk_id", F.slice(F.filter("pool", lambda p: p.id != F.col("chunk_id")), 1, k).alias("best"))
     out = listed.select("chunk_id", F.posexplode("best").alias("pos", "hit"))
     return out.select("chunk_id", (F.col("pos") + 1).alias("rank"), F.col("hit.id").alias("neighbour_id"), (-F.col("hit.far")).alias("cosine"))
