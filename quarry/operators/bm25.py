@@ -6,7 +6,7 @@ queries run in one plan keyed by `query_id`.
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
@@ -14,6 +14,8 @@ from quarry.functions.text import tokens
 K1, B = 1.5, 0.75
 #: Query terms up to which they are broadcast to the postings; more are joined by shuffle.
 BROADCAST_TERMS = 200_000
+#: Folders over which a stored index deals its terms: a question reads those of its own terms.
+BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,20 @@ def fit(chunks: DataFrame, text: str = "content", only: DataFrame | None = None)
     return Bm25(postings, lengths, frequencies, corpus)
 
 
+def bucket() -> Column:
+    """The folder of a term in a stored index."""
+    return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def bucketed(index: Bm25) -> dict[str, tuple[DataFrame, list[str]]]:
+    """The tables of an index as they are stored: name -> (rows, columns that name folders). Terms lie together and sorted within their bucket."""
+    def by_term(rows: DataFrame) -> DataFrame:
+        # A bucket is spread over tasks by term, so that a bucket is no one task's work; the rows of one frequent term lie in one file.
+        return rows.select("*", bucket()).repartition("bucket", "term").sortWithinPartitions("bucket", "term")
+
+    return {"postings": (by_term(index.postings), ["bucket"]), "frequencies": (by_term(index.frequencies), ["bucket"]), "lengths": (index.lengths, []), "corpus": (index.corpus, [])}
+
+
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
     """`query_id`, `term`, `qtf`: a repeated query word counts each time."""
     return queries.select("query_id", F.explode(tokens(text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -62,13 +78,15 @@ def scores(index: Bm25, queries: DataFrame, text: str = "query") -> DataFrame:
     """
     asked = query_terms(queries, text)
     few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    asked = asked.join(index.frequencies, "term")
+    # In a stored index the terms' buckets prune what is read (dynamic partition pruning).
+    on = ["bucket", "term"] if "bucket" in index.postings.columns else ["term"]
+    asked = (asked.select("*", bucket()) if len(on) > 1 else asked).join(index.frequencies, on)
     corpus = F.broadcast(index.corpus.withColumn("one", F.lit(1)))
     weighted = asked.withColumn("one", F.lit(1)).join(corpus, "one").select(
-        "query_id", "term", "avg_dl", (F.col("qtf") * F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("weight")
+        "query_id", *on, "avg_dl", (F.col("qtf") * F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("weight")
     )
     tf, norm = F.col("tf"), 1 - B + B * F.col("dl") / F.when(F.col("avg_dl") == 0, 1.0).otherwise(F.col("avg_dl"))
-    hits = index.postings.join(F.broadcast(weighted) if few else weighted, "term")
+    hits = index.postings.join(F.broadcast(weighted) if few else weighted, on)
     part = F.col("weight") * (tf * (K1 + 1)) / (tf + K1 * norm)
     # To 9 digits, so that the order of summation decides no tie between equal texts.
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))

@@ -63,6 +63,29 @@ def whole_files(files: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def _spans(tree: ast.Module) -> list[tuple[int, int, str, str, bool]]:
+    """(first line, last line, name, kind, at top level) of functions, classes and their methods, decorators included."""
+    found = []
+    for owner in [tree, *(n for n in tree.body if isinstance(n, ast.ClassDef))]:
+        top = owner is tree
+        for n in owner.body:
+            if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) or top and isinstance(n, ast.ClassDef):
+                name = n.name if top else f"{owner.name}.{n.name}"
+                found.append((min(x.lineno for x in (n, *n.decorator_list)), n.end_lineno, name, type(n).__name__, top))
+    return found
+
+
+def _outside(spans: list[tuple[int, int]], last: int) -> Iterator[tuple[int, int]]:
+    """The stretches of lines 1..last that no span holds."""
+    after = 1
+    for a, b in sorted(spans):
+        if after < a:
+            yield after, a - 1
+        after = max(after, b + 1)
+    if after <= last:
+        yield after, last
+
+
 def python_chunks(content: str, file_name: str) -> list[tuple[str, str, str, int, int]] | None:
     """(content, type, name, first line, last line) of a Python file's definitions; None when it does not parse.
 
@@ -72,36 +95,17 @@ def python_chunks(content: str, file_name: str) -> list[tuple[str, str, str, int
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            tree = ast.parse(content)
+            spans = _spans(ast.parse(content))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
     lines = content.split("\n")
-    functions = (ast.FunctionDef, ast.AsyncFunctionDef)
-    out: list[tuple[str, str, str, int, int]] = []
-
-    def take(node: ast.AST, name: str) -> tuple[int, int] | None:
-        first = min([node.lineno, *(d.lineno for d in node.decorator_list[:1])])
-        text = "\n".join(lines[first - 1 : node.end_lineno])
-        if len(text.strip()) < NODE_CHARS:
-            return None
-        out.append((text, type(node).__name__, name, first, node.end_lineno))
-        return first, node.end_lineno
-
-    spans = []
-    for node in tree.body:
-        if isinstance(node, (*functions, ast.ClassDef)):
-            spans.append(take(node, node.name))
-        if isinstance(node, ast.ClassDef):
-            for method in node.body:
-                if isinstance(method, functions):
-                    take(method, f"{node.name}.{method.name}")
-    taken = {k for span in spans if span for k in range(span[0], span[1] + 1)}
-    module = "\n".join(x for k, x in enumerate(lines, 1) if k not in taken and x.strip() and not x.strip().startswith("#"))
-    if len(module) > NODE_CHARS:
-        out.append((module, "module", file_name, 1, len(lines)))
-    if not out and len(content.strip()) > NODE_CHARS:
-        out.append((content, "file", file_name, 1, len(lines)))
-    return out
+    whole = (file_name, 1, len(lines))
+    cut = [("\n".join(lines[a - 1 : b]), kind, name, a, b, top) for a, b, name, kind, top in spans]
+    cut = [c for c in cut if len(c[0].strip()) >= NODE_CHARS]
+    rest = [x for a, b in _outside([c[3:5] for c in cut if c[5]], len(lines)) for x in lines[a - 1 : b]]
+    module = "\n".join(x for x in rest if x.strip() and not x.strip().startswith("#"))
+    out = [c[:5] for c in cut] + ([(module, "module", *whole)] if len(module) > NODE_CHARS else [])
+    return out or ([(content, "file", *whole)] if len(content.strip()) > NODE_CHARS else [])
 
 
 def python_files(files: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:

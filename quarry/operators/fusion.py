@@ -37,7 +37,7 @@ def hybrid(index: bm25.Bm25, vectors: DataFrame, queries: DataFrame, k: int = 20
     fused = reciprocal_ranks([near, words]).where(F.col("rank") < final_k)
     scored = fused.join(found, ["query_id", "chunk_id"], "left")
     return scored.select(
-        "query_id", "rank", "chunk_id", F.round("rrf_score", 4).alias("rrf_score"), F.round(F.coalesce("score", F.lit(0.0)), 4).alias("bm25_score")
+        "query_id", "rank", "chunk_id", F.bround("rrf_score", 4).alias("rrf_score"), F.bround(F.coalesce("score", F.lit(0.0)), 4).alias("bm25_score")
     )
 
 

@@ -2,8 +2,9 @@
 
 A module may name a file by the end of its path or by its stem, in several spellings; the first
 spelling that any file answers to decides, and of the files the first. That is an OR of an
-ends-with and an equality; instead of a nested loop every file offers all ends of its path and
-its stem as keys, and both parts are equi-joins.
+ends-with and an equality; instead of a nested loop every file offers its stem and the ends of its
+path, as long as some spelling is, as keys. Of the files under a key only the first can be meant, so
+files are reduced to it before both equi-joins: no key is hot.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import stem, suffix
 from quarry.operators.imports import SCRIPT_ENDINGS, file_imports
+from quarry.plans.scratch import written
 
 #: Spellings of a script import, in order.
 SCRIPT_TRIES = ("", ".js", ".ts", ".jsx", ".tsx", "/index.js", "/index.ts")
@@ -54,11 +56,17 @@ def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
 
     tries = spelled(python, _python_spellings(F.col("module"))).unionByName(spelled(script, _script_spellings(F.col("src"), F.col("module"))))
     known = files.where("path is not null").select("project_id", F.col("path").alias("dst"), "file_ord")
-    # The ends of a path that can matter are those some spelling asks for: a semi-join on the text keeps the rest out.
-    ends = known.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.length("dst")), lambda k: F.substr(F.col("dst"), k))).alias("end"))
     wanted = tries.select("project_id", "end").distinct()
-    by_end = tries.join(ends.join(wanted, ["project_id", "end"], "left_semi"), ["project_id", "end"]).select("project_id", "src", "module", "try", "dst", "file_ord")
-    by_stem = tries.join(known.withColumn("stem", stem("dst")), ["project_id", "stem"]).select("project_id", "src", "module", "try", "dst", "file_ord")
+    lengths = [r.n for r in wanted.select(F.length("end").alias("n")).distinct().collect()]  # no more than a path has characters
+
+    def first_under(key: str, offered: DataFrame) -> DataFrame:
+        return offered.groupBy("project_id", key).agg(F.min_by("dst", "file_ord").alias("dst"), F.min("file_ord").alias("file_ord"))
+
+    cuts = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("dst"))
+    ends = known.select("*", F.explode(F.transform(cuts, lambda n: F.right(F.col("dst"), n))).alias("end")).join(wanted, ["project_id", "end"], "left_semi")
+    answered = ["project_id", "src", "module", "try", "dst", "file_ord"]
+    by_end = tries.join(first_under("end", ends), ["project_id", "end"]).select(*answered)
+    by_stem = tries.join(first_under("stem", known.withColumn("stem", stem("dst"))), ["project_id", "stem"]).select(*answered)
     answers = by_end.unionByName(by_stem)
     first = answers.groupBy("project_id", "src", "module").agg(F.min_by("dst", F.struct("try", "file_ord")).alias("dst"))
     return first
@@ -128,5 +136,5 @@ def expand(hits: DataFrame, chunks: DataFrame, graph: DataFrame, most: int = 2)
 
 def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(imports, edges) of `files(project_id, path, file_name, content, file_ord)`."""
-    found = file_imports(files)
+    found = written(file_imports(files), "imports")  # parsed once, read by both
     return found, edges(found, files)

@@ -5,8 +5,10 @@ in order. It is sorted by the shuffle and streams through a state of fixed size
 times of one window, or the entries of one cache): no task ever holds a key's log.
 """
 
-from collections import OrderedDict, deque
-from collections.abc import Callable, Iterator
+import itertools
+import math
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,48 +17,37 @@ from pyspark.sql import functions as F
 
 
 class SlidingWindow:
-    """At most `limit` events are admitted in any `window` seconds; refused ones do not count."""
+    """At most `limit` events are admitted in any `window` seconds; refused ones do not count.
 
-    def __init__(self, limit: int, window: float = 60.0):
-        self.limit, self.window, self.times = limit, window, deque()
+    An event is admitted if the admission `limit` places back is at least a window old: only so many
+    times are kept, in a ring.
+    """
+
+    def __init__(self, limit: int, window: float = 60.0, times: Iterable[float] = ()):
+        self.limit, self.window = limit, window
+        self.ring = deque(times, maxlen=max(limit, 0))
 
     def allow(self, now: float) -> bool:
-        while self.times and self.times[0] <= now - self.window:
-            self.times.popleft()
-        if len(self.times) >= self.limit:
-            return False
-        self.times.append(now)
-        return True
+        free = len(self.ring) < self.limit or self.limit > 0 and now - self.ring[0] >= self.window
+        if free:
+            self.ring.append(now)
+        return free
 
 
 class Lru:
-    """A cache of the `size` keys used last. A get that misses is followed by a put."""
-
-    def __init__(self, size: int = 2048):
-        self.size, self.held = size, OrderedDict()
-
-    def access(self, key: object, now: float = 0.0) -> bool:
-        if key in self.held:
-            self.held.move_to_end(key)
-            return True
-        self.held[key] = now
-        if len(self.held) > self.size:
-            self.held.popitem(last=False)
-        return False
-
-
-class LruTtl(Lru):
-    """Entries also end `ttl` seconds after they were put; a hit does not renew them."""
+    """A cache of the `size` keys used last, each until `ttl` seconds after it was put; a hit does not renew it. A get that misses is followed by a put."""
 
-    def __init__(self, size: int = 256, ttl: float = 300.0):
-        super().__init__(size)
-        self.ttl = ttl
+    def __init__(self, size: int = 2048, ttl: float = math.inf):
+        self.size, self.ttl = size, ttl
+        self.put_at: dict[object, float] = {}  # in the order of use: the first is the one to go
 
     def access(self, key: object, now: float = 0.0) -> bool:
-        put = self.held.get(key)
-        if put is not None and now - put >= self.ttl:
-            del self.held[key]
-        return super().access(key, now)
+        put = self.put_at.pop(key, None)
+        hit = put is not None and now - put < self.ttl
+        self.put_at[key] = put if hit else now
+        for oldest in list(itertools.islice(self.put_at, max(0, len(self.put_at) - self.size))):
+            del self.put_at[oldest]
+        return hit
 
 
 def _replay(log: DataFrame, scope: str, time: str, tie: str, start: Callable[[], Callable[[object, float], bool]], key: str | None, flag: str, clear: str | None = None) -> DataFrame:
@@ -96,10 +87,10 @@ def lru_hits(log: DataFrame, scope: str, key: str, time: str = "ts", tie: str =
 
 def ttl_hits(log: DataFrame, scope: str, key: str, time: str = "ts", tie: str = "event_id", size: int = 256, ttl: float = 300.0, clear: str | None = None) -> DataFrame:
     """Accesses with `hit` of a cache per scope whose entries end after `ttl` seconds; `clear` as for `lru_hits`."""
-    return _replay(log, scope, time, tie, lambda: LruTtl(size, ttl).access, key, "hit", clear)
+    return _replay(log, scope, time, tie, lambda: Lru(size, ttl).access, key, "hit", clear)
 
 
 def cache_stats(hits: DataFrame, scope: str) -> DataFrame:
     """`scope`, `hits`, `misses`, `hit_rate` (4 digits, 0 without accesses)."""
     out = hits.groupBy(scope).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
-    return out.withColumn("hit_rate", F.round(F.coalesce(F.try_divide("hits", F.col("hits") + F.col("misses")), F.lit(0.0)), 4))
+    return out.withColumn("hit_rate", F.bround(F.coalesce(F.try_divide("hits", F.col("hits") + F.col("misses")), F.lit(0.0)), 4))

@@ -43,8 +43,8 @@ def listed(rows: DataFrame, owner: str | None = None, public: bool = False) -> D
     return rows.orderBy(F.desc_nulls_last("updated_at"), "id")
 
 
-def owned(owner: str | None, public: bool) -> Column:
-    """Whether a session may be seen: private mode sees all, public mode the owner's own."""
+def owned(owner: str | Column | None, public: bool) -> Column:
+    """Whether a session may be seen: private mode sees all, public mode the owner's own; a null owner owns nothing."""
     return F.coalesce(F.col("owner_id") == F.lit(owner), F.lit(False)) if public else F.lit(True)
 
 

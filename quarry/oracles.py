@@ -22,7 +22,7 @@ _VECTORS = """
 vec AS (SELECT chunk_id, project_id, embedding FROM chunk_vectors
         WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 asked AS (SELECT i.item_id AS query_id, i.query, i.expected_files, i.expected_names, v.embedding
-          FROM eval_items i LEFT JOIN (SELECT chunk_id - 1 AS query_id, any_value(embedding) AS embedding FROM vec GROUP BY 1) v ON v.query_id = i.item_id)"""
+          FROM eval_items i LEFT JOIN (SELECT chunk_id - 1 AS query_id, min(embedding) AS embedding FROM vec GROUP BY 1) v ON v.query_id = i.item_id)"""
 
 _BM25 = f"""
 tok AS (SELECT chunk_id, regexp_extract_all(lower(coalesce(content, '')), '{_TOKEN}') AS ts FROM chunks),

@@ -6,12 +6,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators import bm25, chunking, graph
+from quarry.plans import keywords
 from quarry.plans.retrieve import Index
 from quarry.settings import Settings
 from quarry.sources import files, index
 from quarry.streaming import progress
 
-TABLES = ("files", "chunks", "vectors", "imports", "edges")
+TABLES = ("files", "chunks", "vectors", "keywords", "imports", "edges")
 
 
 class EmptySource(ValueError):
@@ -48,6 +49,7 @@ def ingest(
         vectors = index.embedded(chunks.select("project_id", "chunk_id", "content"), model=model).drop("content")
         at("saving")
         index.save(vectors, settings.table("vectors"))
+        keywords.save(bm25.fit(chunks), settings.table("keywords"), project_id)
         at("graph")
         imports, edges = graph.build(found)
         index.save(imports, settings.table("imports"))
@@ -59,12 +61,17 @@ def ingest(
     return job
 
 
-def load(spark: SparkSession, project_id: str, settings: Settings) -> Index | None:
-    """A project's index, read from its own folders alone; None where it has no chunks or no vectors."""
+def load(spark: SparkSession, project_id: str, settings: Settings, model: Callable[[], index.Embedder] = lambda: index.hashed) -> Index | None:
+    """A project's index, read from its own folders alone; None where it has no chunks or no vectors. `model` embeds questions."""
     try:
-        chunks, vectors, edges = (index.load(spark, settings.table(t), project_id) for t in ("chunks", "vectors", "edges"))
+        chunks, vectors = (index.load(spark, settings.table(t), project_id) for t in ("chunks", "vectors"))
+        edges = index.load(spark, settings.table("edges"), project_id, "src string, dst string, project_id string")
+        words = keywords.load(spark, settings.table("keywords"), project_id)
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
             return None
         raise
-    return Index(chunks, vectors, bm25.fit(chunks), edges) if index.ready(chunks, vectors) else None
+    def embed(queries: DataFrame) -> DataFrame:
+        return index.embedded(queries, "query", model).select("query_id", "embedding")
+
+    return Index(chunks, vectors, words, edges, embed) if index.ready(chunks, vectors) else None

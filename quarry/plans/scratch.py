@@ -5,8 +5,10 @@ notebook) a temporary folder of this process takes its place.
 """
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,19 +27,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted with this process's intermediate tables."""
+    path = f"{shared_folder(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
     """`df` computed once, written as parquet to the shared folder and read back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this process."""
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are deleted at its end: for a long session, once a result is stored."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        drop_written(spark, before)
+
+
+def drop_written(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the intermediate tables of this process, but for the first `keep`."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
+    while len(_written) > keep:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 from quarry.operators import bm25, chunking, evaluation, fusion, graph, imports, limits, prompt, sessions, vector
-from quarry.plans import retrieve
+from quarry.plans import keywords, retrieve
 from quarry.sources import files as sources
 from quarry.sources import index as stored
 from quarry.sources import store
@@ -31,13 +31,13 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), "query", "expected_files", "expected_names")
-    given = _vectors(spark, folder).select((F.col("chunk_id") - 1).alias("query_id"), "embedding").dropDuplicates(["query_id"])
+    given = _vectors(spark, folder).select((F.col("chunk_id") - 1).alias("query_id"), "embedding").groupBy("query_id").agg(F.min("embedding").alias("embedding"))
     return items.join(given, "query_id", "left")
 
 
 def _words(spark: SparkSession, folder: str) -> bm25.Bm25:
-    """The keyword index, as far as the evaluation items' words ask for it."""
-    return bm25.fit(spread(table(spark, folder, "chunks").select("chunk_id", "content")), only=bm25.query_terms(_asked(spark, folder)))
+    """The stored keyword index of all chunks; a question reads the folders of its own terms."""
+    return keywords.of_table(table(spark, folder, "chunks"))
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,7 +64,7 @@ def tokenize_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def bm25_stats(spark: SparkSession, folder: str) -> DataFrame:
-    index = bm25.fit(table(spark, folder, "chunks"))
+    index = _words(spark, folder)
     found = index.frequencies.agg(F.count("*").alias("terms"), F.max("df").alias("max_df"), F.sum("df").alias("postings"))
     one = F.lit(1).alias("one")
     return index.corpus.select("n", F.round("avg_dl", 6).alias("avg_dl"), one).join(found.select("*", one), "one").drop("one")

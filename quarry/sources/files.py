@@ -13,15 +13,19 @@ def scan(spark: SparkSession, root: str, project_id: str = "default") -> DataFra
     """Files under `root`: `project_id`, `path` (relative), `file_name`, `content`, `file_ord` (by path).
 
     Endings count in their own case; files that are no UTF-8 are left out; \\r\\n and \\r become \\n.
+    The root is resolved first and cut off as a prefix, so a folder below it may have its name.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
-    # Spark names a file by its URI; what is below the root's own path is what counts.
-    top = "/" + root.removeprefix("file:").strip("/") + "/"
-    relative = F.substring_index(F.col("path"), top, -1)
+    # Spark names a file by its URI, and so is the root: of equal schemes and escapes, one is a prefix of the other.
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = system.resolvePath(place).toString().rstrip("/") + "/"
+    relative = F.when(F.startswith("path", F.lit(top)), F.substr("path", F.lit(len(top) + 1))).otherwise(F.raise_error(F.concat(F.lit(f"not under {top}: "), F.col("path"))))
     text = F.try_validate_utf8(F.col("content").cast("string"))
     files = raw.select(relative.alias("path"), F.regexp_replace(text, "\r\n?", "\n").alias("content"))
     files = files.where(suffix("path").isin(*ENDINGS) & F.col("content").isNotNull())
-    return files.select(F.lit(project_id).alias("project_id"), "path", base_name("path").alias("file_name"), "content", F.xxhash64("path").alias("file_ord"))
+    files = files.select(F.lit(project_id).alias("project_id"), "path", base_name("path").alias("file_name"), "content")
+    return numbered(files, ["path"], "file_ord")
 
 
 def from_documents(documents: DataFrame) -> DataFrame:
@@ -30,9 +34,9 @@ def from_documents(documents: DataFrame) -> DataFrame:
     return rows.select("project_id", "path", "file_name", F.regexp_replace("content", "\r\n?", "\n").alias("content"), F.col("doc_id").alias("file_ord"))
 
 
-def numbered(chunks: DataFrame, order: list[str]) -> DataFrame:
-    """Chunks with `chunk_id` by the given order: offsets of range partitions, so no single task sorts everything."""
-    ranged = chunks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+def numbered(rows: DataFrame, order: list[str], name: str = "chunk_id") -> DataFrame:
+    """Rows numbered from 0 in the given order as `name`: offsets of range partitions, so no single task sorts everything."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
     from quarry.plans.scratch import written
 
     fixed = written(ranged, "numbered")
@@ -40,7 +44,7 @@ def numbered(chunks: DataFrame, order: list[str]) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(sizes.select("_p", before.alias("_o")))
     within = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return fixed.withColumn("_w", within).join(offsets, "_p").withColumn("chunk_id", F.col("_o") + F.col("_w")).drop("_p", "_o", "_w")
+    return fixed.withColumn("_w", within).join(offsets, "_p").withColumn(name, F.col("_o") + F.col("_w")).drop("_p", "_o", "_w")
 
 
 def listing(chunks: DataFrame) -> DataFrame:

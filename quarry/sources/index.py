@@ -1,6 +1,7 @@
 """The stored index: one folder per project, so that loading one project reads only its own."""
 
-import hashlib
+import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,17 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIM = 384
+_TOKEN = re.compile(r"\w+")
 Embedder = Callable[[list[str]], np.ndarray]
 
 
 def hashed(texts: list[str], dim: int = DIM) -> np.ndarray:
-    """Stand-in embeddings where no model is at hand: normal numbers seeded by the text, at length 1."""
-    out = np.empty((len(texts), dim), dtype=np.float32)
-    for n, text in enumerate(texts):
-        seed = int.from_bytes(hashlib.md5(text.encode()).digest()[:4], "big")
-        x = np.random.default_rng(seed).standard_normal(dim)
-        out[n] = x / np.linalg.norm(x)
-    return out
+    """Stand-in embeddings where no model is at hand: each token adds or takes 1 at a place its hash names, then length 1.
+
+    Texts with common tokens are near each other; a text without a token lies along the first axis.
+    """
+    out = np.zeros((len(texts), dim), dtype=np.float32)
+    for row, text in zip(out, texts):
+        for token in _TOKEN.findall(text.lower()):
+            place = zlib.crc32(token.encode())
+            row[(place >> 1) % dim] += 1.0 if place & 1 else -1.0
+        if not row.any():
+            row[0] = 1.0
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
 def embedded(rows: DataFrame, text: str = "content", model: Callable[[], Embedder] = lambda: hashed) -> DataFrame:
@@ -35,14 +42,14 @@ def embedded(rows: DataFrame, text: str = "content", model: Callable[[], Embedde
     return rows.join(vectors, rows[text] == vectors["_text"], "left").drop("_text")
 
 
-def save(table: DataFrame, path: str) -> None:
-    """Write a table of the index; the projects it holds are replaced, others stay."""
-    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("project_id").parquet(path)
+def save(table: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """Write a table of the index; the projects it holds are replaced, others stay. `by` names further folders below a project."""
+    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("project_id", *(by or [])).parquet(path)
 
 
-def load(spark: SparkSession, path: str, project_id: str | None = None) -> DataFrame:
-    """A table of the index, or one project of it (its folder alone is read)."""
-    rows = spark.read.parquet(path)
+def load(spark: SparkSession, path: str, project_id: str | None = None, schema: str | None = None) -> DataFrame:
+    """A table of the index, or one project of it (its folder alone is read). With its `schema` a table may be without rows."""
+    rows = (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     return rows if project_id is None else rows.where(F.col("project_id") == project_id)
 
 

@@ -1,6 +1,6 @@
 """Tables that grow by appending: created empty with their schema, rows checked before they are written."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -41,6 +41,11 @@ def write_report(reports: DataFrame, path: str) -> None:
     reports.coalesce(1).write.mode("overwrite").json(path)
 
 
+def pretty(value: Column) -> Column:
+    """A struct as an indented JSON text."""
+    return F.to_json(value, {"pretty": "true"})
+
+
 def report_json(reports: DataFrame, run: str = "run") -> DataFrame:
     """Each report as `run` and its numbers as one JSON object."""
     numbers = [c for c in reports.columns if c != run]

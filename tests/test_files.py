@@ -121,6 +121,36 @@ def test_scan(spark, tmp_path):
     assert got == {"auth.py": ("auth.py", "x = 1\ny = 2\n"), "pkg/util.py": ("util.py", "z")}
 
 
+def test_scan_of_a_root_below_its_own_name(spark, tmp_path, monkeypatch):
+    root = tmp_path / "a b" / "src"
+    (root / "lib" / "src").mkdir(parents=True)
+    (root / "a.py").write_text("one")
+    (root / "lib" / "src" / "a.py").write_text("two")
+    (root / "Z.py").write_text("three")
+    expected = [("Z.py", "three", 0), ("a.py", "one", 1), ("lib/src/a.py", "two", 2)]
+    monkeypatch.chdir(root.parent)
+    for place in (str(root), str(root) + "/", root.as_uri().replace("%20", " "), f"{root}/lib/.."):
+        got = sorted((r.path, r.content, r.file_ord) for r in files.scan(spark, place).collect())
+        assert got == expected, place
+
+
+def test_first_file_wins_by_path(spark, tmp_path):
+    for name in ("b/util.py", "a/util.py", "c/util.py"):
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_text("x = 1")
+    (tmp_path / "main.py").write_text("import util")
+    found = files.scan(spark, str(tmp_path))
+    assert [r.dst for r in graph.build(found)[1].collect()] == ["a/util.py"]
+
+
+def test_hot_stems_and_ends(spark):
+    # Every folder has an index file: each import meets one of them, not all.
+    rows = _files(spark, [(f"web/p{n:02d}/index.js", "import a from 'nowhere/index'; import b from '../p07/index.js';") for n in range(40)])
+    got = {(r.src, r.module): r.dst for r in graph.resolve(imports.file_imports(rows), rows).collect()}
+    # A stem answers as well as an end, so the first index file is meant by both spellings.
+    assert got == {(f"web/p{n:02d}/index.js", m): "web/p00/index.js" for n in range(40) for m in ("nowhere/index", "../p07/index.js")}
+
+
 def test_index_round_trip(spark, tmp_path):
     chunks = spark.createDataFrame([(0, "p", "a", "x", "f"), (1, "p", "a", "y", "g"), (2, "q", "b", "z", "")], "chunk_id long, project_id string, path string, content string, type string")
     vectors = index.embedded(chunks)

@@ -71,6 +71,29 @@ def test_streaming_limiter(spark, tmp_path):
     assert got[1] and got[2] and got[3] and got[5] and not got[4]
 
 
+def test_streaming_limiter_orders_a_micro_batch(spark, tmp_path):
+    # A key's rows fill several Arrow batches in no order.
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "key string, event_id long, t double"
+    order = list(range(300))
+    random.Random(3).shuffle(order)
+    spark.createDataFrame([("a", n, float(n)) for n in order], schema).coalesce(1).write.parquet(source)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        run = stream_limits.rate_limited(spark.readStream.schema(schema).parquet(source), limit=3, window=100.0, expire=False)
+        run = run.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert run.awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r.event_id for r in spark.read.parquet(out).where("allowed").collect()) == [0, 1, 2, 100, 101, 102, 200, 201, 202]
+
+
+def test_limits_of_nothing():
+    assert not limits.SlidingWindow(0).allow(1.0)
+    cache = limits.Lru(0)
+    assert not cache.access("a") and not cache.access("a")
+
+
 def test_progress(spark, tmp_path):
     path = str(tmp_path / "progress")
     for n, stage in enumerate(("loading", "chunking", "done")):

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quarry.operators import bm25, evaluation, fusion, vector
+from quarry.plans import keywords
 from quarry.queries import QUERIES as REGISTERED
 
 
@@ -92,6 +93,46 @@ def test_nearest_with_dirty_vectors(spark):
     assert {(r.query_id, r.chunk_id) for r in cut} == {(0, 0), (1, 7)}
 
 
+def test_crowds_of_repeated_ids_push_no_neighbour_out(spark):
+    # Near ids stand there a hundred times each, with several vectors; far ones once.
+    rows = [(n % 4, [1.0 + (n // 4) / 1000, 0.0]) for n in range(400)] + [(10 + n, [3.0 + n, 0.0]) for n in range(6)]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").coalesce(1)
+    asked = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<float>")
+    got = vector.nearest(df, asked, 6).orderBy("rank").collect()
+    assert [r.chunk_id for r in got] == [0, 1, 2, 3, 10, 11] and [r.d2 for r in got[:4]] == [0.0] * 4
+
+
+def test_many_queries_go_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6)).round(1).astype("f4")
+    df = spark.createDataFrame([(n % 280, v.tolist()) for n, v in enumerate(x)] + [(900, None), (901, [1.0])], "chunk_id long, embedding array<float>")
+    asked = df.selectExpr("chunk_id as query_id", "embedding").dropDuplicates(["query_id"]).cache()
+    plain = {(r.query_id, r["rank"]): (r.chunk_id, r.d2) for r in vector.nearest(df, asked, 5).collect()}
+    monkeypatch.setattr(vector, "QUERIES_AT_ONCE", 10)
+    monkeypatch.setattr(vector, "BLOCK_ROWS", 40)
+    assert {(r.query_id, r["rank"]): (r.chunk_id, r.d2) for r in vector.nearest(df, asked, 5).collect()} == plain and len(plain) == 1401
+
+
+def test_stored_index_ranks_as_a_fresh_one(spark, corpus, queries, tmp_path):
+    place = str(tmp_path / "keywords")
+    keywords.save(bm25.fit(corpus), place, "p")
+    keywords.save(bm25.fit(corpus.where("chunk_id < 2")), place, "q")
+    stored = keywords.load(spark, place, "p")
+    key = lambda rows: sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in rows)
+    assert key(bm25.ranked(stored, queries, 4).collect()) == key(bm25.ranked(bm25.fit(corpus), queries, 4).collect())
+    assert keywords.load(spark, place, "q").corpus.collect()[0].n == 2
+    plan = bm25.scores(stored, queries)._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan.lower() or "bucket" in plan  # only the folders of the asked terms are read
+
+
+def test_table_index_follows_its_files(spark, tmp_path):
+    path = str(tmp_path / "chunks.parquet")
+    spark.createDataFrame([(1, "alpha beta")], "chunk_id long, content string").write.parquet(path)
+    assert keywords.of_table(spark.read.parquet(path)).corpus.collect()[0].n == 1
+    spark.createDataFrame([(2, "gamma")], "chunk_id long, content string").write.mode("append").parquet(path)
+    assert keywords.of_table(spark.read.parquet(path)).corpus.collect()[0].n == 2
+
+
 def test_rerank(spark):
     rows = [(0, 0, "Login password", "nothing", 1), (0, 1, "Login password", "the LOGIN and password", 2), (0, 2, "Login password", "logins", 3), (0, 3, "Login password", None, 4), (1, 0, "", "x", 5)]
     df = spark.createDataFrame(rows, "query_id long, rank int, query string, content string, extra int")
@@ -124,6 +165,7 @@ def test_precision_and_reciprocal_rank(spark, files, names, p1, rr):
     assert got[0].p_at_1 == p1 and got[0].reciprocal_rank == pytest.approx(rr)
     assert got[0].p_at_5 == pytest.approx((rr > 0) / 5)
     assert (got[1].p_at_1, got[1].reciprocal_rank, got[1].results) == (0.0, 0.0, 0)
+    assert got[0].retrieved_files == [h[0] for h in HITS] and got[0].retrieved_names == [h[1] for h in HITS] and got[1].retrieved_files == []
     report = evaluation.report(evaluation.per_query(hits, queries)).collect()[0]
     assert report.queries == 2 and report.mrr == pytest.approx(round(rr / 2, 4))
 
