@@ -18,28 +18,30 @@ def _count_words(x: str) -> str:
 
 # Shared parts: the tables that several queries build on.
 
-_VECTORS = """
+_VEC = """
 vec AS (SELECT chunk_id, project_id, embedding FROM chunk_vectors
-        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
+_VECTORS = f"""{_VEC},
 asked AS (SELECT i.item_id AS query_id, i.query, i.expected_files, i.expected_names, v.embedding
           FROM eval_items i LEFT JOIN (SELECT chunk_id - 1 AS query_id, min(embedding) AS embedding FROM vec GROUP BY 1) v ON v.query_id = i.item_id)"""
 
 _BM25 = f"""
-tok AS (SELECT chunk_id, regexp_extract_all(lower(coalesce(content, '')), '{_TOKEN}') AS ts FROM chunks),
-post AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(ts) AS term FROM tok) GROUP BY ALL),
-freq AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-corpus AS (SELECT count(*) AS n, coalesce(avg(len(ts)), 1.0) AS avg_dl FROM tok),
-qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '{_TOKEN}')) AS term FROM asked) GROUP BY ALL),
-score AS (SELECT q.query_id, p.chunk_id, round(sum(q.qtf * ln((c.n - f.df + 0.5) / (f.df + 0.5) + 1) * (p.tf * 2.5) / (p.tf + 1.5 * (1 - 0.75 + 0.75 * len(t.ts) / c.avg_dl))), 9) AS score
-          FROM qt q JOIN freq f USING (term) JOIN post p USING (term) JOIN tok t ON t.chunk_id = p.chunk_id CROSS JOIN corpus c GROUP BY ALL),
-words AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank
-          FROM (SELECT a.query_id, t.chunk_id, coalesce(s.score, 0.0) AS score FROM asked a CROSS JOIN tok t LEFT JOIN score s ON s.query_id = a.query_id AND s.chunk_id = t.chunk_id)
+tok AS MATERIALIZED (SELECT chunk_id, regexp_extract_all(lower(coalesce(content, '')), '{_TOKEN}') AS ts FROM chunks),
+len AS MATERIALIZED (SELECT chunk_id, len(ts) AS dl FROM tok),
+post AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(ts) AS term FROM tok) GROUP BY ALL),
+freq AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY term),
+corpus AS (SELECT count(*) AS n, coalesce(avg(dl), 1.0) AS avg_dl FROM len),
+qt AS MATERIALIZED (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '{_TOKEN}')) AS term FROM asked) GROUP BY ALL),
+score AS MATERIALIZED (SELECT q.query_id, p.chunk_id, round(sum(q.qtf * ln((c.n - f.df + 0.5) / (f.df + 0.5) + 1) * (p.tf * 2.5) / (p.tf + 1.5 * (1 - 0.75 + 0.75 * t.dl / c.avg_dl))), 9) AS score
+          FROM qt q JOIN freq f USING (term) JOIN post p USING (term) JOIN len t ON t.chunk_id = p.chunk_id CROSS JOIN corpus c GROUP BY ALL),
+words AS MATERIALIZED (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank
+          FROM (SELECT a.query_id, t.chunk_id, coalesce(s.score, 0.0) AS score FROM asked a CROSS JOIN len t LEFT JOIN score s ON s.query_id = a.query_id AND s.chunk_id = t.chunk_id)
           QUALIFY rank < 20)"""
 
 
 def _near(k: int) -> str:
     return f"""
-near AS (SELECT query_id, chunk_id, d2, row_number() OVER (PARTITION BY query_id ORDER BY d2, chunk_id) - 1 AS rank
+near AS MATERIALIZED (SELECT query_id, chunk_id, d2, row_number() OVER (PARTITION BY query_id ORDER BY d2, chunk_id) - 1 AS rank
          FROM (SELECT a.query_id, v.chunk_id, min(round(list_sum(list_transform(list_zip(a.embedding, v.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)), 9)) AS d2
                FROM asked a CROSS JOIN vec v WHERE a.embedding IS NOT NULL GROUP BY ALL)
          QUALIFY rank < {k})"""
@@ -70,7 +72,7 @@ judged AS (SELECT a.query_id, coalesce(count(*) FILTER (good AND rank < 1), 0) /
            FROM asked a LEFT JOIN good g USING (query_id) GROUP BY a.query_id)"""
 
 
-_REPORT = "count(*) AS queries, round(avg(p_at_1), 4) AS p_at_1, round(avg(p_at_3), 4) AS p_at_3, round(avg(p_at_5), 4) AS p_at_5, round(avg(reciprocal_rank), 4) AS mrr"
+_REPORT = "count(*) AS queries, round_even(avg(p_at_1), 4) AS p_at_1, round_even(avg(p_at_3), 4) AS p_at_3, round_even(avg(p_at_5), 4) AS p_at_5, round_even(avg(reciprocal_rank), 4) AS mrr"
 
 SQL["tokenize_terms"] = f"WITH {_VECTORS}, {_BM25} SELECT chunk_id, term, tf FROM post"
 SQL["bm25_stats"] = f"WITH {_VECTORS}, {_BM25} SELECT n, round(avg_dl, 6) AS avg_dl, (SELECT count(*) FROM freq) AS terms, (SELECT max(df) FROM freq) AS max_df, (SELECT sum(df)::BIGINT FROM freq) AS postings FROM corpus"
@@ -78,9 +80,9 @@ SQL["bm25_scores"] = f"WITH {_VECTORS}, {_BM25} SELECT query_id, chunk_id, round
 SQL["bm25_topk"] = f"WITH {_VECTORS}, {_BM25} SELECT query_id, rank, chunk_id, round(score, 4) AS score FROM words"
 SQL["vector_topk"] = f"WITH {_VECTORS}, {_near(20)} SELECT query_id, rank, chunk_id, round(d2, 4) AS d2 FROM near"
 SQL["vector_threshold"] = f"WITH {_VECTORS}, {_near(20)} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d2, chunk_id) - 1 AS rank, chunk_id, round(d2, 4) AS d2 FROM near WHERE d2 < 1.5 QUALIFY rank < 5"
-SQL["embeddings_topk"] = f"WITH vec AS (SELECT vec_id AS chunk_id, embedding FROM embeddings), asked AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE label = 0), {_near(10)} SELECT query_id, rank, chunk_id, round(d2, 4) AS d2 FROM near"
+SQL["embeddings_topk"] = f"WITH vec AS (SELECT vec_id AS chunk_id, embedding FROM embeddings), asked AS (SELECT vec_id AS query_id, embedding FROM embeddings), {_near(10)} SELECT query_id, rank, chunk_id, round(d2, 4) AS d2 FROM near"
 SQL["rrf_fusion"] = f"WITH {_VECTORS}, {_BM25}, {_near(20)}, {_fused(_LISTS)} SELECT query_id, rank, chunk_id, round(rrf_score, 6) AS rrf_score FROM fused"
-SQL["hybrid_search"] = f"{_hybrid(5)} SELECT h.query_id, h.rank, h.chunk_id, round(h.rrf_score, 4) AS rrf_score, round(coalesce(s.score, 0.0), 4) AS bm25_score FROM hits h LEFT JOIN score s USING (query_id, chunk_id)"
+SQL["hybrid_search"] = f"{_hybrid(5)} SELECT h.query_id, h.rank, h.chunk_id, round_even(h.rrf_score, 4) AS rrf_score, round_even(coalesce(s.score, 0.0), 4) AS bm25_score FROM hits h LEFT JOIN score s USING (query_id, chunk_id)"
 SQL["keyword_rerank"] = f"""{_hybrid(5)}, over AS (
   SELECT h.query_id, h.rank AS was, h.chunk_id, len(list_filter(list_distinct(regexp_extract_all(lower(a.query), '{_NOT_SPACE}+')), lambda w: contains(lower(coalesce(c.content, '')), w))) AS overlap
   FROM hits h JOIN chunks c USING (chunk_id) JOIN asked a ON a.query_id = h.query_id)
@@ -88,7 +90,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC,
 SQL["eval_precision_mrr"] = f"{_hybrid(10)}, {_judged('hits')} SELECT query_id, round(p_at_1, 6) AS p_at_1, round(p_at_3, 6) AS p_at_3, round(p_at_5, 6) AS p_at_5, round(reciprocal_rank, 6) AS reciprocal_rank, results FROM judged"
 SQL["eval_report"] = f"{_hybrid(10)}, {_judged('hits')} SELECT {_REPORT} FROM judged"
 SQL["eval_ab"] = f"""WITH v AS (WITH {_VECTORS}, {_near(10)}, {_judged('near')} SELECT {_REPORT} FROM judged), h AS ({_hybrid(10)}, {_judged('hits')} SELECT {_REPORT} FROM judged)
-SELECT 'vector_only' AS run, v.*, 0.0::DOUBLE AS mrr_delta FROM v UNION ALL SELECT 'hybrid', h.*, round(h.mrr - v.mrr, 4) FROM h, v"""
+SELECT 'vector_only' AS run, v.*, 0.0::DOUBLE AS mrr_delta FROM v UNION ALL SELECT 'hybrid', h.*, round_even(h.mrr - v.mrr, 4) FROM h, v"""
 
 _LATEST = "latest AS (SELECT * FROM sessions WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, title DESC NULLS LAST, project_id DESC NULLS LAST, owner_id DESC NULLS LAST, created_at DESC NULLS LAST) = 1)"
 _ONCE = "once AS (SELECT * FROM messages WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) = 1)"
@@ -107,7 +109,7 @@ SQL["last_n_turns"] = f"WITH {_turns(20)} SELECT session_id, pos, id, role, md5(
 SQL["query_rewrite"] = f"""WITH {_turns(10)}, last AS (SELECT session_id, max_by(content, pos) AS query, max(pos) AS at FROM turns WHERE role = 'user' GROUP BY 1),
 topic AS (SELECT t.session_id, max_by(t.content, ({_count_words('t.content')} > 3, t.pos)) AS topic FROM turns t JOIN last l USING (session_id) WHERE t.role = 'user' AND t.pos < l.at GROUP BY 1)
 SELECT l.session_id, CASE WHEN {_count_words('l.query')} < 3 AND topic IS NOT NULL THEN topic || ' ' || {_strip('l.query')} ELSE {_strip('l.query')} END AS rewritten FROM last l LEFT JOIN topic USING (session_id)"""
-SQL["auto_title"] = f"""WITH {_turns(10)}, first AS (SELECT session_id, {_strip('min_by(content, pos)')} AS q FROM turns WHERE role = 'user' GROUP BY 1)
+SQL["auto_title"] = f"""WITH {_ONCE}, {_TURNS}, first AS (SELECT session_id, {_strip('min_by(content, (created_at, id))')} AS q FROM said WHERE role = 'user' GROUP BY 1)
 SELECT session_id, CASE WHEN length(q) > 50 THEN regexp_replace(left(q, 50), ' [^ ]*\\z', '') || '...' ELSE q END AS title FROM first"""
 SQL["delete_cascade"] = f"""WITH {_LATEST}, {_ONCE} SELECT {_ROLE} AS role, count(*) AS messages FROM once
 WHERE session_id IS NULL OR session_id NOT IN (SELECT id FROM latest WHERE owner_id IS NULL) GROUP BY 1"""
@@ -208,7 +210,7 @@ SELECT f.project_id, f.path, regexp_extract(f.path, '([^/]*)$', 1) AS name, arra
 
 _PARTS = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL), n AS (SELECT src AS path, dst AS related FROM e UNION SELECT dst, src FROM e)"
 SQL["graph_neighbors"] = f"WITH {_PARTS} SELECT path, count(*) AS degree, min(related) AS first, max(related) AS last FROM n GROUP BY 1"
-SQL["graph_bfs"] = f"""WITH {_PARTS}, s AS (SELECT 's' || s_suppkey AS path FROM supplier WHERE s_suppkey IS NOT NULL ORDER BY s_suppkey LIMIT 10),
+SQL["graph_bfs"] = f"""WITH {_PARTS}, s AS (SELECT 's' || s_suppkey AS path FROM supplier WHERE s_suppkey IS NOT NULL),
 one AS (SELECT s.path, n.related FROM s JOIN n USING (path)),
 two AS (SELECT DISTINCT o.path, n.related FROM one o JOIN n ON n.path = o.related WHERE n.related <> o.path AND NOT EXISTS (SELECT 1 FROM one x WHERE x.path = o.path AND x.related = n.related))
 SELECT path, 1 AS steps, count(*) AS nodes FROM one GROUP BY 1 UNION ALL SELECT path, 2, count(*) FROM two GROUP BY 1"""
@@ -254,7 +256,7 @@ SELECT user_id, event_id, allowed FROM run"""
 _LRU = f"""{_LOG.format('event_type')}, prev AS (SELECT *, lag(i) OVER (PARTITION BY event_type, user_id ORDER BY i) AS p FROM log),
 lru AS (SELECT a.event_type, a.event_id, a.p IS NOT NULL AND (SELECT count(DISTINCT b.user_id) FROM prev b WHERE b.event_type = a.event_type AND b.i > a.p AND b.i < a.i) < 64 AS hit FROM prev a)"""
 SQL["lru_hits"] = f"WITH {_LRU} SELECT event_type, event_id, hit FROM lru"
-SQL["cache_stats"] = f"WITH {_LRU} SELECT event_type, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*)::DOUBLE, 4) AS hit_rate FROM lru GROUP BY 1"
+SQL["cache_stats"] = f"WITH {_LRU} SELECT event_type, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round_even(count(*) FILTER (hit) / count(*)::DOUBLE, 4) AS hit_rate FROM lru GROUP BY 1"
 SQL["ttl_hits"] = f"""WITH RECURSIVE {_LOG.format('event_type')}, k AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY i) AS j FROM log), run AS (
   SELECT event_type, user_id, event_id, j, t AS put, false AS hit FROM k WHERE j = 1
   UNION ALL SELECT k.event_type, k.user_id, k.event_id, k.j, CASE WHEN k.t - r.put < 172800.0 THEN r.put ELSE k.t END, k.t - r.put < 172800.0
@@ -262,10 +264,30 @@ SQL["ttl_hits"] = f"""WITH RECURSIVE {_LOG.format('event_type')}, k AS (SELECT *
 SELECT event_type, event_id, hit FROM run"""
 SQL["index_stats"] = """WITH c AS (SELECT project_id, count(DISTINCT path) AS files, count(*) AS chunks FROM chunks GROUP BY 1), v AS (SELECT project_id, count(DISTINCT chunk_id) AS vectors FROM chunk_vectors GROUP BY 1)
 SELECT c.project_id, files, chunks, coalesce(vectors, 0) AS vectors FROM c LEFT JOIN v USING (project_id)"""
-SQL["eval_json"] = f"""WITH {_VECTORS}, {_near(10)}, {_judged('near')}, r AS (SELECT {_REPORT} FROM judged)
-SELECT 'vector_only' AS run, printf('{{"queries":%d,"p_at_1":%s,"p_at_3":%s,"p_at_5":%s,"mrr":%s}}', queries, p_at_1::VARCHAR, p_at_3::VARCHAR, p_at_5::VARCHAR, mrr::VARCHAR) AS json FROM r"""
+SQL["eval_json"] = f"""WITH v AS (WITH {_VECTORS}, {_near(10)}, {_judged('near')} SELECT 'vector_only' AS run, {_REPORT} FROM judged), h AS ({_hybrid(10)}, {_judged('hits')} SELECT 'hybrid' AS run, {_REPORT} FROM judged),
+r AS (SELECT * FROM v UNION ALL SELECT * FROM h)
+SELECT run, printf('{{"queries":%d,"p_at_1":%s,"p_at_3":%s,"p_at_5":%s,"mrr":%s}}', queries, p_at_1::VARCHAR, p_at_3::VARCHAR, p_at_5::VARCHAR, mrr::VARCHAR) AS json FROM r"""
 SQL["cache_key_sha"] = "SELECT DISTINCT title, project_id, substr(sha256(coalesce(nullif(project_id, ''), 'default') || ':' || title), 1, 16) AS key FROM sessions WHERE title IS NOT NULL"
-SQL["embed_chunks"] = "SELECT chunk_id, CASE WHEN content IS NOT NULL THEN 384 END::INT AS dim, CASE WHEN content IS NOT NULL THEN 1.0::DOUBLE END AS norm FROM chunks"
+SQL["embed_chunks"] = rf"""WITH t AS (SELECT DISTINCT content FROM chunks WHERE content IS NOT NULL),
+h AS (SELECT content, ('0x' || left(md5(tok), 8))::BIGINT AS h FROM (SELECT content, unnest(regexp_extract_all(lower(content), '{_W}+')) AS tok FROM t)),
+v AS (SELECT content, (h >> 1) % 384 AS place, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS x FROM h GROUP BY ALL HAVING x <> 0),
+e AS (SELECT t.content, CASE WHEN count(v.place) = 0 THEN 1 ELSE count(*) FILTER (x > 0) END AS above, count(*) FILTER (x < 0) AS below, coalesce(sum(CASE WHEN x > 0 THEN place ELSE -place END), 0) AS places FROM t LEFT JOIN v USING (content) GROUP BY 1)
+SELECT chunk_id, CASE WHEN content IS NOT NULL THEN 384 END::INT AS dim, CASE WHEN content IS NOT NULL THEN 1.0::DOUBLE END AS norm, above::INT AS above, below::INT AS below, places::INT AS places FROM chunks LEFT JOIN e USING (content)"""
 SQL["cache_invalidation"] = f"""WITH {_LOG.format('user_id')}, era AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY i) AS era FROM log),
 seen AS (SELECT *, row_number() OVER (PARTITION BY user_id, era, event_type ORDER BY i) > 1 AS hit FROM era WHERE event_type <> 'signup')
 SELECT event_type, count(*) FILTER (hit) AS hits, count(*) AS accesses FROM seen GROUP BY 1"""
+
+SQL["eval_retrieved"] = f"""{_hybrid(10)} SELECT a.query_id, coalesce(string_agg(coalesce(c.file_name, ''), '|' ORDER BY h.rank) FILTER (h.rank < 5), '') AS retrieved_files,
+coalesce(string_agg(coalesce(c.name, ''), '|' ORDER BY h.rank) FILTER (h.rank < 5), '') AS retrieved_names FROM asked a LEFT JOIN hits h USING (query_id) LEFT JOIN chunks c USING (chunk_id) GROUP BY 1"""
+SQL["resolve_python"] = f"WITH {_FILES}, {_GRAPH} SELECT project_id, src, module, dst FROM py_resolved"
+SQL["request_checks"] = """SELECT 'query' AS what, coalesce(length(content) BETWEEN 1 AND 2000, false) AS valid, count(*) AS rows FROM messages GROUP BY ALL
+UNION ALL SELECT 'client', coalesce(regexp_full_match(owner_id, '[A-Za-z0-9-]{16,64}'), false), count(*) FROM sessions GROUP BY ALL"""
+SQL["retrieve_history"] = f"""WITH {_turns(10)}, numbers AS (SELECT session_id, row_number() OVER (ORDER BY session_id) - 1 AS number FROM (SELECT DISTINCT session_id FROM turns)),
+topic AS (SELECT n.number AS query_id, max_by(t.content, ({_count_words('t.content')} > 3, t.pos)) AS topic FROM turns t JOIN numbers n USING (session_id) WHERE t.role = 'user' GROUP BY 1), {_VEC},
+given AS (SELECT chunk_id AS n, min(embedding) AS embedding FROM vec GROUP BY 1),
+short AS (SELECT item_id AS query_id, string_split(query, ' ')[-1] AS original FROM eval_items),
+new AS (SELECT query_id, original, CASE WHEN {_count_words('original')} < 3 AND topic IS NOT NULL THEN topic || ' ' || {_strip('original')} ELSE {_strip('original')} END AS query FROM short LEFT JOIN topic USING (query_id)),
+asked AS (SELECT query_id, query, original, embedding FROM new LEFT JOIN given ON n = length(query)), {_BM25}, {_near(20)}, {_fused(_CUT_LISTS)}, hits AS (SELECT query_id, rank, chunk_id FROM fused WHERE rank < 5),
+over AS (SELECT h.query_id, h.rank AS was, h.chunk_id, len(list_filter(list_distinct(regexp_extract_all(lower(a.original), '{_NOT_SPACE}+')), lambda w: contains(lower(coalesce(c.content, '')), w))) AS overlap
+  FROM hits h JOIN chunks c USING (chunk_id) JOIN asked a ON a.query_id = h.query_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, was) - 1 AS rank, chunk_id FROM over QUALIFY rank < 3"""

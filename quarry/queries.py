@@ -137,6 +137,13 @@ def eval_precision_mrr(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select("query_id", *[F.round(c, 6).alias(c) for c in ("p_at_1", "p_at_3", "p_at_5", "reciprocal_rank")], "results")
 
 
+@query
+def eval_retrieved(spark: SparkSession, folder: str) -> DataFrame:
+    """The files and names of each question's first five hits."""
+    scores = _judged(spark, folder, _hybrid(spark, folder, 10))
+    return scores.select("query_id", *[F.array_join(c, "|").alias(c) for c in ("retrieved_files", "retrieved_names")])
+
+
 @query
 def eval_report(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.report(_judged(spark, folder, _hybrid(spark, folder, 10)))
@@ -161,7 +168,8 @@ def session_list(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def owner_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions each owner sees in public mode, counted."""
-    rows = sessions.latest(table(spark, folder, "sessions")).where("owner_id is not null")
+    rows = sessions.latest(table(spark, folder, "sessions"))
+    rows = rows.where(sessions.owned(F.col("owner_id"), public=True))
     return rows.groupBy("owner_id").agg(F.count("*").alias("sessions"), F.count_distinct("project_id").alias("projects"))
 
 
@@ -273,6 +281,14 @@ def import_regex_python(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.posexplode(imports.python_line_imports("content")).alias("pos", "module"))
 
 
+@query
+def resolve_python(spark: SparkSession, folder: str) -> DataFrame:
+    """Python imports and the files they name."""
+    found = _files(spark, folder)
+    asked = imports.file_imports(found.where("endswith(lower(file_name), '.py')"))
+    return graph.resolve(asked, found)
+
+
 @query
 def py_imports(spark: SparkSession, folder: str) -> DataFrame:
     rows = _keyed(spark, folder).where("endswith(lower(file_name), '.py')")
@@ -386,12 +402,32 @@ def retrieve_sources(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", "rank", "chunk_id", "is_graph")
 
 
+@query
+def retrieve_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Follow-ups: to each evaluation item the history of the session of its number (by id). The rewritten question is searched by its words and its own vector.
+
+    No model is at hand, so its vector is that of the usable chunk whose number is the question's length.
+    """
+    chats = _history(spark, folder)
+    numbers = sources.numbered(chats.select("session_id").distinct(), ["session_id"], "number")
+    past = chats.drop("query_id").join(numbers, "session_id").withColumnRenamed("number", "query_id")
+    asked = _asked(spark, folder).select("query_id", F.element_at(F.split("query", " "), -1).alias("query"), "embedding")
+    vectors = _vectors(spark, folder)
+
+    def embed(questions: DataFrame) -> DataFrame:
+        given = vectors.groupBy(F.col("chunk_id").alias("n")).agg(F.min("embedding").alias("embedding"))
+        return questions.withColumn("n", F.length("query").cast("long")).join(given, "n").select("query_id", "embedding")
+
+    index = retrieve.Index(table(spark, folder, "chunks"), vectors, _words(spark, folder), embed=embed)
+    return retrieve.retrieve(index, asked, past).select("query_id", "rank", "chunk_id")
+
+
 # Limits, caches, statistics
 
 
 @query
 def rate_limit(spark: SparkSession, folder: str) -> DataFrame:
-    """Ten events a day and user."""
+    """Two events a day and user."""
     return limits.rate_limited(table(spark, folder, "events"), limit=2, window=86400.0).select("user_id", "event_id", "allowed")
 
 
@@ -406,6 +442,20 @@ def ttl_hits(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("event_type", "event_id", "hit")
 
 
+@query
+def ttl_lru_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """A small cache whose entries end by time and by use."""
+    return limits.ttl_hits(table(spark, folder, "events"), "event_type", "user_id", size=64, ttl=86400.0 * 2).select("event_type", "event_id", "hit")
+
+
+@query
+def request_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Which messages could be asked as questions and which owners are client ids, counted."""
+    asked = table(spark, folder, "messages").groupBy(F.lit("query").alias("what"), text.valid_query("content").alias("valid")).agg(F.count("*").alias("rows"))
+    owners = table(spark, folder, "sessions").groupBy(F.lit("client").alias("what"), text.valid_client("owner_id").alias("valid")).agg(F.count("*").alias("rows"))
+    return asked.unionByName(owners)
+
+
 @query
 def cache_stats(spark: SparkSession, folder: str) -> DataFrame:
     return limits.cache_stats(limits.lru_hits(table(spark, folder, "events"), "event_type", "user_id", size=64), "event_type")
@@ -424,16 +474,22 @@ def cache_key_sha(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def embed_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Stand-in embeddings of all chunks; each distinct text is embedded once."""
+    """Stand-in embeddings of all chunks; each distinct text is embedded once. Told by length, norm, and the places with values above and below 0."""
     rows = stored.embedded(table(spark, folder, "chunks").select("chunk_id", "content"))
-    return rows.select("chunk_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
+    norm = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 4)
+    signs = F.transform("embedding", lambda x, i: F.signum(x).cast("int"))
+    places = F.aggregate(F.transform(signs, lambda s, i: s * i), F.lit(0), lambda a, b: a + b)
+    above, below = (F.size(F.filter(signs, sign)) for sign in (lambda s: s == 1, lambda s: s == -1))
+    return rows.select("chunk_id", F.size("embedding").alias("dim"), norm.alias("norm"), above.alias("above"), below.alias("below"), places.alias("places"))
 
 
 @query
 def eval_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Both runs' reports as JSON."""
     near = vector.nearest(_vectors(spark, folder), _asked(spark, folder), 10)
-    report = evaluation.report(_judged(spark, folder, near)).withColumn("run", F.lit("vector_only"))
-    return store.report_json(report)
+    runs = {"vector_only": near, "hybrid": _hybrid(spark, folder, 10)}
+    reports = [evaluation.report(_judged(spark, folder, hits)).withColumn("run", F.lit(name)) for name, hits in runs.items()]
+    return store.report_json(reports[0].unionByName(reports[1]))
 
 
 @query

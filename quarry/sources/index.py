@@ -1,7 +1,7 @@
 """The stored index: one folder per project, so that loading one project reads only its own."""
 
+import hashlib
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +22,7 @@ def hashed(texts: list[str], dim: int = DIM) -> np.ndarray:
     out = np.zeros((len(texts), dim), dtype=np.float32)
     for row, text in zip(out, texts):
         for token in _TOKEN.findall(text.lower()):
-            place = zlib.crc32(token.encode())
+            place = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
             row[(place >> 1) % dim] += 1.0 if place & 1 else -1.0
         if not row.any():
             row[0] = 1.0
