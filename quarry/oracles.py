@@ -291,3 +291,6 @@ asked AS (SELECT query_id, query, original, embedding FROM new LEFT JOIN given O
 over AS (SELECT h.query_id, h.rank AS was, h.chunk_id, len(list_filter(list_distinct(regexp_extract_all(lower(a.original), '{_NOT_SPACE}+')), lambda w: contains(lower(coalesce(c.content, '')), w))) AS overlap
   FROM hits h JOIN chunks c USING (chunk_id) JOIN asked a ON a.query_id = h.query_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, was) - 1 AS rank, chunk_id FROM over QUALIFY rank < 3"""
+# As for the graph: in these tables an import is one statement a line, so the lines show what the parser finds.
+SQL["py_imports"] = rf"""WITH {_FILES}, s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(content, '(?m)^\s*(?:from|import)\s+([\p{{L}}\p{{N}}_.]+)', 1), lambda m: ltrim(m, '.')), lambda m: m <> '') AS found FROM files WHERE ends_with(lower(file_name), '.py'))
+SELECT doc_id, (generate_subscripts(found, 1) - 1)::INT AS pos, unnest(found) AS module FROM s"""
