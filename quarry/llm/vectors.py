@@ -207,14 +207,18 @@ def fit(rows: DataFrame, neighbours: int | None = None) -> MultiIndex | None:
 Visits = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+def _parts(rows: DataFrame, index: MultiIndex) -> int:
+    """A block's queries are dealt to so many tasks, each with all its entries, that all cores have some."""
+    return -(-2 * max(1, rows.sparkSession.sparkContext.defaultParallelism) // index.blocks)
+
+
 def _routed(rows: DataFrame, index: MultiIndex, reaches: Visits) -> DataFrame:
     """Entries (kind 0, in their own block) and queries (kind 1, once per block with a cell to visit), both in half precision.
 
     `reaches` gives for queries the least summed distance in each row of cells that is visited
     (rows x K, infinite where none is) and their radius.
     """
-    cores = max(1, rows.sparkSession.sparkContext.defaultParallelism)
-    parts = -(-cores // index.blocks)  # a block's queries are dealt to so many tasks, each with all its entries
+    parts = _parts(rows, index)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -237,8 +241,12 @@ def _routed(rows: DataFrame, index: MultiIndex, reaches: Visits) -> DataFrame:
     return rows.select("vid", "embedding").mapInPandas(route, "block int, salt int, part int, kind int, cell int, vid long, radius float, v binary")
 
 
-def _by_block(routed: DataFrame) -> DataFrame:
-    return routed.repartition("block", "salt", "part").sortWithinPartitions("block", "salt", "part", "kind", "cell")
+def _by_block(routed: DataFrame, index: MultiIndex) -> DataFrame:
+    # One task for each part of a block: numbered one after the other, so that no two fall together by their hash.
+    parts = _parts(routed, index)
+    first = np.concatenate([[0], np.cumsum(index.salts)])
+    slot = (F.element_at(F.lit(first[:-1].tolist()).cast("array<int>"), F.col("block") + 1) + F.col("salt")) * parts + F.col("part")
+    return routed.repartitionById(int(first[-1]) * parts, slot.cast("int")).sortWithinPartitions("block", "salt", "part", "kind", "cell")
 
 
 def _matrix(v: pd.Series) -> np.ndarray:
@@ -332,7 +340,7 @@ def similar_keys(rows: DataFrame, index: MultiIndex, threshold: float) -> DataFr
             keep = a != b
             yield pd.DataFrame({"ka": np.minimum(a, b)[keep], "kb": np.maximum(a, b)[keep], "cos": cos[keep].astype(np.float64)})
 
-    found = _by_block(_routed(rows, index, reaches)).mapInPandas(search, "ka long, kb long, cos double")
+    found = _by_block(_routed(rows, index, reaches), index).mapInPandas(search, "ka long, kb long, cos double")
     return found.groupBy("ka", "kb").agg(F.max("cos").alias("cos"))
 
 
@@ -353,7 +361,7 @@ def nearest_keys(rows: DataFrame, index: MultiIndex, k: int, candidates: int) ->
             keep = a != b
             yield pd.DataFrame({"ka": a[keep], "kb": b[keep], "cos": cos[keep].astype(np.float64)})
 
-    found = _by_block(_routed(rows, index, reaches)).mapInPandas(search, "ka long, kb long, cos double")
+    found = _by_block(_routed(rows, index, reaches), index).mapInPandas(search, "ka long, kb long, cos double")
     best = F.slice(F.sort_array(F.collect_set(F.struct("cos", "kb")), asc=False), 1, k)
     # A task yields at most k + 1 rows for a query, so the sets are bounded by the blocks.
     return found.groupBy("ka").agg(best.alias("best")).select("ka", F.inline("best")).select("ka", "kb", "cos")
