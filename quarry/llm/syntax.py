@@ -45,16 +45,16 @@ _LEX = {k: re.compile(v) for k, v in _LEX.items()}
 _WORDS = {
     "javascript": {
         "d": "const", "v": "let var", "f": "function", "c": "class", "r": "return", "R": "throw", "u": "typeof void delete await new yield", "o": "in instanceof",
-        "O": "of", "I": "import", "X": "export", "F": "from", "A": "as", "w": "if while for switch with", "C": "catch", "Y": "finally", "t": "try", "l": "else do",
+        "O": "of", "I": "import", "X": "export", "F": "from", "A": "as", "w": "if while for switch with", "C": "catch", "Y": "finally", "t": "try", "l": "else", "L": "do",
         "a": "async static get set", "k": "break continue debugger", "K": "case default", "e": "extends", "i": "this super null true false",
     },
     "java": {
         "m": "public private protected static final abstract synchronized native transient volatile strictfp default sealed", "c": "class interface enum", "P": "package",
-        "I": "import", "r": "return throw yield", "u": "new assert", "o": "instanceof", "w": "if while for switch", "C": "catch", "Y": "finally", "t": "try", "l": "else do",
+        "I": "import", "r": "return throw yield", "u": "new assert", "o": "instanceof", "w": "if while for switch", "C": "catch", "Y": "finally", "t": "try", "l": "else", "L": "do",
         "k": "break continue", "K": "case", "e": "extends implements throws permits", "i": "this super null true false int long double float boolean byte short char void var",
     },
     "go": {
-        "P": "package", "I": "import", "f": "func", "d": "var const type", "r": "return go defer", "w": "if for switch select", "l": "else", "k": "break continue goto fallthrough",
+        "P": "package", "I": "import", "f": "func", "d": "var const type", "r": "return go defer", "w": "if switch select", "W": "for", "l": "else", "k": "break continue goto fallthrough",
         "K": "case default", "h": "chan map struct interface", "g": "range", "i": "nil true false iota",
     },
     "python": {
@@ -155,7 +155,7 @@ def _walk(s: str, language: str) -> tuple[str, str | None]:
             tail = piece.rstrip("N")
             before = tail[-1:] or previous
             kind = before
-            if c == "(" and before and (before in "wC" or before == "i" and _DECORATOR.search(piece)):
+            if c == "(" and before and (before in "wC" or tail[-2:] == "wu" or before == "i" and _DECORATOR.search(piece)):  # wu: `for await`
                 kind = "control"
             elif c == "{":
                 if before == "t":
@@ -193,34 +193,48 @@ def _walk(s: str, language: str) -> tuple[str, str | None]:
     return "".join(out) + "\0" + "".join(top), None
 
 
+# A head in parentheses with a single semicolon, or with nothing in it.
+_HEAD = r"w\((?:[^();{}]|\([^()]*\))*;(?:[^();{}]|\([^()]*\))*Z|w\(Z"
 #: What may not stand side by side, per language, over the marked class string. Each entry: defect, pattern.
 _JS = [
+    ("statements not parted", r"[ns\])i][dvtRk]"),
+    ("operator without operand", r"\.N*[=b:,;)\]}?]|\^N*[\^=b;,)\]}]|\?[^:?]*\Z"),
+    ("declaration", r"(?:\A|;)N*(?:f\(|c\{)|XKN*(?:;|\Z)"),
+    ("statement head", _HEAD + r"|(?:\A|\{)N*l(?!N*[:,}(=.])"),
     ("adjacent operands", r"[ns\])i][ins]|[Fi]Fi|F[in]|T[in]|[ns\])]T|@[^ic]"),
     ("operator without operand", r"[=b+!.?*^]N*[)\];]|[=b+!.]N*\}|[=b+!(\[]N*b|=N*=|[=b+!.,^?]N*\Z|[(=b]N*[,=]|\.N*[ns(\[{]|,N*;"),
     ("declaration", r"[dv][^iaFAO{\[N]|[dv]i[^=;,NoO)}]|di(?:[;,]|N*\Z|N+[^N=oO,;:.(\[])|f[^i(*aFA]|fi[^(]|ci[^{eN]"),
-    ("statement head", r"w(?![(u:])|C[^({]|t[^{N]|l[)\]},;=]|k[ns(\[]"),
+    ("statement head", r"w(?![(u:])|C[^({]|t[^{N]|[lL][)\]},=]|k[ns(\[]"),
     ("module", r"(?<!\.)I[^si{*(.aFAON]|(?<![.\w])Ii[^F,]|X[^dvfcaK{*]|F(?=[N;])(?<=[}i]F)"),
     ("object as statement", r"\AN*\{N*s:"),
     ("markup", r"(?:\A|[N;=(])N*<"),
 ]
 _TS = [
+    ("statements not parted", r"[ns\])i][dvtRk]"),
+    ("operator without operand", r"\.N*[=b:,;)\]}?]|\^N*[\^=b;,)\]}]|:N*(?:=(?!\^)|\))"),
+    ("declaration", r"(?:\A|;)N*(?:f\(|c\{|m\{)|XKN*(?:;|\Z)|mi:N*\}"),
+    ("statement head", _HEAD + r"|(?:\A|\{)N*l(?!N*[:,}(=.])"),
     ("adjacent operands", r"[ns\])i][ns]|[n)\]s]i|(?<!m)ii|F[in]|T[in]|@[^ic]"),
-    ("operator without operand", r"[=b+.*^]N*[);]|[=b+.]N*\}|[=(\[]N*b|=N*=|[=b+!.,^?:]N*\Z|\(N*,|\.N*[ns\[{]|,N*;"),
+    ("operator without operand", r"[=b+.*^]N*[);]|[=b+.]N*\}|[=(\[]N*b|=N*=|[=b+.,^?:]N*\Z|(?<![ns\])i])!N*\Z|\(N*,|\.N*[ns\[{]|,N*;"),
     ("declaration", r"[dv][^iaFAOm{\[N]|[dv]i[^=;,NoO)}:!]|di(?:[;,]|N*\Z)|f[^i(*aFAm<]|fi[^(<]|ci[^{eN<m]"),
-    ("statement head", r"w(?![(u:])|C[^({]|t[^{N]|l[)\]},;=]|k[ns(\[]"),
+    ("statement head", r"w(?![(u:])|C[^({]|t[^{N]|[lL][)\]},=]|k[ns(\[]"),
     ("module", r"(?<!\.)I[^si{*(.aFAOmN]|(?<![.\w])Ii[^F,=]|X[^dvfcaK{*mi=A]|F(?=[N;])(?<=[}i]F)"),
     ("object as statement", r"\AN*\{N*s:"),
     ("markup", r"(?:\A|[N;])N*<"),
 ]
 _JAVA = [
+    ("statement head", _HEAD + r"|\{l|e[{,;]"),
     ("adjacent operands", r"[ns][ins]|[^\[]\]i|\][ns]|i[ns]|iii|@[^ic]|(?<=[i\]>)])\([^()]*\)[ins]|s\("),
     ("operator without operand", r"[=b+!.,?^][)\];]|(?<!\.)\*[)\];]|[=b+!.][}]|[=b+!(\[][b=]|==|[(\[,],|\.[ns(\[{]|,;|[=(][<>*]"),
-    ("statement head", r"w[^(]|C[^(]|t[^{(]|k[ns(]|l[)\],;=]"),
+    ("statement head", r"w[^(]|C[^(]|t[^{(]|k[ns(]|[lL][)\],=]"),
 ]
 _GO = [
+    ("adjacent operands", r"iii|=i(?:\.i)*i"),
+    ("operator without operand", r"d=|[=(]N*\[[^\[\]N]*,"),
+    ("statement head", r"w[^{};Ngfd]*=[^{};Ngfd]*\{|W[^{};N]*;[^{};N]*\{|\{N*l"),
     ("adjacent operands", r"[n)\]}s][ns]|(?<!I)(?<!N)i[ns]|[ns]i|T[in]|@"),
     ("operator without operand", r"[=b+!.*]N*[)\];}]|[=b!(\[]N*b|=N*=|[(\[]N*[,=]|,N*,|\.N*[n\[{]|,;|[=b]N*\Z"),
-    ("statement head", r"w[NZ)\]};]|l[^{w]|k[ns(]"),
+    ("statement head", r"[wW][NZ)\]};]|l[^{w]|k[ns(]"),
 ]
 _PYTHON = [
     ("adjacent operands", r"[n\])}is][in]|[n\])}i]s"),
@@ -231,12 +245,13 @@ _RULES = {
     k: [(d, re.compile(p)) for d, p in rules] for k, rules in (("javascript", _JS), ("typescript", _TS), ("java", _JAVA), ("go", _GO), ("python", _PYTHON))
 }
 _TOP = {
-    "java": re.compile(r"(?:@i(?:\.i)*(?:\(\))?)*(?:Pi(?:\.i)*;)?(?:Im?i(?:\.(?:i|\*|m))*;|;)*(?:(?:m|i[+]i|@i(?:\.i)*(?:\(\))?)*(?:@?c|i)i[^{}=;]*\{\};?)*\Z"),
+    "java": re.compile(r"(?:@i(?:\.i)*(?:\(\))?)*(?:Pi(?:\.i)*;)?(?:Im?i(?:\.(?:i|\*|m))*;|;)*(?:(?:m|i[+][im]|@i(?:\.i)*(?:\(\))?)*(?:@?ci|ii(?:<[^{}=;]*>)?\(\))[^{}=;]*\{\};?)*\Z"),
     "go": re.compile(r"[N;]*Pi[N;]+(?:(?:I(?:i|\.|_)?s|I\(\)|d\(\)|[fd][^N;={]*(?:=[^N]*(?:(?<=[-+b,=.])N+[^N]*)*|\{\}[^N]*)?)(?:[N;]+|\Z))*\Z"),
 }
 _ANNOTATION = re.compile(r"@i(?:\.i)*+(?![.(i]*\()")
 _DECORATOR = re.compile(r"@i(?:\.i)*\Z")
 _MEMBER = re.compile(r"\.[a-zA-Z](?<![snNETDI])")
+_KEY = re.compile(r"([{,]N*)[a-zA-Z](?<![snNETDK])(?=:)")
 _JS_PARAMETER = re.compile(r"[(,]N*(?:D)?i:")
 
 
@@ -375,6 +390,8 @@ def _code_defect(text: str, language: str) -> str | None:
     if language != "python":  # after a dot a keyword is a name
         s = _MEMBER.sub(".i", s)
         s = _ANNOTATION.sub("N" if language == "javascript" else "m", s)
+    if language in ("javascript", "typescript"):  # and so it is before a colon in an object
+        s = _KEY.sub(r"\1i", s)
     if "E" in s:
         return "unreadable token" if not re.search(_MARK, text) else "merge conflict"
     if language == "python":
