@@ -4,7 +4,7 @@ Only how many documents have each size matters for a plan, and there are no more
 capacity. So the plan is made on the driver from that bounded histogram: the largest size left
 opens a container, a bitset subset-sum over the sizes left (with their counts, split in powers of
 two) finds what fills the rest best, and that pattern is repeated while the counts allow.
-Executors then rank the documents of each size, in salted groups, and look their place up.
+Executors then rank the documents of each size, in groups of bounded size, and look their place up.
 """
 
 from collections.abc import Iterator
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from quarry.plans.scratch import written
 
 CAPACITY = 2048
-#: Groups over which the documents of one size are ranked.
-SALTS = 64
+#: Documents of one size that are ranked in one group; a frequent size (that of full parts above all) has as many groups as it needs.
+RANKED_ROWS = 50_000
 #: A token: a longest run of letters, digits and underscores of any script, or one other visible character.
 TOKEN = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f]"
 
@@ -97,8 +97,11 @@ def packed(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         for held, value in zip(by_size.setdefault(size, ([], [], [])), (first, times, container)):
             held.append(value)
     lookup = spark.sparkContext.broadcast({s: tuple(np.array(x) for x in v) for s, v in by_size.items()})
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS)))
-    offsets = salted.groupBy("tokens", "salt").agg(F.count("*").alias("n"))  # at most (capacity + 1) * SALTS rows
+    sizes = counts.copy()
+    sizes[0] = zero
+    groups = F.element_at(F.lit(np.maximum(1, -(-sizes // RANKED_ROWS)).tolist()).cast("array<int>"), F.col("tokens") + 1)
+    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), groups))
+    offsets = salted.groupBy("tokens", "salt").agg(F.count("*").alias("n"))  # at most capacity + 1 + rows / RANKED_ROWS rows
     before = Window.partitionBy("tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select("tokens", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = F.row_number().over(Window.partitionBy("tokens", "salt").orderBy("doc_id", "part")) - 1

@@ -96,6 +96,16 @@ def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_chunks(table(spark, folder, "chunks"))
 
 
+@query
+def p7_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The text that a chunk's pieces give without their overlaps, and whether all keep to the bounds."""
+    pieces = splitting.split_chunks(table(spark, folder, "chunks"))
+    own = F.struct("piece", F.substring("content", F.col("overlap") + 1, F.length("content")).alias("text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda x: x.text), "")
+    bounds = (F.max(F.length("content")) <= splitting.LIMIT) & (F.max("overlap") <= splitting.OVERLAP)
+    return pieces.where("content is not null").groupBy("chunk_id").agg(F.md5(joined).alias("content"), bounds.alias("bounded"))
+
+
 @query
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that the packing had to cut into more than one part."""
@@ -103,6 +113,14 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts.select("doc_id").distinct()
 
 
+@query
+def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """What the packing did with each document: its parts, their tokens, and whether all their containers hold what is in them."""
+    placed = packing.packed(table(spark, folder, "documents"))
+    filled = placed.groupBy("container_id").agg((F.sum("tokens") <= packing.CAPACITY).alias("holds"))
+    return placed.join(filled, "container_id").groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("tokens").alias("tokens"), F.min("holds").alias("holds"))
+
+
 @query
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"))
