@@ -20,7 +20,7 @@ reasons AS (SELECT i.session_id, CASE WHEN NOT coalesce(o.says, false) THEN 'emp
   WHEN i.session_id NOT IN (SELECT id FROM sessions WHERE id IS NOT NULL) OR o.odd OR f.disorder THEN 'broken' WHEN f.unanswered THEN 'missing_reply' END AS reason
   FROM ids i LEFT JOIN own o USING (session_id) LEFT JOIN flow f USING (session_id))"""
 SQL["p6_found"] = f"WITH {_TOLD} SELECT session_id, reason FROM reasons WHERE reason IS NOT NULL"
-SQL["p6_conversations"] = f"""WITH {_TOLD} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS turn, id, role, created_at, content
+SQL["p6_conversations"] = f"""WITH {_TOLD} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS turn, id, role, created_at AT TIME ZONE 'UTC' AS created_at, content
 FROM rows WHERE role <> 'system' AND session_id IN (SELECT session_id FROM reasons WHERE reason IS NULL)"""
 
 SQL["p7_found"] = """SELECT chunk_id, CASE WHEN list_max(list_transform(string_split(content, chr(10)), lambda x: length(x))) <= 1600 THEN 'lines' ELSE 'inside' END AS cut
