@@ -36,7 +36,10 @@ def _cut(text: str, start: int, end: int, room: int, limit: int) -> int | None:
     if end - start <= room:
         return None
     middle, reach = (start + end) / 2, (end - start) / 2
-    lines = [m.end() for m in _LINE.finditer(text, start, end - 1)]
+    # In the middle half, so that both sides shrink whatever the text; where a long line fills it, at the nearest line end before or after.
+    quarter = (end - start) // 4
+    lines = [m.end() for m in _LINE.finditer(text, start + quarter, min(end - quarter, end - 1))]
+    lines = lines or [p + 1 for p in (text.rfind("\n", start, start + quarter), text.find("\n", end - quarter, end - 1)) if p >= 0]
     if lines:
         return max(lines, key=lambda p: (_line_strength(text, p) - 9 * abs(p - middle) / reach, -p))
     if end - start <= limit:

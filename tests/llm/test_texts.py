@@ -22,6 +22,16 @@ def test_pieces_make_the_text_again(text, limit, overlap):
         assert all(e == len(text) or text[e - 1] == "\n" or text[e] == "\n" for _, _, e in parts)
 
 
+def test_uneven_texts_are_cut_in_halves(monkeypatch):
+    # Strong boundaries at one end only: each cut still leaves both sides at least a quarter.
+    text = "\n\n".join("x = 1" for _ in range(50)) + "\n" + "\n".join("        deep(%d)" % n for n in range(20_000))
+    calls = []
+    cut = splitting._cut
+    monkeypatch.setattr(splitting, "_cut", lambda *a: calls.append(a[2] - a[1]) or cut(*a))
+    parts = splitting.pieces(text)
+    assert "".join(text[s:e] for _, s, e in parts) == text and sum(calls) < 40 * len(text)
+
+
 def test_splitting_frames(table):
     text = "\n".join(f"line {n} " + "x" * (n % 60) for n in range(100))
     rows = [(1, "p", "a", "a.py", None, "n", 10, None, text), (2, "p", "b", "b", "t", None, None, None, "y" * 5000), (3, "p", "c", "c", "t", "m", 1, 1, "short"), (4, None, None, None, None, None, None, None, None), (5, "p", "d", "d", "t", "m", 1, 1, "é" * 1600), (None, "p", "e", "e", "t", "m", 1, 1, "z" * 2000)]
