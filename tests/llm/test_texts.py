@@ -132,6 +132,13 @@ def test_reparameterised_questions(table):
     assert {r.item_id for r in got if r.kind == "reparameterised"} <= {0, 1, 2}  # one item stands for its template
 
 
+def test_repeated_windows(table):
+    item = "the k7 of " * 30 + "the end"
+    docs = table([(1, "the k7 of " * 20_000), (2, "nothing of it " * 50)], "doc_id long, text string")
+    got = leakage.leaks(docs, table([(1, item)], "item_id long, text string")).collect()
+    assert {(r.item_id, r.doc_id, r.kind) for r in got} == {(1, 1, "verbatim")}
+
+
 def test_templates_decide(table, monkeypatch):
     # Without slots in its windows every text of an item's template would be taken for a copy.
     item = [(n, f"Before the session with {w}x ends the loader writes the table of {w}y to the page and the server of {w}z reads the table again.") for n, w in enumerate("ab cd ef gh ij kl mn op qr st uv wx yz ba dc fe hg ji lk nm po".split())]
