@@ -2,7 +2,9 @@
 
 Whether an event is admitted depends on the events admitted before it, so each key's log is read
 in order. It is sorted by the shuffle and streams through a state of fixed size (the admitted
-times of one window, or the entries of one cache): no task ever holds a key's log.
+times of one window, or the entries of one cache): no task ever holds a key's log. What a cache
+without a time limit holds at any moment are the keys used last, whatever was hit before; so its log
+is cut into stretches that are replayed side by side, each from the keys used last before it.
 """
 
 import itertools
@@ -14,6 +16,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from quarry.plans.scratch import written
 
 
 class SlidingWindow:
@@ -80,9 +85,104 @@ def rate_limited(events: DataFrame, scope: str = "user_id", time: str = "ts", ti
     return _replay(events, scope, time, tie, lambda: (lambda w: lambda _, t: w.allow(t))(SlidingWindow(limit, window)), None, "allowed")
 
 
+def _flagged(rows: DataFrame, flag: str) -> StructType:
+    return StructType([*rows.schema.fields, StructField(flag, BooleanType())])
+
+
+def _keys(values: pd.Series) -> list:
+    return [None if k is None or k != k else k for k in values]
+
+
+def _last_used(size: int, names: dict[str, str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Of the first and the last scope of each stretch the keys used last (`rank` from the oldest on), and whether the cache was emptied."""
+    columns = [names["scope"], "_part", "_rank", names["key"], "_emptied"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, part, cache, emptied, scopes = None, None, Lru(size), False, 0
+
+        def told() -> pd.DataFrame:
+            rows = [(at, part, n, k, emptied) for n, k in enumerate(cache.put_at)] or [(at, part, -1, None, emptied)]
+            return pd.DataFrame(rows, columns=columns)
+
+        for batch in batches:
+            for s, k, p, c in zip(batch[names["scope"]], _keys(batch[names["key"]]), batch["_part"], batch["_clear"]):
+                if not scopes or s != at:
+                    if scopes == 1:
+                        yield told()
+                    at, part, cache, emptied, scopes = s, p, Lru(size), False, scopes + 1
+                if c:
+                    cache, emptied = Lru(size), True
+                else:
+                    cache.access(k)
+        if scopes:
+            yield told()
+
+    return run
+
+
+def _states(size: int, names: dict[str, str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """What the cache of a scope holds where each of its stretches begins, from what all stretches used last."""
+    columns = [names["scope"], "_part", "_rank", names["key"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, part, cache = None, None, Lru(size)
+        for batch in batches:
+            out = []
+            for s, p, r, k, emptied in zip(batch[names["scope"]], batch["_part"], batch["_rank"], _keys(batch[names["key"]]), batch["_emptied"]):
+                if part is None or s != at:
+                    at, part, cache = s, None, Lru(size)
+                if p != part:
+                    part = p
+                    out += [(s, p, n, x) for n, x in enumerate(cache.put_at)]
+                    if emptied:
+                        cache = Lru(size)
+                if r >= 0:
+                    cache.access(k)
+            yield pd.DataFrame(out, columns=columns)
+
+    return run
+
+
 def lru_hits(log: DataFrame, scope: str, key: str, time: str = "ts", tie: str = "event_id", size: int = 2048, clear: str | None = None) -> DataFrame:
-    """Accesses with `hit` of a cache per scope. Rows where `clear` is true empty their own scope's cache."""
-    return _replay(log, scope, time, tie, lambda: Lru(size).access, key, "hit", clear)
+    """Accesses with `hit` of a cache per scope. Rows where `clear` is true empty their own scope's cache. Rows without scope or time are left out.
+
+    A scope's log may be spread over any number of tasks; of each stretch at most `size` keys are handed on.
+    """
+    if scope == key:
+        raise ValueError("a cache's scope cannot be its key")
+    columns = list(dict.fromkeys([scope, time, tie, key, *([clear] if clear else [])]))
+    rows = log.where(F.col(scope).isNotNull() & F.col(time).isNotNull()).select(*columns, F.coalesce(F.col(clear), F.lit(False)).alias("_clear") if clear else F.lit(False).alias("_clear"))
+    cut = written(rows.repartitionByRange(scope, time, tie).withColumn("_part", F.spark_partition_id()), "log")
+    last = cut.agg(F.max("_part").alias("p")).first().p
+    if last is None:
+        return log.sparkSession.createDataFrame([], _flagged(cut.select(*columns), "hit"))
+
+    def stretches(df: DataFrame, *order: str) -> DataFrame:
+        return df.repartitionById(last + 1, F.col("_part")).sortWithinPartitions(scope, *order)
+
+    names = {"scope": scope, "key": key}
+    told = cut.select(scope, "_part", F.lit(0).alias("_rank"), key).schema
+    told = StructType([StructField(f.name, f.dataType) for f in told])
+    used = stretches(cut, time, tie).mapInPandas(_last_used(size, names), StructType([*told.fields, StructField("_emptied", BooleanType())]))
+    states = used.repartition(scope).sortWithinPartitions(scope, "_part", "_rank").mapInPandas(_states(size, names), told)
+    both = cut.withColumn("_rank", F.lit(None).cast("int")).unionByName(states, allowMissingColumns=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, cache = object(), Lru(size)
+        for batch in batches:
+            real, hits = batch["_rank"].isna().to_numpy(), np.zeros(len(batch), dtype=bool)
+            for n, (s, k, c) in enumerate(zip(batch[scope], _keys(batch[key]), batch["_clear"])):
+                if s != at:
+                    at, cache = s, Lru(size)
+                if real[n] and c:
+                    cache = Lru(size)
+                else:
+                    hits[n] = cache.access(k)
+            yield batch[columns][real].assign(hit=hits[real])
+
+    # What a stretch begins with comes before its rows: nulls, of the rows' own rank, sort last.
+    ordered = both.repartitionById(last + 1, F.col("_part")).sortWithinPartitions(scope, F.asc_nulls_last("_rank"), time, tie)
+    return ordered.select(*columns, "_clear", "_rank").mapInPandas(run, _flagged(cut.select(*columns), "hit"))
 
 
 def ttl_hits(log: DataFrame, scope: str, key: str, time: str = "ts", tie: str = "event_id", size: int = 256, ttl: float = 300.0, clear: str | None = None) -> DataFrame:

@@ -49,6 +49,33 @@ def test_lru_agrees_with_a_plain_one(spark):
     assert limits.cache_stats(hits.limit(0), "scope").count() == 0
 
 
+def test_a_hot_cache_is_replayed_in_stretches(spark):
+    # One scope holds nearly all rows, some of which empty it; other scopes lie between. Keys are null at times.
+    rng = random.Random(7)
+    rows = [("hot" if rng.random() < 0.9 else rng.choice("xyz"), rng.choice([None, *"abcdefghijklmnop"]), n // 2, rng.random() < 0.004) for n in range(6000)]
+    df = spark.createDataFrame([(n, s, k, START + dt.timedelta(seconds=t), c) for n, (s, k, t, c) in enumerate(rows)], "event_id long, scope string, key string, ts timestamp, fresh boolean")
+    caches, expected = {}, {}
+    for n, (s, k, _, c) in enumerate(rows):
+        held = caches.setdefault(s, OrderedDict())
+        if c:
+            held.clear()
+            expected[n] = False
+            continue
+        expected[n] = k in held
+        held[k] = 1
+        held.move_to_end(k)
+        if len(held) > 9:
+            held.popitem(last=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = limits.lru_hits(df, "scope", "key", size=9, clear="fresh")
+        assert {r.event_id: r.hit for r in got.collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got.rdd.getNumPartitions() == 4  # the hot scope is no one task's work
+    assert limits.lru_hits(df.limit(0), "scope", "key").count() == 0
+
+
 def test_ttl(spark):
     rows = [("s", "a", 0), ("s", "a", 299), ("s", "a", 300), ("s", "a", 599), ("t", "a", 1), ("s", "b", 600), ("s", "c", 601), ("s", "a", 602)]
     got = {r.event_id: r.hit for r in limits.ttl_hits(_log(spark, rows), "scope", "key", size=2).collect()}
