@@ -4,8 +4,8 @@ Merkle hashes are computed bottom-up over each repository's directory tree: a fi
 text, a directory the multiset of its children's hashes (names left out, for copies are renamed;
 a directory with one child hashes as that child). Two kinds of nodes are vendored, and with them
 every file below each of their copies: a node of which some copy lies under a vendor folder, has a
-versioned name or carries a library's banner; and a directory of several texts that unrelated
-repositories share. Header and layout rules find the rest. A copied single file without such
+versioned name or carries a library's banner; and a directory of three files or more that
+unrelated repositories share. Header and layout rules find the rest. A copied single file without such
 evidence is judged like its original.
 """
 
@@ -23,6 +23,8 @@ from quarry.plans.scratch import written
 ENDINGS = (".py", ".js", ".ts", ".java", ".go", ".css")
 #: Texts shorter than this are alike by chance and prove no common origin.
 SHARED_CHARS = 64
+#: Files of a directory that make it a library when unrelated repositories share it; fewer are copied files, which are judged like their originals.
+SHARED_FILES = 3
 #: Minimum hashes of a repository's texts; of two related ones (forks, mirrors: most texts in common) at least so many agree.
 SKETCH, RELATED = 16, 9
 
@@ -129,8 +131,8 @@ def subtrees(leaves: DataFrame) -> DataFrame:
 
 
 def _shared(dirs: DataFrame, leaves: DataFrame) -> DataFrame:
-    """`hash` of the directories of several texts, one of them not short, that unrelated repositories share."""
-    held = dirs.where((F.col("path") != "") & (F.col("least") < F.col("most")) & F.col("long")).select("hash", "project_id").distinct()
+    """`hash` of the directories of SHARED_FILES files or more, not all alike nor all short, that unrelated repositories share."""
+    held = dirs.where((F.col("path") != "") & (F.col("files") >= SHARED_FILES) & (F.col("least") < F.col("most")) & F.col("long")).select("hash", "project_id").distinct()
     several = held.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     sketch = leaves.groupBy("project_id").agg(F.array(*[F.min(F.xxhash64("hash", F.lit(i))) for i in range(SKETCH)]).alias("sketch"))
     # One holder of each hash is compared with all others: no pairs of repositories are formed.
