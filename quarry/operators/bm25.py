@@ -45,9 +45,7 @@ def fit(chunks: DataFrame, text: str = "content", only: DataFrame | None = None)
         found = found.join(only.select("term").distinct(), "term", "left_semi")
     postings = found.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
     lengths = split.select("chunk_id", F.size("ts").cast("long").alias("dl"))
-    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avg_dl"))
-    return Bm25(postings, lengths, frequencies, corpus)
+    return Bm25(postings, lengths, *summed(postings, lengths))
 
 
 def bucket() -> Column:
@@ -55,13 +53,16 @@ def bucket() -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
-def bucketed(index: Bm25) -> dict[str, tuple[DataFrame, list[str]]]:
-    """The tables of an index as they are stored: name -> (rows, columns that name folders). Terms lie together and sorted within their bucket."""
-    def by_term(rows: DataFrame) -> DataFrame:
-        # A bucket is spread over tasks by term, so that a bucket is no one task's work; the rows of one frequent term lie in one file.
-        return rows.select("*", bucket()).repartition("bucket", "term").sortWithinPartitions("bucket", "term")
+def bucketed(rows: DataFrame, *within: str) -> DataFrame:
+    """Rows by term as they are stored: in folders by bucket, sorted by term and `within`. Ranges cut a frequent term into several tasks and a folder into few files."""
+    by = ["bucket", "term", *within]
+    return rows.select("*", bucket()).repartitionByRange(*by).sortWithinPartitions(*by)
+
 
-    return {"postings": (by_term(index.postings), ["bucket"]), "frequencies": (by_term(index.frequencies), ["bucket"]), "lengths": (index.lengths, []), "corpus": (index.corpus, [])}
+def summed(postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Frequencies and the corpus row of postings and lengths."""
+    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
+    return frequencies, lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avg_dl"))
 
 
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:

@@ -13,9 +13,17 @@ _stored: dict[tuple, str] = {}
 
 
 def save(words: bm25.Bm25, place: str, project_id: str) -> None:
-    """Write the index of a project below `place`; other projects' stay."""
-    for name, (rows, by) in bm25.bucketed(words).items():
+    """Write the index of a project below `place`; other projects' stay. Frequencies and the corpus row are summed from what is written."""
+    spark = words.postings.sparkSession
+
+    def put(rows: DataFrame, name: str, by: list[str]) -> DataFrame:
         index.save(rows.withColumn("project_id", F.lit(project_id)), f"{place}/{name}", by)
+        return index.load(spark, f"{place}/{name}", project_id)
+
+    postings = put(bm25.bucketed(words.postings, "chunk_id"), "postings", ["bucket"])
+    frequencies, corpus = bm25.summed(postings, put(words.lengths, "lengths", []))
+    put(bm25.bucketed(frequencies), "frequencies", ["bucket"])
+    put(corpus, "corpus", [])
 
 
 def load(spark: SparkSession, place: str, project_id: str) -> bm25.Bm25:
