@@ -49,12 +49,13 @@ _KNOWN = re.compile(
     r"(?<![\w/+-])(?:sk-(?:[a-z]+-)?[A-Za-z0-9]{20,}|(?:AKIA|ASIA)[0-9A-Z]{16}|[a-z]{2,8}_(?:live_|test_|pat_)?(?=[A-Za-z]*\d)(?=[a-z0-9]*[A-Z])(?=[A-Z0-9]*[a-z])[A-Za-z0-9]{30,}|github_pat_\w{22,}|xox[abprs]-[\w-]{16,}|eyJ[\w-]{8,}\.eyJ[\w-]{6,}\.[\w-]{16,})(?![\w])"
 )
 _HEADER = re.compile(r"\b(Basic|Bearer|Token) +([\w+/.=~-]{8,})")
-_URL = re.compile(r"\b[a-zA-Z][\w+.-]*://([^\s:/@\"'`<>{}$]*):([^\s/\"'`<>]+)@(?=[\w\[.-])")
+_URL = re.compile(r"\b[a-zA-Z][\w+.-]{0,30}://([^\s:/@\"'`<>{}$]*):([^\s/\"'`<>]+)@(?=[\w\[.-])")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY")
 _PEM_LINE = re.compile(r"(?:[ \t]*(?:[\"'`*#]|//)?[ \t]*(?:[A-Za-z0-9+/=]|\\[nr])*[\"'`+,;) \t\\]*(?:\r?\n|\Z)|[A-Z][A-Za-z-]+: [^\n]*(?:\n|\Z))*")
+# A literal is near an assignment when at most 200 characters lie between; without that bound a long line takes the square of its length.
 _PAIR = re.compile(
-    r"(?P<name>[A-Za-z_$][\w.$-]*)[\"'\]]*[ \t]*(?::[ \t]*(?:string|String|str|&str|any)\??[ \t]*)?(?::=|=>|[:=])[ \t]*(?P<gap>\(?[ \t]*(?:[^\"'`\n;{}]*(?:\([ \t]*[\"'][^\"'\n]*[\"'][ \t]*,[ \t]*|(?:\|\||\?\?|\bor\b)[ \t]*))?[bruf]{0,2})(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)"
+    r"(?<![\w.$-])(?P<name>[A-Za-z_$][\w.$-]*+)[\"'\]]*[ \t]*(?::[ \t]*(?:string|String|str|&str|any)\??[ \t]*)?(?::=|=>|[:=])[ \t]*(?P<gap>\(?[ \t]*(?:[^\"'`\n;{}]{0,200}(?:\([ \t]*[\"'][^\"'\n]{0,200}[\"'][ \t]*,[ \t]*|(?:\|\||\?\?|\bor\b)[ \t]*))?[bruf]{0,2})(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)"
 )
 _LITERAL = re.compile(r"([\"'`])((?:(?!\1)[^\\\n]|\\.)*)\1")
 _MORE = re.compile(r"[ \t]*(?:\+[ \t]*(?:\r?\n[ \t]*)?|\\?\r?\n[ \t]*(?:\+[ \t]*)?)([\"'`])((?:(?!\1)[^\\\n]|\\.)*)\1")

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from quarry.llm import secrets
@@ -116,6 +118,13 @@ def test_long_texts():
     assert len(secrets.find("password = 'zq81abtt9'\n" * 500, "a.py", WORDS)) == 500
 
 
+@pytest.mark.parametrize("text", ["name = value other " * 10_000 + "Ab1cD2eF3gH4iJ5kL6", "a:b:c:d=" * 20_000 + "Ab1cD2eF3gH4iJ5kL6", "token.a-b" * 30_000, "aB1" * 100_000, "'" + "Zq8xPb" * 50_000 + "'", "-----BEGIN PRIVATE KEY-----" * 3000])
+def test_long_lines_take_linear_time(text):
+    start = time.perf_counter()
+    assert not secrets.find(text, "a.yaml", WORDS)
+    assert time.perf_counter() - start < 10
+
+
 def test_frames(table):
     docs = table([(1, "the router", "a.py", "x\r\npassword = 'zq81abtt9'\n"), (2, None, None, None), (3, "", "b.py", ""), (None, "t", "c.py", "password = 'zq81abtt9'")], "doc_id long, text string, file_name string, content string")
     chunks = table([(1, "a.py", "token = 'zq81abtt9'"), (2, None, "token: zq81abtt9"), (3, "c.yaml", "token: zq81abtt9")], "chunk_id long, file_name string, content string")
