@@ -149,6 +149,25 @@ def test_templates_decide(table, monkeypatch):
     assert {(0, 1), (1, 1), (0, 2)} <= verbatim()
 
 
+def test_leaks_of_quotes_without_slots(table):
+    # The quoted part of an item holds words of all items only, its names and numbers stand in the rest.
+    rng = random.Random(3)
+    plain = "the loader reads page while server writes session table again before each user asks".split()
+    heads = [rng.sample(plain, 14) + rng.sample(plain, 10) for _ in range(30)]
+    items = [(n, " ".join(h + [f"{w}{chr(97 + n % 26)}{chr(97 + n // 26)}" for w in "bim bam bom kam kem kim kom kum lam lem lim lom lum nam nem nim nom num ram rem rim rom rum sam sem sim".split()])) for n, h in enumerate(heads)]
+    noise = "nothing of it stands here " * 9
+    docs = table([(1, noise + " ".join(heads[0]) + " " + noise), (2, noise + " ".join(heads[7][:21]) + " " + noise), (3, noise + " ".join(heads[9][:12]) + " " + noise)], "doc_id long, text string")
+    got = {(r.item_id, r.doc_id) for r in leakage.leaks(docs, table(items, "item_id long, text string")).where("kind = 'verbatim'").collect()}
+    assert got == {(0, 1), (7, 2)}
+
+
+def test_leaks_of_short_items(table):
+    items = [(1, "herons cross beneath broken towers slowly")] + [(10 + n, f"some other passage about w{chr(97 + n)}x here") for n in range(20)]
+    docs = table([(1, "seen by night: herons cross beneath a bridge"), (2, "herons by night")], "doc_id long, text string")
+    got = {(r.item_id, r.doc_id) for r in leakage.leaks(docs, table(items, "item_id long, text string")).where("kind = 'verbatim'").collect()}
+    assert got == {(1, 1)}
+
+
 def test_words_of_any_script():
     assert leakage.words("Größe_2x, Привет мир!") == ["größe", "2", "x", "привет", "мир"]
     assert leakage.words("日本語 text") == ["日", "本", "語", "text"]
