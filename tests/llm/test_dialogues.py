@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import conversations, pairs
 
@@ -189,3 +190,11 @@ def test_hot_session_pairs(table):
     rows = [_row(n, "hot", ("user", "assistant")[n % 2], "" if n % 10 == 1 else "The table is read.", n // 3) for n in range(2000)] + [_row(5000 + n, f"s{n}", "user", "x", n) for n in range(100)]
     got = {(r.prompt_id, r.response_id) for r in pairs.pair_defects(table(rows, SCHEMA)).where("defect = 'empty'").collect()}
     assert got == {(n - 1, n) for n in range(1, 2000, 10)}
+
+
+def test_every_pair_is_seeded(table):
+    # The cutoffs rest on all pairs, not on about a thousand of them.
+    rows = [(n, f"s{n // 2}", "user" if n % 2 == 0 else "assistant", f"How does the loader read the page {n}?" if n % 2 == 0 else "It is read when the server starts.", *[dt.datetime(2024, 1, 1) + dt.timedelta(seconds=n)] * 2) for n in range(5000)]
+    voted = pairs._voted(table(rows, SCHEMA))
+    got = {r.seed: r.n for r in voted.groupBy("seed").agg(F.sum("times").alias("n")).collect()}
+    assert got == dict.fromkeys([None, *pairs.DEFECTS], 2500)
