@@ -1,5 +1,6 @@
 import ast
 import os
+import random
 
 import pytest
 
@@ -102,6 +103,34 @@ def test_graph(spark):
     assert graph.build(rows.limit(0))[1].count() == 0
 
 
+def test_two_steps(spark, monkeypatch):
+    # Counted without listing: the same numbers as the steps of `related`, whatever the keys, the blocks and what is sorted at a time.
+    rng = random.Random(4)
+    for keys, most in (([-(2**63), -1, 0, 2**63 - 1, *range(30)], 2**25), (list(range(70_000, 70_090)), 40), ([5], 1)):
+        monkeypatch.setattr(graph, "BLOCK_NODES", most)
+        monkeypatch.setattr(graph, "REACHED_NODES", max(2, most // 8))
+        edges = [(rng.choice(keys), rng.randrange(25)) for _ in range(150)] + [(None, 1), (keys[0], None)]
+        got = {(r.left, r.steps): r.nodes for r in graph.two_steps(spark.createDataFrame(edges, "left long, right long").repartition(3)).collect()}
+        rights, lefts, want = {}, {}, {}
+        for a, b in edges[:-2]:
+            rights.setdefault(a, set()).add(b), lefts.setdefault(b, set()).add(a)
+        for a, held in rights.items():
+            want |= {(a, 1): len(held)} | ({(a, 2): n} if (n := len(set().union(*(lefts[b] for b in held)) - {a})) else {})
+        assert got == want
+    assert graph.two_steps(spark.createDataFrame([], "left long, right long")).count() == 0
+
+
+def test_bfs_lists_no_pairs(spark, tmp_path):
+    # 300 suppliers of the same 20 parts: 90,000 pairs, which no shuffle may hold.
+    from quarry import queries
+
+    spark.range(6000).selectExpr("id % 300 as l_suppkey", "id div 300 as l_partkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(300).selectExpr("id as s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    found = queries.QUERIES["graph_bfs"](spark, str(tmp_path))
+    assert {(r.path, r.steps, r.nodes) for r in found.collect()} == {(f"s{k}", *x) for k in range(300) for x in ((1, 20), (2, 299))}
+    assert "related" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_graph_expansion(spark):
     edges = spark.createDataFrame([("p", "a", "b"), ("p", "a", "c"), ("p", "a", "d")], "project_id string, src string, dst string")
     chunks = spark.createDataFrame([(5, "p", "b"), (4, "p", "b"), (3, "p", "c"), (2, "p", "d"), (1, "p", "a"), (0, "q", "b")], "chunk_id long, project_id string, path string")
