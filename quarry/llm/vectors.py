@@ -282,7 +282,7 @@ def _visits(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, tuple, np.nd
     yield from asked()
 
 
-def _compared(index: MultiIndex, visits: Iterator[tuple], may: Callable[[np.ndarray, np.ndarray, np.ndarray], Callable[[int], np.ndarray]], least: float, k: int | None) -> Iterator[tuple]:
+def _compared(index: MultiIndex, visits: Iterator[tuple], may: Callable[[np.ndarray, np.ndarray, np.ndarray], Callable[[int], tuple[np.ndarray, np.ndarray]]], least: float, k: int | None) -> Iterator[tuple]:
     """(query ids, entry ids, cosines) of the entries of visited cells, above `least`; with `k` only each query's best k in the block."""
     for block, (cells, ids, x), asked, radius, q in visits:
         d1, d2 = index.halves(q)
@@ -307,11 +307,9 @@ def _compared(index: MultiIndex, visits: Iterator[tuple], may: Callable[[np.ndar
             at = starts[i * index.k : (i + 1) * index.k + 1]
             if at[0] == at[-1]:
                 continue
-            visit = inside(int(index.begins[block]) + i)  # K x queries
-            for j in np.flatnonzero(at[1:] > at[:-1]).tolist():
-                rows = np.flatnonzero(visit[j])
-                if not len(rows):
-                    continue
+            near, visit = inside(int(index.begins[block]) + i)  # queries that visit a cell of the row, K x these
+            for j in np.flatnonzero((at[1:] > at[:-1]) & visit.any(1)).tolist():
+                rows = near[visit[j]]
                 cos = q[rows] @ x[at[j] : at[j + 1]].T
                 r, c = np.nonzero(cos > floor[rows][:, None])
                 if len(r):
@@ -331,9 +329,14 @@ def similar_keys(rows: DataFrame, index: MultiIndex, threshold: float) -> DataFr
     def reaches(d1: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.where(index.near(d1, index.first, reach), 0.0, np.inf), np.zeros(len(d1), dtype=np.float32)
 
-    def may(d1: np.ndarray, d2: np.ndarray, radius: np.ndarray) -> Callable[[int], np.ndarray]:
-        near1, near2 = index.near(d1, index.first, reach), np.ascontiguousarray(index.near(d2, index.second, reach).T)
-        return lambda i: near2 & near1[:, i][None, :]
+    def may(d1: np.ndarray, d2: np.ndarray, radius: np.ndarray) -> Callable[[int], tuple[np.ndarray, np.ndarray]]:
+        near1, near2 = np.ascontiguousarray(index.near(d1, index.first, reach).T), np.ascontiguousarray(index.near(d2, index.second, reach).T)
+
+        def inside(i: int) -> tuple[np.ndarray, np.ndarray]:
+            near = np.flatnonzero(near1[i])
+            return near, near2.take(near, axis=1)
+
+        return inside
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b, cos in _compared(index, _visits(batches), may, threshold - 5e-4, None):
@@ -352,9 +355,15 @@ def nearest_keys(rows: DataFrame, index: MultiIndex, k: int, candidates: int) ->
         least = d1 + d2.min(1)[:, None]
         return np.where(least <= radius[:, None] + SLACK, least, np.inf), radius
 
-    def may(d1: np.ndarray, d2: np.ndarray, radius: np.ndarray) -> Callable[[int], np.ndarray]:
-        by_second = np.ascontiguousarray(d2.T)
-        return lambda i: by_second <= (radius + SLACK - d1[:, i])[None, :]
+    def may(d1: np.ndarray, d2: np.ndarray, radius: np.ndarray) -> Callable[[int], tuple[np.ndarray, np.ndarray]]:
+        by_second, least = np.ascontiguousarray(d2.T), d2.min(1)
+
+        def inside(i: int) -> tuple[np.ndarray, np.ndarray]:
+            left = radius + SLACK - d1[:, i]
+            near = np.flatnonzero(least <= left)
+            return near, by_second.take(near, axis=1) <= left[near][None, :]
+
+        return inside
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b, cos in _compared(index, _visits(batches), may, -2.0, k + 1):
